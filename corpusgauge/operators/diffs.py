@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.regex import java_regex
+from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.text import PY_SPACE, first_group, is_blank, let, strip
 
 
@@ -116,19 +117,16 @@ def parse_diffs(diffs: DataFrame) -> DataFrame:
 
 def file_diffs(diffs: DataFrame) -> DataFrame:
     """One row per file of a diff."""
-    return (
-        diffs.select("repo_id", "diff_id", F.posexplode(file_diffs_of(F.col("raw"))).alias("file_idx", "f"))
-        .select("repo_id", "diff_id", "file_idx", "f.*")
-    )
+    return explode_items(
+        diffs, ["repo_id", "diff_id"], file_diffs_of(F.col("raw")), "file_idx", "f"
+    ).select("repo_id", "diff_id", "file_idx", "f.*")
 
 
 def hunks(diffs: DataFrame) -> DataFrame:
     """One row per hunk."""
-    return (
-        file_diffs(diffs)
-        .select("diff_id", "file_idx", "path", F.posexplode("hunks").alias("hunk_idx", "h"))
-        .select("diff_id", "file_idx", "path", "hunk_idx", "h.*")
-    )
+    return explode_items(
+        file_diffs(diffs), ["diff_id", "file_idx", "path"], F.col("hunks"), "hunk_idx", "h"
+    ).select("diff_id", "file_idx", "path", "hunk_idx", "h.*")
 
 
 def stats_of(files: Column) -> Column:

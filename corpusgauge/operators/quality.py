@@ -12,6 +12,7 @@ from corpusgauge.functions.languages import code_language
 from corpusgauge.functions.numbers import one_decimal
 from corpusgauge.functions.paths import quality_excluded
 from corpusgauge.functions.regex import java_regex
+from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.text import (
     count_matches,
     let,
@@ -141,12 +142,10 @@ def issues_of(text: Column, extents: Column, rules: Sequence[R.Rule] = R.RULES)
 
 def file_extents(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
     """One row per function header."""
-    return (
-        scoped(files, excludes)
-        .select("repo_id", "path", function_extents(F.col("text"), F.col("language")).alias("f"))
-        .select("repo_id", "path", F.posexplode("f").alias("function_idx", "f"))
-        .select("repo_id", "path", "function_idx", "f.line", "f.name", "f.lines")
-    )
+    extents = function_extents(F.col("text"), F.col("language"))
+    return explode_items(
+        scoped(files, excludes), ["repo_id", "path"], extents, "function_idx", "f"
+    ).select("repo_id", "path", "function_idx", "f.line", "f.name", "f.lines")
 
 
 def _metric_columns(rules: Sequence[R.Rule]) -> list[Column]:
@@ -215,8 +214,8 @@ def file_results(
 
 def exploded(found: DataFrame) -> DataFrame:
     """One row per issue of ``found``."""
-    return found.select(
-        "repo_id", "path", F.posexplode("found").alias("issue_idx", "issue")
+    return explode_items(
+        found, ["repo_id", "path"], F.col("found"), "issue_idx", "issue"
     ).select("repo_id", "path", "issue_idx", "issue.*")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.regex import java_regex
+from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.text import first_group, is_blank, let, strip
 
 # Where JSON and summaries sit in a reply, and the field defaults.
@@ -183,11 +184,9 @@ def text_summary(response: Column) -> Column:
 
 def comments(responses: DataFrame) -> DataFrame:
     """One row per comment."""
-    return (
-        parsed_replies(responses)
-        .select("diff_id", "agent", F.posexplode("comments").alias("comment_idx", "c"))
-        .select("diff_id", "agent", "comment_idx", "c.*")
-    )
+    return explode_items(
+        parsed_replies(responses), ["diff_id", "agent"], F.col("comments"), "comment_idx", "c"
+    ).select("diff_id", "agent", "comment_idx", "c.*")
 
 
 def purpose_of(response: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.templates import fill
 from corpusgauge.functions.text import is_blank
 from corpusgauge.operators.agents import (
@@ -93,7 +94,7 @@ def reviewed_diffs(diffs: DataFrame, responses: DataFrame, agents: Sequence[Agen
 
 def agent_reviews(reviewed: DataFrame) -> DataFrame:
     """One row per diff and reviewer."""
-    return reviewed.select("diff_id", F.posexplode("reviews").alias("agent_idx", "r")).select(
+    return explode_items(reviewed, ["diff_id"], F.col("reviews"), "agent_idx", "r").select(
         "diff_id",
         "agent_idx",
         "r.agent",
@@ -141,8 +142,9 @@ def severity_map(reviewed: DataFrame) -> DataFrame:
 
 
 def by_severity(reviewed: DataFrame) -> DataFrame:
-    return severity_map(reviewed).select(
-        "diff_id", F.explode("by_severity").alias("severity", "n_comments")
+    counted = severity_map(reviewed).withColumn("entries", F.map_entries("by_severity"))
+    return explode_items(counted, ["diff_id"], F.col("entries"), "idx", "e").select(
+        "diff_id", F.col("e.key").alias("severity"), F.col("e.value").alias("n_comments")
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from corpusgauge.functions import rules as R
 from corpusgauge.functions.languages import code_language
 from corpusgauge.functions.paths import file_name, hidden, structure_excluded
 from corpusgauge.functions.regex import java_regex
-from corpusgauge.functions.text import universal_newlines
+from corpusgauge.functions.rows import explode_items
+from corpusgauge.functions.text import let, universal_newlines
 
 MODULE_FILE = "__init__.py"
 
@@ -124,12 +127,10 @@ def imports_of(text: Column, language: Column) -> Column:
 
 
 def imports(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
-    return _with_text(files, excludes).select(
-        "repo_id",
-        "path",
-        "language",
-        F.explode(imports_of(F.col("text"), F.col("language"))).alias("module"),
-    )
+    modules = imports_of(F.col("text"), F.col("language"))
+    return explode_items(
+        _with_text(files, excludes), ["repo_id", "path", "language"], modules, "idx", "module"
+    ).drop("idx")
 
 
 def dependencies(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
@@ -148,12 +149,20 @@ def dependencies(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
 
 
 def entry_points(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
-    by_pattern: Column = F.lit(False)
-    for name, patterns in R.ENTRY_PATTERNS.items():
-        for p in patterns:
-            hit = F.col("text").rlike(java_regex(p, multiline=p.startswith("^")))
-            by_pattern = by_pattern | ((F.col("language") == name) & hit)
-    by_name = file_name(F.col("path")).isin(*R.ENTRY_NAMES)
+    """Files with a known entry name, or with an entry pattern of their language."""
+
+    def is_entry(f: Column) -> Column:
+        chain: Column | None = None
+        for name, patterns in R.ENTRY_PATTERNS.items():
+            hits = [f["text"].rlike(java_regex(p, multiline=p.startswith("^"))) for p in patterns]
+            found = reduce(operator.or_, hits)
+            test = f["language"] == name
+            chain = F.when(test, found) if chain is None else chain.when(test, found)
+        return file_name(f["path"]).isin(*R.ENTRY_NAMES) | F.coalesce(chain, F.lit(False))
+
+    # the filter is pushed below the projection, so it has to hold its inputs once
     return (
-        _with_text(files, excludes).filter(by_name | by_pattern).select("repo_id", "path", "language")
+        _with_text(files, excludes)
+        .filter(let(F.struct("path", "language", "text"), is_entry))
+        .select("repo_id", "path", "language")
     )

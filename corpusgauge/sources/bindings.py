@@ -181,17 +181,19 @@ def _joined(parts: list[str]) -> str:
 
 
 _CODE_TEXT = _cases(
-    f"{_P} % 10",
+    f"CASE WHEN {_P} % 10 = 5 THEN 4 ELSE {_P} % 10 END",
     {
-        0: _when(f"{_P} % 20 = 0", "''", _PYTHON),
         4: _joined(_SCRIPT),
-        5: _joined(_SCRIPT),
         6: _joined(_GO),
         7: _joined(_JAVA),
         8: _joined(_RUST),
         9: _when(f"{_P} % 3 = 0", _joined(_RUBY), _joined(_C)),
     },
-    _joined([_PYTHON, *_PYTHON_BODY]),
+    _when(
+        f"{_P} % 20 = 0",
+        "''",
+        _joined([_PYTHON, _when(f"{_P} % 10 <> 0", _joined(_PYTHON_BODY))]),
+    ),
 )
 _CODE_FOLDER = _when(
     f"{_P} % 10 < 2",
@@ -227,9 +229,8 @@ FILES_CODE = Binding(
         "repo_id": f"'code' || CAST(({_P} - {_P} % 10) % 120 AS STRING)",
         "path": f"{_CODE_FOLDER} || {_CODE_FILE}",
         # every 13th file has \r\n line ends
-        "content": _when(
-            f"{_P} % 13 = 0", f"replace({_CODE_TEXT}, chr(10), chr(13) || chr(10))", _CODE_TEXT
-        ),
+        "content": f"replace({_CODE_TEXT}, chr(10), "
+        f"{_when(f'{_P} % 13 = 0', 'chr(13) || chr(10)', 'chr(10)')})",
     },
 )
 FILE_BINDINGS = (FILES_DOCS, FILES_PAGES, FILES_CODE)
