@@ -65,17 +65,24 @@ def match_lines(text: Column, pattern: str) -> Column:
     Each match gets a marker put in front of it and the marked text is cut into
     lines once, so the cost is linear in the text whatever the number of matches.
     """
-    marked = F.regexp_replace(
-        F.replace(text, F.lit(_MARK), F.lit(_MARK_STAND_IN)), F.lit(pattern), F.lit(_MARK + "$0")
-    )
+    return marked_lines(mark_matches(text, pattern))
+
+
+def mark_matches(text: Column, pattern: str) -> Column:
+    plain = F.replace(text, F.lit(_MARK), F.lit(_MARK_STAND_IN))
+    return F.regexp_replace(plain, F.lit(pattern), F.lit(_MARK + "$0"))
+
+
+def marked_lines(marked: Column) -> Column:
+    """Line numbers of the marks, each line as often as it holds one."""
 
     def per_line(line: Column, index: Column) -> Column:
         marks = F.length(line) - F.length(F.replace(line, F.lit(_MARK), F.lit("")))
         return F.array_repeat(index + 1, marks)
 
-    def lines_of(with_marks: Column) -> Column:
-        lines = F.flatten(F.transform(F.split(with_marks, "\n", -1), per_line))
-        return F.when(F.contains(with_marks, F.lit(_MARK)), lines).otherwise(no_lines())
+    def lines_of(text: Column) -> Column:
+        lines = F.flatten(F.transform(F.split(text, "\n", -1), per_line))
+        return F.when(F.contains(text, F.lit(_MARK)), lines).otherwise(no_lines())
 
     return let(marked, lines_of)
 
@@ -123,6 +130,8 @@ __all__ = [
     "iterated_lines",
     "java_regex",
     "let",
+    "mark_matches",
+    "marked_lines",
     "match_lines",
     "newline_count",
     "no_lines",

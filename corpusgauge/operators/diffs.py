@@ -160,4 +160,5 @@ def rebuilt_text(files: Column) -> Column:
         heads = F.array(F.concat(F.lit("--- a/"), f["path"]), F.concat(F.lit("+++ b/"), f["path"]))
         return F.concat(heads, F.flatten(F.transform(f["hunks"], hunk_lines)))
 
-    return F.array_join(F.flatten(F.transform(files, file_lines)), "\n")
+    readable = F.filter(files, lambda f: f["parse_error"].isNull())
+    return F.array_join(F.flatten(F.transform(readable, file_lines)), "\n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.text import (
     count_matches,
     let,
+    mark_matches,
+    marked_lines,
     match_lines,
     newline_count,
     split_lines,
@@ -71,39 +73,48 @@ def function_extents(text: Column, language: Column) -> Column:
     blank lines above it, to the start of the next match or the end of the text.
     """
 
-    def extents(pattern: str, two_groups: bool) -> Column:
-        def name_of(header: Column) -> Column:
-            first = F.regexp_extract(header, pattern, 1)
-            if not two_groups:
-                return first
-            return F.coalesce(F.nullif(first, F.lit("")), F.regexp_extract(header, pattern, 2))
-
-        found = F.struct(
-            match_lines(text, pattern).alias("starts"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("headers"),
-            (newline_count(text) + 1).alias("end"),
+    by_pattern: dict[str, list[str]] = {}
+    for name, header in R.FUNCTION_HEADERS.items():
+        by_pattern.setdefault(header, []).append(name)
+
+    def per_language(build: Callable[[str, bool], Column]) -> Column:
+        chain: Column | None = None
+        for header, names in by_pattern.items():
+            value = build(java_regex(header, multiline=True), names[0] in R.TWO_GROUP_HEADERS)
+            test = language.isin(*names)
+            chain = F.when(test, value) if chain is None else chain.when(test, value)
+        return chain
+
+    def names_in(pattern: str, two_groups: bool) -> Column:
+        if not two_groups:
+            return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        return F.transform(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            lambda header: F.coalesce(
+                F.nullif(F.regexp_extract(header, pattern, 1), F.lit("")),
+                F.regexp_extract(header, pattern, 2),
+            ),
         )
 
-        def spans(m: Column) -> Column:
-            return F.transform(
-                m["starts"],
-                lambda line, i: F.struct(
-                    line.alias("line"),
-                    name_of(F.get(m["headers"], i)).alias("name"),
-                    (F.coalesce(F.get(m["starts"], i + 1), m["end"]) - line + 1).alias("lines"),
-                ),
-            )
+    found = F.struct(
+        marked_lines(per_language(lambda pattern, _: mark_matches(text, pattern))).alias("starts"),
+        per_language(names_in).alias("names"),
+        (newline_count(text) + 1).alias("end"),
+    )
 
-        return let(found, spans)
+    def spans(m: Column) -> Column:
+        return F.transform(
+            m["starts"],
+            lambda line, i: F.struct(
+                line.alias("line"),
+                F.get(m["names"], i).alias("name"),
+                (F.coalesce(F.get(m["starts"], i + 1), m["end"]) - line + 1).alias("lines"),
+            ),
+        )
 
-    chain: Column | None = None
-    for name, header in R.FUNCTION_HEADERS.items():
-        pattern = java_regex(header, multiline=True)
-        branch = extents(pattern, name in R.TWO_GROUP_HEADERS)
-        # the cheap search first: most files of other shapes have no header at all
-        test = (language == name) & text.rlike(pattern)
-        chain = F.when(test, branch) if chain is None else chain.when(test, branch)
-    return chain.otherwise(F.array().cast("array<struct<line:int,name:string,lines:int>>"))
+    return F.when(language.isin(*R.FUNCTION_HEADERS), let(found, spans)).otherwise(
+        F.array().cast("array<struct<line:int,name:string,lines:int>>")
+    )
 
 
 def long_functions_of(extents: Column) -> Column:

@@ -58,7 +58,7 @@ def _python_type(value: Column) -> Column:
         .when(kind == "BIGINT", "int")
         .when(F.startswith(kind, F.lit("ARRAY")), "list")
         .when(F.startswith(kind, F.lit("OBJECT")), "dict")
-        .otherwise("float")
+        .when(kind.isNotNull(), "float")
     )
 
 

@@ -98,7 +98,7 @@ def agent_review_markdown(review: Column) -> Column:
     """The layout of one reviewer's section."""
     return _text(
         _lines(
-            F.concat(F.lit("### "), review["agent"]), "",
+            F.concat(F.lit("### "), review["agent_name"]), "",
             F.concat(F.lit("*"), _str(F.size(review["comments"])), F.lit(" comments*")), "",
         ),
         F.flatten(F.transform(review["comments"], _comment_lines)),

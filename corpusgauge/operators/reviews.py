@@ -181,6 +181,17 @@ def review_verdict(reviewed: DataFrame) -> DataFrame:
     )
 
 
+def _published(review: Column) -> Column:
+    """A review without its working columns; every comment names its reviewer."""
+    fields = ("file", "line", "severity", "category", "message", "suggestion")
+    comment = lambda c: F.struct(review["agent"].alias("agent"), *[c[f].alias(f) for f in fields])
+    return F.struct(
+        review["agent"].alias("agent_name"),
+        F.transform(review["comments"], comment).alias("comments"),
+        review["summary"].alias("summary"),
+    )
+
+
 def review_results(
     reviewed: DataFrame, model_summaries: DataFrame | None = None
 ) -> DataFrame:
@@ -209,7 +220,7 @@ def review_results(
     return mapped.select(
         "diff_id",
         F.col("stats").alias("diff_summary"),
-        F.col("reviews").alias("agent_reviews"),
+        F.transform("reviews", _published).alias("agent_reviews"),
         "total_comments",
         "by_severity",
         summary.alias("summary"),

@@ -586,6 +586,358 @@ diff_query(
         SELECT diff_id, file_idx, concat_ws({NL}, '--- a/' || path, '+++ b/' || path,
           string_agg('@@ -' || old_start || ',' || old_count || ' +' || new_start || ',' || new_count
             || ' @@' || {NL} || content, {NL} ORDER BY hunk_idx)) AS block
-        FROM file_rows LEFT JOIN hunks USING (diff_id, file_idx) GROUP BY diff_id, file_idx, path)
+        FROM file_rows LEFT JOIN hunks USING (diff_id, file_idx) WHERE parse_error IS NULL
+        GROUP BY diff_id, file_idx, path)
       USING (diff_id) GROUP BY diff_id""",
 )
+
+# --- reviews -------------------------------------------------------------------------------
+
+_NAMES = ("architect", "security", "performance", "junior")
+ORACLES["review_tasks"] = f"""WITH diffs AS ({B.DIFFS.sql()})
+  SELECT diff_id, CAST(i - 1 AS INTEGER) AS agent_idx, ['security', 'junior', 'architect'][i] AS agent
+  FROM diffs, range(1, 4) AS t(i) WHERE {strip("raw")} <> ''"""
+
+_FENCE = "```json"
+_JSON_TYPE = (
+    "CASE json_type({v}) WHEN 'NULL' THEN 'NoneType' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' "
+    "WHEN 'BIGINT' THEN 'int' WHEN 'UBIGINT' THEN 'int' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict' "
+    "ELSE 'float' END"
+)
+
+
+def _type(value: str) -> str:
+    return _JSON_TYPE.format(v=value)
+
+
+def _field(name: str, default: str) -> str:
+    return f"CASE WHEN json_type(item, '$.{name}') IS NULL THEN {lit(default)} ELSE item->>'$.{name}' END"
+
+
+REPLIES = f"""
+responses AS ({B.RESPONSES.sql()}),
+located AS (
+  SELECT *, CASE WHEN regexp_matches(response, '{_FENCE}\\s*[\\s\\S]*?\\s*```')
+      THEN {strip(f"regexp_extract(response, '{_FENCE}\\s*([\\s\\S]*?)\\s*```', 1)")}
+    WHEN left({strip("response")}, 1) IN ('[', '{{') THEN {strip("response")} END AS json
+  FROM responses),
+typed AS (
+  SELECT *, CASE WHEN json IS NOT NULL AND json_valid(json) THEN CAST(json AS JSON) END AS data
+  FROM located),
+shaped AS MATERIALIZED (
+  SELECT *, CASE WHEN data IS NULL THEN 'text' ELSE {_type("data")} END AS shape,
+    CASE WHEN json_type(data) = 'ARRAY' THEN data
+      WHEN json_type(data, '$.comments') = 'ARRAY' THEN data->'$.comments' END AS listed
+  FROM typed),
+items AS (
+  SELECT diff_id, agent, i, json_extract(listed, '$[' || (i - 1) || ']') AS item
+  FROM shaped, unnest(range(1, CAST(json_array_length(listed) AS BIGINT) + 1)) AS t(i)
+  WHERE listed IS NOT NULL),
+bad_items AS (
+  SELECT diff_id, agent, arg_min(CASE WHEN json_type(item) <> 'OBJECT'
+      THEN '''' || {_type("item")} || ''' object has no attribute ''get'''
+      ELSE '''' || {_type("item->'$.severity'")} || ''' object has no attribute ''upper''' END, i) AS why
+  FROM items WHERE json_type(item) <> 'OBJECT' OR json_type(item, '$.severity') <> 'VARCHAR'
+  GROUP BY ALL),
+failures AS (
+  SELECT diff_id, agent, why FROM bad_items
+  UNION ALL
+  SELECT diff_id, agent, '''' || {_type("data->'$.comments'")} || ''' object is not iterable'
+  FROM shaped WHERE shape = 'dict' AND json_type(data, '$.comments') = 'NULL'),
+comments AS MATERIALIZED (
+  SELECT diff_id, agent, CAST(i - 1 AS INTEGER) AS comment_idx, {_field("file", "unknown")} AS file,
+    TRY_CAST(item->>'$.line' AS INTEGER) AS line,
+    CASE WHEN lower(item->>'$.severity') IN ('error', 'warning') THEN lower(item->>'$.severity')
+      ELSE 'info' END AS severity,
+    {_field("category", "general")} AS category, {_field("message", "")} AS message,
+    item->>'$.suggestion' AS suggestion
+  FROM items ANTI JOIN failures USING (diff_id, agent)
+  UNION ALL
+  SELECT diff_id, agent, 0, 'general', NULL, 'info', 'general', {strip("response")}, NULL
+  FROM shaped WHERE shape = 'text' AND {strip("response")} <> ''),
+summaries AS (
+  SELECT diff_id, agent, CASE WHEN shape = 'dict' AND json_type(data, '$.summary') IS NOT NULL
+      THEN coalesce(data->>'$.summary', '')
+    WHEN response IS NULL THEN ''
+    ELSE {strip("regexp_extract(response, '(?i)(?:^|\\n)(?:##?\\s*)?Summary:?\\s*([\\s\\S]*?)(?:\\n##|\\n\\n|$)', 1)")}
+    END AS own_summary
+  FROM shaped)
+"""
+ORACLES["json_locate"] = f"WITH {REPLIES} SELECT diff_id, agent, json FROM located"
+ORACLES["comments"] = f"WITH {REPLIES} SELECT * FROM comments"
+ORACLES["reply_summary"] = f"WITH {REPLIES} SELECT * FROM summaries"
+ORACLES["priority_issues"] = f"""WITH {REPLIES} SELECT diff_id, CASE severity WHEN 'error' THEN 1
+    WHEN 'warning' THEN 2 ELSE 3 END AS priority, file, line, agent, comment_idx, message FROM comments"""
+ORACLES["shared_issues"] = f"""WITH {REPLIES} SELECT diff_id, file,
+    CASE WHEN line IS NULL THEN '#' || category ELSE CAST(line AS VARCHAR) END AS place,
+    count(DISTINCT agent) AS n_agents, count(*) AS n_comments
+  FROM comments GROUP BY ALL HAVING count(DISTINCT agent) >= 2"""
+
+
+def _default_summary() -> str:
+    whens = []
+    for a in A.AGENTS:
+        parts = ", ".join(
+            f"CASE WHEN {n} > 0 THEN {lit(label + ' ')} || {n} || {lit(A.COUNT_SUFFIX)} END"
+            for n, label in (("errors", a.error_label), ("warnings", a.warning_label), ("infos", a.info_label))
+        )
+        whens.append(
+            f"WHEN {lit(a.name)} THEN CASE WHEN n_comments = 0 THEN {lit(a.none_text)} "
+            f"ELSE {lit(a.heading)} || concat_ws(', ', {parts}) END"
+        )
+    return f"CASE agent {' '.join(whens)} END"
+
+
+REVIEWS = f"""{DIFFS}, {REPLIES},
+tasks AS (
+  SELECT diff_id, CAST(i - 1 AS INTEGER) AS agent_idx, [{", ".join(lit(n) for n in _NAMES)}][i] AS agent
+  FROM diffs, range(1, 5) AS t(i) WHERE {strip("raw")} <> ''),
+per_agent AS (
+  SELECT diff_id, agent, count(*) AS n, count(*) FILTER (severity = 'error') AS e,
+    count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'info') AS i
+  FROM comments GROUP BY ALL),
+joined AS (
+  SELECT diff_id, agent_idx, agent, coalesce(n, 0) AS n_comments, coalesce(e, 0) AS errors,
+    coalesce(w, 0) AS warnings, coalesce(i, 0) AS infos, why, own_summary,
+    CASE WHEN r.agent IS NULL THEN 'no response' ELSE r.error END AS call_error
+  FROM tasks LEFT JOIN responses r USING (diff_id, agent) LEFT JOIN per_agent USING (diff_id, agent)
+    LEFT JOIN failures USING (diff_id, agent) LEFT JOIN summaries USING (diff_id, agent)),
+reviews AS MATERIALIZED (
+  SELECT *, CASE WHEN call_error IS NOT NULL THEN {lit(A.CALL_FAILED)} || call_error
+      WHEN why IS NOT NULL THEN {lit(A.REVIEW_FAILED)} || why
+      WHEN own_summary <> '' THEN own_summary ELSE {_default_summary()} END AS summary
+  FROM joined),
+totals AS MATERIALIZED (
+  SELECT diff_id, CAST(coalesce(sum(n_comments), 0) AS BIGINT) AS total_comments,
+    CAST(coalesce(sum(errors), 0) AS BIGINT) AS errors,
+    CAST(coalesce(sum(warnings), 0) AS BIGINT) AS warnings, CAST(coalesce(sum(infos), 0) AS BIGINT) AS infos
+  FROM diffs LEFT JOIN reviews USING (diff_id) GROUP BY diff_id),
+comment_text AS (
+  SELECT diff_id, agent,
+    string_agg('- [' || upper(severity) || '] ' || coalesce(file, 'None')
+      || CASE WHEN coalesce(line, 0) <> 0 THEN ':' || line ELSE '' END || {NL} || '  ' || coalesce(message, 'None')
+      || CASE WHEN coalesce(suggestion, '') <> '' THEN {NL} || '  Suggestion: ' || suggestion ELSE '' END
+      || {NL}, {NL} ORDER BY comment_idx) AS listed,
+    string_agg('- **[' || upper(severity) || ']** `' || coalesce(file, 'None') || '`'
+      || CASE WHEN coalesce(line, 0) <> 0 THEN ' (line ' || line || ')' ELSE '' END || {NL}
+      || '  - ' || coalesce(message, 'None')
+      || CASE WHEN coalesce(suggestion, '') <> '' THEN {NL} || '  - *Suggestion*: ' || suggestion ELSE '' END
+      || {NL}, {NL} ORDER BY comment_idx) AS marked
+  FROM comments GROUP BY ALL),
+review_text AS (
+  SELECT diff_id,
+    string_agg('### ' || agent || {NL} || {NL} || coalesce(listed, '*No issues found.*' || {NL})
+      || CASE WHEN summary <> '' THEN {NL} || '**Summary**: ' || summary || {NL} ELSE '' END,
+      {NL} ORDER BY agent_idx) AS plain,
+    string_agg('### ' || agent || {NL} || {NL} || '*' || n_comments || ' comments*' || {NL}
+      || coalesce({NL} || marked, '')
+      || CASE WHEN summary <> '' THEN {NL} || '**Summary**: ' || summary || {NL} ELSE '' END,
+      {NL} ORDER BY agent_idx) AS marked
+  FROM reviews LEFT JOIN comment_text USING (diff_id, agent) GROUP BY diff_id),
+first_seen AS (
+  SELECT diff_id, severity, min(agent_idx * 1000 + comment_idx) AS seen, count(*) AS n
+  FROM comments JOIN tasks USING (diff_id, agent) GROUP BY ALL),
+severity_text AS (
+  SELECT diff_id, string_agg('- **' || upper(severity) || '** ['
+    || CASE severity WHEN 'error' THEN 'X' WHEN 'warning' THEN '!' ELSE 'i' END || ']: ' || n,
+    {NL} ORDER BY seen) AS severities
+  FROM first_seen GROUP BY diff_id)
+"""
+
+
+def review_query(name: str, select: str) -> None:
+    ORACLES[name] = f"WITH {REVIEWS} {select}"
+
+
+review_query(
+    "agent_reviews",
+    "SELECT diff_id, agent_idx, agent, n_comments, errors, warnings, infos FROM reviews",
+)
+review_query("agent_summary", "SELECT diff_id, agent, summary FROM reviews")
+review_query("comment_totals", "SELECT diff_id, total_comments FROM totals")
+review_query("by_severity", "SELECT diff_id, severity, n AS n_comments FROM first_seen")
+_BEFORE, _AFTER = RV.TOTAL_TEXT
+_COUNTS = ", ".join(
+    f"CASE WHEN {n} > 0 THEN {lit(prefix)} || {n} || {lit(RV.COUNT_UNIT)} END"
+    for n, prefix in zip(("errors", "warnings", "infos"), RV.PER_SEVERITY, strict=True)
+)
+review_query(
+    "review_verdict",
+    f"""SELECT diff_id, total_comments, errors, warnings, infos,
+      CASE WHEN errors > 0 THEN 'must_fix' WHEN warnings > 0 THEN 'should_look' ELSE 'mergeable' END AS verdict,
+      concat_ws({NL}, {lit(_BEFORE)} || total_comments || {lit(_AFTER)}, {_COUNTS},
+        CASE WHEN errors > 0 THEN {text(RV.MUST_FIX)} WHEN warnings > 0 THEN {text(RV.SHOULD_LOOK)}
+          ELSE {text(RV.MERGEABLE)} END) AS summary
+      FROM totals SEMI JOIN tasks USING (diff_id)""",
+)
+review_query(
+    "fmt_reviews",
+    "SELECT diff_id, coalesce(plain, '') AS agent_reviews FROM diffs LEFT JOIN review_text USING (diff_id)",
+)
+_SUMMARY_SLOTS = {
+    "files_changed": "files_changed",
+    "additions": "total_additions",
+    "deletions": "total_deletions",
+    "agent_reviews": "plain",
+}
+review_query(
+    "prompts_summary",
+    f"""SELECT diff_id, length(p) AS prompt_chars, md5(p) AS prompt_md5
+      FROM (SELECT diff_id, {filled("summary", _SUMMARY_SLOTS)} AS p
+        FROM review_text JOIN diff_stats USING (diff_id))""",
+)
+review_query(
+    "md_review",
+    f"""SELECT diff_id, {text("# Code Review Results" + chr(10) * 2 + "## Diff Statistics" + chr(10) * 2)}
+      || '- **Files Changed**: ' || files_changed || {NL} || '- **Additions**: +' || total_additions || {NL}
+      || '- **Deletions**: -' || total_deletions || {NL}
+      || coalesce({text(chr(10) + "## Issues by Severity" + chr(10) * 2)} || severities || {NL}, '')
+      || coalesce({NL} || marked, '')
+      || CASE WHEN plain IS NULL THEN {text(chr(10) + "## Overall Summary" + chr(10) * 2 + RV.NOTHING_TO_REVIEW + chr(10))}
+        ELSE '' END AS report
+      FROM diffs JOIN diff_stats USING (diff_id) LEFT JOIN severity_text USING (diff_id)
+        LEFT JOIN review_text USING (diff_id)""",
+)
+
+
+def _agent_prompts() -> str:
+    values = {"diff": "raw", "file_context": lit(RV.NO_CONTEXT)}
+    whens = " ".join(f"WHEN {lit(a.name)} THEN {filled(a.template, values)}" for a in A.AGENTS)
+    return f"CASE agent {whens} END"
+
+
+ORACLES["prompts_review"] = f"""WITH diffs AS ({B.DIFFS.sql()}),
+  tasks AS (SELECT diff_id, raw, unnest([{", ".join(lit(n) for n in _NAMES)}]) AS agent
+    FROM diffs WHERE {strip("raw")} <> ''),
+  prompts AS (SELECT diff_id, agent, {_agent_prompts()} AS p FROM tasks)
+  SELECT diff_id, agent, length(p) AS prompt_chars, md5(p) AS prompt_md5 FROM prompts"""
+
+ORACLES["file_context"] = f"""WITH {DIFFS}, parts AS ({B.FILES_CODE.sql()}),
+  keyed AS (SELECT *, TRY_CAST(regexp_extract(path, 'f([0-9]+)\\.py$', 1) AS BIGINT) AS k FROM parts),
+  sources AS (
+    SELECT repo_id, 'src/m' || k % 7 || '/f' || k % 50 || '_' || (k % 4 + 1) || '.py' AS path,
+      min(content) AS content FROM keyed WHERE k IS NOT NULL GROUP BY ALL),
+  blocks AS (
+    SELECT diff_id, string_agg('### ' || path || {NL} || '```' || {NL} || content || {NL} || '```' || {NL},
+      {NL} ORDER BY file_idx) AS c
+    FROM file_rows JOIN diffs USING (diff_id) JOIN sources USING (repo_id, path) GROUP BY diff_id)
+  SELECT diff_id, length(c) AS file_context_chars, md5(c) AS file_context_md5 FROM blocks"""
+
+# --- explanations -----------------------------------------------------------------------------
+
+_SECTION = r"(?is)(?:###?\s*)?{title}\s*\n(.*?)(?:\n###?\s|\n\n###?|\z)"
+_PURPOSE, _KEYS = _SECTION.format(title="Purpose"), _SECTION.format(title="Key Elements")
+ORACLES["purpose"] = f"""WITH replies AS ({B.REPLIES.sql()})
+  SELECT repo_id, path, CASE WHEN regexp_matches(response, '{_PURPOSE}')
+    THEN {strip(f"regexp_extract(response, '{_PURPOSE}', 1)")}
+    ELSE {strip(f"string_split({strip('response')}, {NL} || {NL})[1]")} END AS purpose FROM replies"""
+ORACLES["key_elements"] = f"""WITH replies AS ({B.REPLIES.sql()}),
+  bullets AS (
+    SELECT repo_id, path, list_filter(list_transform(
+        regexp_extract_all(regexp_extract(response, '{_KEYS}', 1), '(?m)^\\s*[-*]\\s*(.+)$', 1),
+        lambda x: {strip("x")}), lambda x: x <> '') AS es
+    FROM replies)
+  SELECT repo_id, path, CAST(i - 1 AS INTEGER) AS idx, es[i] AS element
+  FROM bullets, unnest(range(1, len(es) + 1)) AS t(i)"""
+
+_FILE_SLOTS = {"file_path": "path", "language": "explain_language", "lines": "n", "content": "txt"}
+EXPLAIN = f"""
+prompted AS (
+  SELECT repo_id, path, explain_language AS language, n AS lines, {filled("file", _FILE_SLOTS)} AS p
+  FROM (SELECT *, len(regexp_extract_all(txt, '[\\n\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'))
+      + CASE WHEN txt <> '' AND right(txt, 1) <> {NL} THEN 1 ELSE 0 END AS n FROM f)
+  WHERE size_bytes <= 500 * 1024),
+answered AS (
+  SELECT *, CASE WHEN length(p) % 11 <> 0 THEN '### Purpose' || {NL} || 'Holds ' || length(p)
+      || ' characters.' || {text(chr(10) * 2 + "### Key Elements" + chr(10))} || '- first ' || length(p) % 7
+      || {text(chr(10) + "* second" + chr(10) * 2 + "### Details" + chr(10) + "None.")} END AS response,
+    CASE WHEN length(p) % 11 = 0 THEN 'refused ' || length(p) END AS error
+  FROM prompted)
+"""
+simple(
+    "prompts_file",
+    "SELECT repo_id, path, length(p) AS prompt_chars, md5(p) AS prompt_md5 FROM prompted",
+    EXPLAIN,
+)
+simple("complete_batch", "SELECT repo_id, path, language, lines, response, error FROM answered", EXPLAIN)
+simple(
+    "file_explanations",
+    """SELECT repo_id, path, language, lines, 'Holds ' || length(p) || ' characters.' AS purpose,
+      'first ' || length(p) % 7 || '|second' AS key_elements, response AS explanation
+      FROM answered WHERE response IS NOT NULL""",
+    EXPLAIN,
+)
+simple(
+    "md_file",
+    f"""SELECT repo_id, path, '# ' || name || {NL} || {NL} || '> ' || path || {NL} || {NL}
+      || '- **Language**: ' || language || {NL} || '- **Lines**: ' || lines
+      || {text(chr(10) * 2 + "## Purpose" + chr(10) * 2)} || 'Holds ' || length(p) || ' characters.'
+      || {text(chr(10) * 2 + "## Key Elements" + chr(10) * 2)} || '- first ' || length(p) % 7
+      || {text(chr(10) + "- second" + chr(10) * 2 + "## Explanation" + chr(10) * 2)} || response || {NL} AS report
+      FROM (SELECT *, split_part(path, '/', -1) AS name FROM answered) WHERE response IS NOT NULL""",
+    EXPLAIN,
+)
+
+# --- JSON reports -------------------------------------------------------------------------------
+
+review_query(
+    "review_result",
+    f"""SELECT diff_id, files_changed, total_additions, total_deletions, coalesce(reviewers, '') AS reviewers,
+      total_comments, coalesce(by_severity, '') AS by_severity,
+      CASE WHEN reviewers IS NULL THEN {lit(RV.NOTHING_TO_REVIEW)} ELSE '' END AS summary
+      FROM diff_stats JOIN totals USING (diff_id)
+        LEFT JOIN (SELECT diff_id, string_agg(agent, ',' ORDER BY agent_idx) AS reviewers FROM reviews
+          GROUP BY diff_id) USING (diff_id)
+        LEFT JOIN (SELECT diff_id, string_agg(severity || '=' || n, ',' ORDER BY seen) AS by_severity
+          FROM first_seen GROUP BY diff_id) USING (diff_id)""",
+)
+review_query(
+    "report_json_review",
+    f"""SELECT diff_id, CAST(to_json(struct_pack(diff_id := diff_id,
+        diff_summary := struct_pack(files_changed := files_changed, total_additions := total_additions,
+          total_deletions := total_deletions),
+        agent_reviews := coalesce(rs, []), total_comments := total_comments,
+        by_severity := coalesce(m, MAP {{}}),
+        summary := CASE WHEN rs IS NULL THEN {lit(RV.NOTHING_TO_REVIEW)} ELSE '' END)) AS VARCHAR) AS report
+      FROM diff_stats JOIN totals USING (diff_id)
+        LEFT JOIN (
+          SELECT diff_id, list(struct_pack(agent_name := agent, comments := coalesce(cs, []),
+            summary := summary) ORDER BY agent_idx) AS rs
+          FROM reviews LEFT JOIN (
+            SELECT diff_id, agent, list(struct_pack(agent := agent, file := file, line := line,
+              severity := severity, category := category, message := message, suggestion := suggestion)
+              ORDER BY comment_idx) AS cs
+            FROM comments GROUP BY ALL) USING (diff_id, agent)
+          GROUP BY diff_id) USING (diff_id)
+        LEFT JOIN (SELECT diff_id, map_from_entries(list((severity, n) ORDER BY seen)) AS m
+          FROM first_seen GROUP BY diff_id) USING (diff_id)""",
+)
+simple(
+    "report_json_quality",
+    """SELECT repo_id, CAST(to_json(struct_pack(repo_id := repo_id, files_analyzed := files_analyzed,
+        total_lines := total_lines, complexity_score := complexity_score, score := CAST(score AS DOUBLE),
+        grade := grade, errors := errors, warnings := warnings, infos := infos, summary := summary))
+        AS VARCHAR) AS report FROM reports""",
+    QUALITY,
+)
+simple(
+    "report_json_repo",
+    """SELECT repo_id, CAST(to_json(struct_pack(repo_id := repo_id, name := repo_id,
+        total_files := total_files, total_lines := total_lines, languages := coalesce(ls, []),
+        recent_commits := coalesce(cs, []), summary := '')) AS VARCHAR) AS report
+      FROM totals
+        LEFT JOIN (SELECT repo_id, list(struct_pack(language := language, files := files, lines := lines,
+          percentage := round(pct, 6)) ORDER BY rank) AS ls FROM stats GROUP BY repo_id) USING (repo_id)
+        LEFT JOIN (SELECT repo_id, list(struct_pack(hash := hash, short_hash := short_hash,
+          message := message, author := author, date := strftime(ts, '%Y-%m-%dT%H:%M:%S'))
+          ORDER BY commit_rank) AS cs FROM recent GROUP BY repo_id) USING (repo_id)""",
+    OVERVIEW,
+)
+simple(
+    "report_json_file",
+    """SELECT repo_id, path, CAST(to_json(struct_pack(repo_id := repo_id, path := path,
+        language := language, lines := lines, purpose := 'Holds ' || length(p) || ' characters.',
+        key_elements := ['first ' || length(p) % 7, 'second'], explanation := response)) AS VARCHAR) AS report
+      FROM answered WHERE response IS NOT NULL""",
+    EXPLAIN,
+)

@@ -415,7 +415,19 @@ def review_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def review_result(spark: SparkSession, sf: str) -> DataFrame:
-    return RV.review_results(_reviewed(spark, sf))
+    """Flat view of the nested result; ``report_json_review`` holds all of it."""
+    severities = F.transform(
+        F.map_entries("by_severity"),
+        lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
+    )
+    return RV.review_results(_reviewed(spark, sf)).select(
+        "diff_id",
+        "diff_summary.*",
+        F.array_join(F.transform("agent_reviews", lambda r: r["agent_name"]), ",").alias("reviewers"),
+        "total_comments",
+        F.array_join(severities, ",").alias("by_severity"),
+        "summary",
+    )
 
 
 @query
@@ -481,6 +493,34 @@ def report_json_quality(spark: SparkSession, sf: str) -> DataFrame:
     return report_json(Q.quality_report(_totals(spark, sf)), "repo_id")
 
 
+@query
+def report_json_repo(spark: SparkSession, sf: str) -> DataFrame:
+    languages = F.transform(
+        "languages",
+        lambda s: F.struct(
+            s["language"].alias("language"),
+            s["files"].alias("files"),
+            s["lines"].alias("lines"),
+            F.round(s["percentage"], 6).alias("percentage"),
+        ),
+    )
+    commits = F.transform(
+        "recent_commits",
+        lambda c: F.struct(
+            c["hash"].alias("hash"),
+            c["short_hash"].alias("short_hash"),
+            c["message"].alias("message"),
+            c["author"].alias("author"),
+            F.date_format(c["date"], "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        ),
+    )
+    overview = _overview(spark, sf).select(
+        "repo_id", F.col("repo_id").alias("name"), "total_files", "total_lines",
+        languages.alias("languages"), commits.alias("recent_commits"), F.lit("").alias("summary"),
+    )
+    return report_json(overview, "repo_id")
+
+
 # --- explanations ------------------------------------------------------------------
 
 
@@ -534,6 +574,11 @@ def file_explanations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def report_json_file(spark: SparkSession, sf: str) -> DataFrame:
+    return report_json(E.explanations(_answered(spark, sf)), "repo_id", "path")
+
+
 @query
 def md_file(spark: SparkSession, sf: str) -> DataFrame:
     return M.explanation_markdown(E.explanations(_answered(spark, sf)))
