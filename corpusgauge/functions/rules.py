@@ -6,9 +6,16 @@ driver, so that every one reaches the executors as a literal.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from corpusgauge.functions.regex import ENDS_WORD, STARTS_WORD, java_regex
+from corpusgauge.functions.regex import (
+    ENDS_WORD,
+    STARTS_WORD,
+    WORD_CLASS,
+    java_quote,
+    java_regex,
+)
 
 ERROR, WARNING, INFO = "error", "warning", "info"
 
@@ -87,14 +94,29 @@ RULES: tuple[Rule, ...] = (
     ),
 )
 
-# What raises the complexity, by category.
+# What raises the complexity, by category.  The logical marks count only
+# between two word characters, as ``\\b&&\\b`` does.
 COMPLEXITY_WORDS: dict[str, tuple[str, ...]] = {
     "conditional": ("if", "elif", "else", "switch", "case"),
     "loop": ("for", "while", "do"),
     "exception": ("try", "catch", "except", "finally"),
+    "logical": ("and", "or"),
 }
 TERNARY = r"\?\s*:"
-LOGICAL = r"\b(?:and|or|&&|\|\|)\b"
+LOGICAL_MARKS = ("&&", "||")
+
+
+def _whole_words(words: Iterable[str]) -> str:
+    """Any of the words on its own.  The first letters sort out most positions cheaply."""
+    words = list(words)
+    first_letters = "".join(sorted({word[0] for word in words}))
+    return f"(?=[{first_letters}]){STARTS_WORD}(?:{'|'.join(words)}){ENDS_WORD}"
+
+
+def _marks_between_words(marks: Iterable[str]) -> str:
+    joined = [java_quote(mark) for mark in marks]
+    behind = "|".join(f"{mark}(?<=[{WORD_CLASS}]{mark})" for mark in joined)
+    return f"(?:{behind})(?=[{WORD_CLASS}])"
 
 
 def complexity_patterns() -> dict[str, str]:
@@ -103,15 +125,18 @@ def complexity_patterns() -> dict[str, str]:
     Whole words never overlap each other, the ternary mark or the operators, so
     one alternation finds as many matches as its members do one by one.
     """
-    patterns = {
-        category: f"(?d){STARTS_WORD}(?:{'|'.join(words)}){ENDS_WORD}"
-        for category, words in COMPLEXITY_WORDS.items()
-    }
+    patterns = {category: _whole_words(words) for category, words in COMPLEXITY_WORDS.items()}
     patterns["conditional"] += "|" + java_regex(TERNARY)
-    patterns["logical"] = java_regex(LOGICAL)
+    patterns["logical"] += "|" + _marks_between_words(LOGICAL_MARKS)
     return patterns
 
 
+def total_complexity_pattern() -> str:
+    """All categories in one pass."""
+    words = [word for words in COMPLEXITY_WORDS.values() for word in words]
+    return "|".join((_whole_words(words), java_regex(TERNARY), _marks_between_words(LOGICAL_MARKS)))
+
+
 # Headers that open a function, by language, and the length limit.
 _SCRIPT_FUNCTION = (
     r"^\s*(?:async\s+)?(?:function\s+(\w+)"

@@ -73,6 +73,10 @@ def mark_matches(text: Column, pattern: str) -> Column:
     return F.regexp_replace(plain, F.lit(pattern), F.lit(_MARK + "$0"))
 
 
+def has_marks(marked: Column) -> Column:
+    return F.contains(marked, F.lit(_MARK))
+
+
 def marked_lines(marked: Column) -> Column:
     """Line numbers of the marks, each line as often as it holds one."""
 
@@ -82,7 +86,7 @@ def marked_lines(marked: Column) -> Column:
 
     def lines_of(text: Column) -> Column:
         lines = F.flatten(F.transform(F.split(text, "\n", -1), per_line))
-        return F.when(F.contains(text, F.lit(_MARK)), lines).otherwise(no_lines())
+        return F.when(has_marks(text), lines).otherwise(no_lines())
 
     return let(marked, lines_of)
 
@@ -126,6 +130,7 @@ __all__ = [
     "decode_dropping",
     "decode_or_latin1",
     "first_group",
+    "has_marks",
     "is_blank",
     "iterated_lines",
     "java_regex",

@@ -15,6 +15,7 @@ from corpusgauge.functions.regex import java_regex
 from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.text import (
     count_matches,
+    has_marks,
     let,
     mark_matches,
     marked_lines,
@@ -62,8 +63,8 @@ def complexity_of(text: Column) -> dict[str, Column]:
 
 def total_complexity(text: Column) -> Column:
     """1 plus all matches; 0 for an empty file.  One pass over the text."""
-    everything = "|".join(f"(?:{p})" for p in R.complexity_patterns().values())
-    return F.when(text == "", F.lit(0)).otherwise(count_matches(text, everything) + 1)
+    matches = count_matches(text, R.total_complexity_pattern())
+    return F.when(text == "", F.lit(0)).otherwise(matches + 1)
 
 
 def function_extents(text: Column, language: Column) -> Column:
@@ -96,12 +97,6 @@ def function_extents(text: Column, language: Column) -> Column:
             ),
         )
 
-    found = F.struct(
-        marked_lines(per_language(lambda pattern, _: mark_matches(text, pattern))).alias("starts"),
-        per_language(names_in).alias("names"),
-        (newline_count(text) + 1).alias("end"),
-    )
-
     def spans(m: Column) -> Column:
         return F.transform(
             m["starts"],
@@ -112,8 +107,19 @@ def function_extents(text: Column, language: Column) -> Column:
             ),
         )
 
-    return F.when(language.isin(*R.FUNCTION_HEADERS), let(found, spans)).otherwise(
-        F.array().cast("array<struct<line:int,name:string,lines:int>>")
+    def located(marked: Column) -> Column:
+        facts = F.struct(
+            marked_lines(marked).alias("starts"),
+            per_language(names_in).alias("names"),
+            (newline_count(text) + 1).alias("end"),
+        )
+        # names are looked for only in files that have a header at all
+        return F.when(has_marks(marked), let(facts, spans))
+
+    marked = per_language(lambda pattern, _: mark_matches(text, pattern))
+    return F.coalesce(
+        F.when(language.isin(*R.FUNCTION_HEADERS), let(marked, located)),
+        F.array().cast("array<struct<line:int,name:string,lines:int>>"),
     )
 
 

@@ -50,15 +50,15 @@ def strict_variant(json: Column) -> Column:
 
 def _python_type(value: Column) -> Column:
     """Python's name for the type of a JSON value, as its error texts use it."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "VOID", "NoneType")
+    return let(
+        F.schema_of_variant(value),
+        lambda kind: F.when(kind == "VOID", "NoneType")
         .when(kind == "STRING", "str")
         .when(kind == "BOOLEAN", "bool")
         .when(kind == "BIGINT", "int")
         .when(F.startswith(kind, F.lit("ARRAY")), "list")
         .when(F.startswith(kind, F.lit("OBJECT")), "dict")
-        .when(kind.isNotNull(), "float")
+        .when(kind.isNotNull(), "float"),
     )
 
 
@@ -68,11 +68,17 @@ def _no_attribute(type_name: Column, attribute: str) -> Column:
 
 def _item_error(item: Column) -> Column:
     """Why a comment item breaks the whole review; NULL when it does not."""
+
+    def explain(types: Column) -> Column:
+        return F.when(types["item"] != "dict", _no_attribute(types["item"], "get")).when(
+            types["severity"] != "str", _no_attribute(types["severity"], "upper")
+        )
+
     severity = F.variant_get(item, "$.severity", "variant")
-    return F.when(_python_type(item) != "dict", _no_attribute(_python_type(item), "get")).when(
-        severity.isNotNull() & (_python_type(severity) != "str"),
-        _no_attribute(_python_type(severity), "upper"),
+    types = F.struct(
+        _python_type(item).alias("item"), _python_type(severity).alias("severity")
     )
+    return let(types, explain)
 
 
 def _field(item: Column, name: str, default: str | None) -> Column:
@@ -118,36 +124,44 @@ def parsed_replies(responses: DataFrame) -> DataFrame:
     together again from exploded comments.
     """
     data = F.col("data")
-    shape = F.when(data.isNull(), "text").otherwise(_python_type(data))
-    listed = F.variant_get(data, "$.comments", "variant")
-    no_items = F.array().cast("array<variant>")
-    items = (
-        F.when(F.col("shape") == "list", F.try_variant_get(data, "$", "array<variant>"))
-        .when(
-            (F.col("shape") == "dict") & (_python_type(listed) == "list"),
-            F.try_variant_get(data, "$.comments", "array<variant>"),
-        )
-        .otherwise(no_items)
+    # the text is known to be valid JSON here, so its first character tells the shape
+    shape = (
+        F.when(data.isNull(), "text")
+        .when(F.startswith("json", F.lit("[")), "list")
+        .when(F.startswith("json", F.lit("{")), "dict")
+        .otherwise("scalar")
     )
-    listed_type = F.when(F.col("shape") == "dict", _python_type(listed))
-    # a text or an object under "comments" is iterated too, unless it is empty
-    not_iterable = (
-        F.when(
-            listed_type.isin("NoneType", "int", "float", "bool"),
-            F.concat(F.lit("'"), listed_type, F.lit("' object is not iterable")),
-        )
-        .when(
-            (listed_type == "str") & (F.try_variant_get(data, "$.comments", "string") != ""),
-            _no_attribute(F.lit("str"), "get"),
-        )
-        .when(
-            (listed_type == "dict") & (F.to_json(listed) != "{}"), _no_attribute(F.lit("str"), "get")
+    listed = F.variant_get(data, "$.comments", "variant")
+    items = F.when(
+        F.col("shape") == "list", F.try_variant_get(data, "$", "array<variant>")
+    ).when(F.col("shape") == "dict", F.try_variant_get(data, "$.comments", "array<variant>"))
+
+    def not_iterable(listed_type: Column) -> Column:
+        """Error for a ``comments`` that is no list; a text or an object is iterated too."""
+        return (
+            F.when(
+                listed_type.isin("NoneType", "int", "float", "bool"),
+                F.concat(F.lit("'"), listed_type, F.lit("' object is not iterable")),
+            )
+            .when(
+                (listed_type == "str") & (F.try_variant_get(data, "$.comments", "string") != ""),
+                _no_attribute(F.lit("str"), "get"),
+            )
+            .when(
+                (listed_type == "dict") & (F.to_json(listed) != "{}"),
+                _no_attribute(F.lit("str"), "get"),
+            )
         )
+
+    bad_list = F.when(
+        (F.col("shape") == "dict") & F.col("items").isNull() & listed.isNotNull(),
+        let(_python_type(listed), not_iterable),
     )
+    no_items = F.array().cast("array<variant>")
     first_bad = F.get(F.filter(F.transform("items", _item_error), lambda e: e.isNotNull()), 0)
     comments = F.when(F.col("failure").isNotNull(), F.array().cast(f"array<{COMMENT}>")).when(
         F.col("shape") == "text", _text_comment(F.col("response"))
-    ).otherwise(F.transform("items", _comment))
+    ).otherwise(F.transform(F.coalesce("items", no_items), _comment))
 
     def count(severity: str) -> Column:
         return F.size(F.filter("comments", lambda c: c["severity"] == severity)).cast("bigint")
@@ -157,10 +171,11 @@ def parsed_replies(responses: DataFrame) -> DataFrame:
         F.coalesce(F.try_variant_get(data, "$.summary", "string"), F.lit("")),
     ).otherwise(text_summary(F.col("response")))
     return (
-        responses.withColumn("data", strict_variant(located_json(F.col("response"))))
+        responses.withColumn("json", located_json(F.col("response")))
+        .withColumn("data", strict_variant(F.col("json")))
         .withColumn("shape", shape)
         .withColumn("items", items)
-        .withColumn("failure", F.coalesce(not_iterable, first_bad))
+        .withColumn("failure", F.coalesce(bad_list, first_bad))
         .withColumn("comments", comments)
         .select(
             "diff_id",

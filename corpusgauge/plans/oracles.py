@@ -249,13 +249,12 @@ simple(
 
 # --- quality -----------------------------------------------------------------------
 
-_ALL_WORDS = {**R.COMPLEXITY_WORDS, "logical": ("and", "or")}
 
 
 def _quality_ctes(max_kb: int = 500) -> str:
     words = ",\n    ".join(
         f"len(list_filter(tokens, lambda w: w IN ({', '.join(lit(x) for x in ws)}))) AS {name}_words"
-        for name, ws in _ALL_WORDS.items()
+        for name, ws in R.COMPLEXITY_WORDS.items()
     )
     positions = []
     for rule in R.RULES:
