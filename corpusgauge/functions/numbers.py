@@ -11,15 +11,22 @@ def one_decimal(value: Column) -> Column:
 
     ``format_string`` rounds the shortest decimal text half up, Python rounds the
     exact binary value half to even, and they differ on ties such as 87.25.  Scaling
-    by 2**53 is exact, so the rounding is done on integers.
+    by a power of two is exact, so the rounding is done on integers.
     """
-    scaled = (value * F.lit(float(2**53))).cast("bigint") * 10
-    whole = F.shiftright(scaled, 53)
-    rest = scaled - F.shiftleft(whole, 53)
-    half = F.lit(2**52).cast("bigint")
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    tenths = whole + up.cast("bigint")
-    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+    def tenths(bits: int) -> Column:
+        scaled = (value * F.lit(float(2**bits))).cast("bigint") * 10
+        whole = F.shiftright(scaled, bits)
+        rest = scaled - F.shiftleft(whole, bits)
+        half = F.lit(2 ** (bits - 1)).cast("bigint")
+        up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+        return whole + up.cast("bigint")
+
+    # 53 bits hold every double from 1 to 100 whole, 57 those from 0.05 to 1
+    rounded = F.when(value < 1, tenths(57)).otherwise(tenths(53))
+    return F.concat(
+        F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string")
+    )
 
 
 def grouped(value: Column) -> Column:

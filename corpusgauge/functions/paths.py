@@ -30,8 +30,9 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"(?s)^.+(\.[^.]+)\z", 1))
 
 
-def glob_regex(pattern: str, any_char: str = ".") -> str:
-    """Java body of a shell glob; ``any_char`` is what ``*`` and ``?`` may cover."""
+def glob_regex(pattern: str, within_name: bool = False) -> str:
+    """Java body of a shell glob.  ``within_name`` keeps every part of it off ``/``."""
+    any_char, no_slash = ("[^/]", "(?!/)") if within_name else (".", "")
     out: list[str] = []
     i = 0
     while i < len(pattern):
@@ -50,7 +51,7 @@ def glob_regex(pattern: str, any_char: str = ".") -> str:
             body = pattern[i:close]
             negated = body.startswith("!")
             members = "".join("\\" + c if c in r"\[]^&" else c for c in body[negated:])
-            out.append(f"[{'^' if negated else ''}{members}]")
+            out.append(f"{no_slash}[{'^' if negated else ''}{members}]")
             i = close + 1
         else:
             out.append(java_quote(ch))
@@ -58,7 +59,13 @@ def glob_regex(pattern: str, any_char: str = ".") -> str:
 
 
 def _any_of(bodies: Sequence[str]) -> str:
-    return "(?:" + "|".join(bodies) + ")"
+    """Alternation; of nothing, a pattern that never matches."""
+    return "(?:" + "|".join(bodies) + ")" if bodies else "(?!)"
+
+
+def _name_globs(patterns: Sequence[str]) -> list[str]:
+    """Globs that can cover a name: one with a ``/`` never does."""
+    return [glob_regex(p, within_name=True) for p in patterns if "/" not in p]
 
 
 def tracked_excluded(path: Column, patterns: Sequence[str]) -> Column:
@@ -71,7 +78,7 @@ def tracked_excluded(path: Column, patterns: Sequence[str]) -> Column:
 def quality_excluded(path: Column, patterns: Sequence[str] = ()) -> Column:
     """The glob covers the file name, or its plain text occurs anywhere in the path."""
     patterns = patterns or QUALITY_EXCLUDES
-    names = _any_of([glob_regex(p, "[^/]") for p in patterns])
+    names = _any_of(_name_globs(patterns))
     texts = _any_of([java_quote(p) for p in patterns])
     return path.rlike(f"(?s)(?:^|/){names}\\z|{texts}")
 
@@ -85,7 +92,7 @@ def structure_excluded(path: Column, patterns: Sequence[str] = ()) -> Column:
     has to be built per row.
     """
     patterns = patterns or STRUCTURE_EXCLUDES
-    names = _any_of([glob_regex(p, "[^/]") for p in patterns] + [java_quote(p) for p in patterns])
+    names = _any_of(_name_globs(patterns) + [java_quote(p) for p in patterns])
     whole = _any_of([glob_regex(p) for p in patterns])
     return F.concat(F.lit("/"), path).rlike(f"(?s)/{names}(?:/|\\z)|^{whole}(?:/.*)?\\z")
 
@@ -99,7 +106,7 @@ def glob_regex_column(pattern: Column) -> Column:
     quoted = F.regexp_replace(pattern, r"([\\.^$|+(){}&~#])", r"\\$1")
     literal_bracket = F.regexp_replace(quoted, r"\[(?!!?[^\]]+\])", r"\\[")
     negated = F.regexp_replace(literal_bracket, r"\[!", "[^")
-    return F.regexp_replace(F.regexp_replace(negated, r"\*", "[^/]*"), r"\?", "[^/]")
+    return F.regexp_replace(F.regexp_replace(negated, r"\*", ".*"), r"\?", ".")
 
 
 def quality_excluded_by(path: Column, patterns: Column) -> Column:

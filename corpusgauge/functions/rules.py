@@ -30,10 +30,16 @@ class Rule:
     severity: str
     ignore_case: bool = False
     multiline: bool = False
+    first: str = ""
+    """Members of a character class that holds every first character of a match.
+
+    Optional; it lets the search pass over most positions with one cheap test.
+    """
 
     @property
     def java(self) -> str:
-        return java_regex(self.pattern, multiline=self.multiline, ignore_case=self.ignore_case)
+        body = java_regex(self.pattern, multiline=self.multiline, ignore_case=self.ignore_case)
+        return f"(?=[{self.first}])(?:{body})" if self.first else body
 
 
 # The nine issue rules.
@@ -45,6 +51,7 @@ RULES: tuple[Rule, ...] = (
         "TODO comment found",
         INFO,
         ignore_case=True,
+        first="#/",
     ),
     Rule(
         "fixme_comment",
@@ -52,6 +59,7 @@ RULES: tuple[Rule, ...] = (
         "FIXME comment found",
         WARNING,
         ignore_case=True,
+        first="#/",
     ),
     Rule(
         "hack_comment",
@@ -59,6 +67,7 @@ RULES: tuple[Rule, ...] = (
         "HACK comment found - technical debt indicator",
         WARNING,
         ignore_case=True,
+        first="#/",
     ),
     Rule(
         "hardcoded_password",
@@ -66,6 +75,7 @@ RULES: tuple[Rule, ...] = (
         "Potential hardcoded password detected",
         ERROR,
         ignore_case=True,
+        first="pP",
     ),
     Rule(
         "hardcoded_secret",
@@ -73,24 +83,28 @@ RULES: tuple[Rule, ...] = (
         "Potential hardcoded secret/API key detected",
         ERROR,
         ignore_case=True,
+        first="sSaAtT\u017f",
     ),
     Rule(
         "debug_statement",
         r"\bconsole\.log\(|print\s*\(|debugger\b",
         "Debug statement found",
         INFO,
+        first="cpd",
     ),
     Rule(
         "empty_except",
         r"except\s*:\s*\n\s*pass\b|except\s*:\s*\n\s*\.\.\.",
         "Empty except block - may hide errors",
         WARNING,
+        first="e",
     ),
     Rule(
         "magic_number",
         r"(?<![0-9])[2-9]\d{2,}(?![0-9])",
         "Magic number detected - consider using named constant",
         INFO,
+        first="2-9",
     ),
 )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.regex import java_regex
+from corpusgauge.functions.regex import SPACE_CLASS, java_regex
 
 # The characters Python's str.strip() removes.
 PY_SPACE = (
@@ -34,7 +34,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text), F.lit("")) == ""
+    return ~F.coalesce(text.rlike(f"[^{SPACE_CLASS}]"), F.lit(False))
 
 
 def universal_newlines(text: Column) -> Column:

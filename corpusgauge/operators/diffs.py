@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.regex import java_regex
 from corpusgauge.functions.rows import explode_items
-from corpusgauge.functions.text import PY_SPACE, first_group, is_blank, let, strip
+from corpusgauge.functions.text import first_group, let, strip
 
 
 def _m(pattern: str) -> str:
@@ -20,24 +20,39 @@ def _m(pattern: str) -> str:
 
 # What the parts of a diff look like.
 SECTION_START = _m(r"(?=^diff --git )")
+SECTION = java_regex(r"^\s*diff --git")
 FILE_HEADER = _m(r"^diff --git a/(.*) b/(.*)$")
-NEW_FILE = _m(r"^new file mode")
-DELETED_FILE = _m(r"^deleted file mode")
-RENAME_FROM = _m(r"^rename from (.*)$")
-RENAME_TO = _m(r"^rename to (.*)$")
+NEW_FILE = "new file mode"
+DELETED_FILE = "deleted file mode"
+RENAME_FROM = "rename from "
+RENAME_TO = "rename to "
 SIMILARITY = _m(r"^similarity index (\d+)%$")
 BINARY = _m(r"^Binary files .* differ$")
 HUNK_HEADER = _m(r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@(.*)$")
-ADDED_LINE = _m(r"^\+(?!\+\+)")
-REMOVED_LINE = _m(r"^-(?!--)")
 NO_HEADER = "Invalid diff format: no file header found"
 
 
+def _has_line(section: Column, start: str) -> Column:
+    """Some line starts so.  A section's first line is its header, so a plain search does."""
+    return F.contains(section, F.lit("\n" + start))
+
+
+def _rest_of_line(section: Column, start: str) -> Column:
+    """What follows ``start`` on the first line that starts so; NULL without one."""
+    after = F.substring_index(F.substr(section, F.locate("\n" + start, section) + 1 + len(start)), "\n", 1)
+    return F.when(_has_line(section, start), after)
+
+
+def _is_binary(section: Column) -> Column:
+    return _has_line(section, "Binary files ") & section.rlike(BINARY)
+
+
 def _change_type(section: Column) -> Column:
+    similar = _has_line(section, "similarity index ") & section.rlike(SIMILARITY)
     return (
-        F.when(section.rlike(NEW_FILE), "added")
-        .when(section.rlike(DELETED_FILE), "deleted")
-        .when(section.rlike(SIMILARITY) | section.rlike(RENAME_FROM), "renamed")
+        F.when(_has_line(section, NEW_FILE), "added")
+        .when(_has_line(section, DELETED_FILE), "deleted")
+        .when(_has_line(section, RENAME_FROM) | similar, "renamed")
         .otherwise("modified")
     )
 
@@ -67,19 +82,31 @@ def _no_hunks() -> Column:
     )
 
 
-def _count_lines(hunks: Column, pattern: str) -> Column:
+def _changed_lines(hunks: Column, sign: str) -> Column:
+    """Lines that start with the sign but not with three of it."""
+
+    def starting(content: Column, prefix: str) -> Column:
+        # every hit makes the text shorter by the length of the prefix
+        lines = F.concat(F.lit("\n"), content)
+        rest = F.replace(lines, F.lit("\n" + prefix), F.lit("\n"))
+        return ((F.octet_length(lines) - F.octet_length(rest)) / len(prefix)).cast("int")
+
     return F.aggregate(
-        hunks, F.lit(0), lambda total, h: total + F.regexp_count(h["content"], F.lit(pattern))
+        hunks,
+        F.lit(0),
+        lambda n, h: n + starting(h["content"], sign) - starting(h["content"], sign * 3),
     )
 
 
 def _file_of(section: Column) -> Column:
     facts = F.struct(
         _change_type(section).alias("change_type"),
-        section.rlike(BINARY).alias("is_binary"),
-        first_group(section, RENAME_FROM).alias("from_path"),
-        first_group(section, RENAME_TO).alias("to_path"),
-        F.when(section.rlike(BINARY), _no_hunks()).otherwise(_hunks(section)).alias("hunks"),
+        _is_binary(section).alias("is_binary"),
+        _rest_of_line(section, RENAME_FROM).alias("from_path"),
+        _rest_of_line(section, RENAME_TO).alias("to_path"),
+        F.when(_is_binary(section) | ~_has_line(section, "@@ -"), _no_hunks())
+        .otherwise(_hunks(section))
+        .alias("hunks"),
     )
 
     def build(f: Column) -> Column:
@@ -90,8 +117,8 @@ def _file_of(section: Column) -> Column:
             f["change_type"].alias("change_type"),
             F.when(moved, f["from_path"]).alias("old_path"),
             f["is_binary"].alias("is_binary"),
-            _count_lines(f["hunks"], ADDED_LINE).alias("additions"),
-            _count_lines(f["hunks"], REMOVED_LINE).alias("deletions"),
+            _changed_lines(f["hunks"], "+").alias("additions"),
+            _changed_lines(f["hunks"], "-").alias("deletions"),
             f["hunks"].alias("hunks"),
             F.when(header_path.isNull(), NO_HEADER).alias("parse_error"),
         )
@@ -103,18 +130,11 @@ def file_diffs_of(raw: Column) -> Column:
     """``ARRAY<STRUCT>`` of the files in a diff; preamble dropped, empty for a blank diff."""
     sections = F.filter(
         F.split(raw, SECTION_START, -1),
-        lambda part: F.startswith(F.ltrim(part, F.lit(PY_SPACE)), F.lit("diff --git")),
+        lambda part: part.rlike(SECTION),
     )
     return F.transform(sections, _file_of)
 
 
-def parse_diffs(diffs: DataFrame) -> DataFrame:
-    """Adds ``files``, and ``is_blank`` for diffs with nothing to review."""
-    return diffs.withColumn("files", file_diffs_of(F.col("raw"))).withColumn(
-        "is_blank", is_blank(F.col("raw"))
-    )
-
-
 def file_diffs(diffs: DataFrame) -> DataFrame:
     """One row per file of a diff."""
     return explode_items(
@@ -130,21 +150,23 @@ def hunks(diffs: DataFrame) -> DataFrame:
 
 
 def stats_of(files: Column) -> Column:
-    def total(field: str) -> Column:
-        return F.aggregate(files, F.lit(0).cast("bigint"), lambda acc, f: acc + f[field])
+    def build(parsed: Column) -> Column:
+        def total(field: str) -> Column:
+            return F.aggregate(parsed, F.lit(0).cast("bigint"), lambda acc, f: acc + f[field])
 
-    return F.struct(
-        F.size(files).cast("bigint").alias("files_changed"),
-        total("additions").alias("total_additions"),
-        total("deletions").alias("total_deletions"),
-    )
+        return F.struct(
+            F.size(parsed).cast("bigint").alias("files_changed"),
+            total("additions").alias("total_additions"),
+            total("deletions").alias("total_deletions"),
+        )
+
+    return let(files, build)
 
 
 def diff_stats(diffs: DataFrame) -> DataFrame:
     """Totals per diff, computed in the row."""
-    return parse_diffs(diffs).select("diff_id", stats_of(F.col("files")).alias("s")).select(
-        "diff_id", "s.*"
-    )
+    totals = stats_of(file_diffs_of(F.col("raw")))
+    return diffs.select("diff_id", totals.alias("s")).select("diff_id", "s.*")
 
 
 def rebuilt_text(files: Column) -> Column:
