@@ -7,8 +7,19 @@ constructs, so the result does not depend on the JVM version either.
 
 from __future__ import annotations
 
+import re
+
+# A pattern that starts with blanks at a line start may start in any line of a run of
+# blank lines.  If it fails in the first it fails in all, so the others are passed over;
+# without this a file of n blank lines costs n * n steps.
+_FIRST_OF_BLANK_LINES = r"(?<!\n[ \t]{0,80}\n)"
+
+# ``^\s`` or a first group that has ``\s++`` among its alternatives.
+_STARTS_WITH_BLANKS = re.compile(r"\^(?:\\s|\(\?:(?:\w+\|)*\\s\+\+\))")
+
 WORD_CLASS = r"\p{L}\p{N}_"
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\p{Z}"
+_SPACE_BUT_NEWLINE = r"\t\x0b-\r\x1c-\x20\x85\p{Z}"
 
 STARTS_WORD = f"(?<![{WORD_CLASS}])"
 ENDS_WORD = f"(?![{WORD_CLASS}])"
@@ -29,6 +40,9 @@ def java_regex(
     in_class = False
     previous_literal = ""  # last plain character, '' after anything else
     i = 0
+    if multiline and _STARTS_WITH_BLANKS.match(pattern):
+        out.append("^" + _FIRST_OF_BLANK_LINES)
+        i = 1
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\":
@@ -63,6 +77,11 @@ def java_regex(
             else:
                 out.append("\\" + ch if ch in "[&" else ch)
             previous_literal = ""
+        elif pattern.startswith(r"[^\S\n]", i):
+            out.append(f"[{_SPACE_BUT_NEWLINE}]")
+            previous_literal = ""
+            i += len(r"[^\S\n]")
+            continue
         elif ch == "[":
             in_class = True
             out.append(ch)

@@ -42,7 +42,8 @@ class Rule:
         return f"(?=[{self.first}])(?:{body})" if self.first else body
 
 
-# The nine issue rules.
+# The nine issue rules.  ``empty_except`` is worded so that there is one way
+# only to match a run of blanks: the first newline, then all the rest.
 RULES: tuple[Rule, ...] = (
     Rule("long_line", r"^.{121,}$", "Line exceeds 120 characters", WARNING, multiline=True),
     Rule(
@@ -94,7 +95,7 @@ RULES: tuple[Rule, ...] = (
     ),
     Rule(
         "empty_except",
-        r"except\s*:\s*\n\s*pass\b|except\s*:\s*\n\s*\.\.\.",
+        r"except\s*:[^\S\n]*\n\s*pass\b|except\s*:[^\S\n]*\n\s*\.\.\.",
         "Empty except block - may hide errors",
         WARNING,
         first="e",
@@ -151,7 +152,8 @@ def total_complexity_pattern() -> str:
     return "|".join((_whole_words(words), java_regex(TERNARY), _marks_between_words(LOGICAL_MARKS)))
 
 
-# Headers that open a function, by language, and the length limit.
+# Headers that open a function, by language, and the length limit.  In the
+# Java header a run of blanks is taken whole (``\s++``); a type cannot start inside one.
 _SCRIPT_FUNCTION = (
     r"^\s*(?:async\s+)?(?:function\s+(\w+)"
     r"|(\w+)\s*[=:]\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>))"
@@ -161,7 +163,7 @@ FUNCTION_HEADERS: dict[str, str] = {
     "JavaScript": _SCRIPT_FUNCTION,
     "TypeScript": _SCRIPT_FUNCTION,
     "Go": r"^\s*func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(",
-    "Java": r"^\s*(?:public|private|protected|static|\s)+[\w<>[\]]+\s+(\w+)\s*\(",
+    "Java": r"^(?:public|private|protected|static|\s++)+[\w<>[\]]+\s+(\w+)\s*\(",
 }
 TWO_GROUP_HEADERS = ("JavaScript", "TypeScript")
 LONG_FUNCTION_LINES = 50
@@ -188,10 +190,11 @@ IMPORTS: dict[str, tuple[str, ...]] = {
     "Ruby": (r"^\s*require\s+['\"](.+?)['\"]", r"^\s*require_relative\s+['\"](.+?)['\"]"),
 }
 
-# Entry points, by language and by file name.
+# Entry points, by language and by file name.  What stands before
+# ``module.exports`` is looked at within its line; an earlier line start adds no match.
 _SCRIPT_ENTRIES = (
     r"^\s*(?:export\s+)?(?:async\s+)?function\s+main\s*\(",
-    r"^[^/]*module\.exports\s*=",
+    r"^[^/\n]*module\.exports\s*=",
 )
 _C_ENTRIES = (r"^\s*int\s+main\s*\(", r"^\s*void\s+main\s*\(")
 ENTRY_PATTERNS: dict[str, tuple[str, ...]] = {

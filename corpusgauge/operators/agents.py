@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,20 +62,25 @@ def select_agents(
     return [by_name[name.lower()] for name in names]
 
 
-def default_summary(agent: Agent, errors: Column, warnings: Column, infos: Column) -> Column:
-    """Summary of a reply that brings none of its own."""
+def agent_row(agent: Agent) -> Column:
+    """The reviewer as a literal struct, for expressions that serve every reviewer."""
+    return F.struct(*[F.lit(value).alias(field) for field, value in asdict(agent).items()])
 
-    def part(label: str, count: Column) -> Column:
-        return F.when(count > 0, F.concat(F.lit(f"{label} "), count.cast("string"), F.lit(COUNT_SUFFIX)))
+
+def default_summary(agent: Column, errors: Column, warnings: Column, infos: Column) -> Column:
+    """Summary of a reply that brings none of its own; ``agent`` is an ``agent_row``."""
+
+    def part(label: Column, count: Column) -> Column:
+        return F.when(count > 0, F.concat(label, F.lit(" "), count.cast("string"), F.lit(COUNT_SUFFIX)))
 
     listed = F.concat_ws(
         ", ",
-        part(agent.error_label, errors),
-        part(agent.warning_label, warnings),
-        part(agent.info_label, infos),
+        part(agent["error_label"], errors),
+        part(agent["warning_label"], warnings),
+        part(agent["info_label"], infos),
     )
-    return F.when(errors + warnings + infos == 0, agent.none_text).otherwise(
-        F.concat(F.lit(agent.heading), listed)
+    return F.when(errors + warnings + infos == 0, agent["none_text"]).otherwise(
+        F.concat(agent["heading"], listed)
     )
 
 

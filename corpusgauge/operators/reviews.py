@@ -14,6 +14,7 @@ from corpusgauge.operators.agents import (
     CALL_FAILED,
     REVIEW_FAILED,
     Agent,
+    agent_row,
     default_summary,
     review_tasks,
 )
@@ -38,8 +39,12 @@ def _no_comments() -> Column:
     return F.array().cast(f"array<{COMMENT}>")
 
 
-def _review_of(agent: Agent, reply: Column) -> Column:
-    """One reviewer's result, whether it answered, failed or broke on its own reply."""
+def _review_of(entry: Column) -> Column:
+    """One reviewer's result, whether it answered, failed or broke on its own reply.
+
+    ``entry`` holds the reviewer (``agent``) and its parsed reply (``reply``, maybe NULL).
+    """
+    agent, reply = entry["agent"], entry["reply"]
     call_error = F.when(reply.isNull(), NO_RESPONSE).otherwise(reply["error"])
     zero = F.lit(0).cast("bigint")
 
@@ -50,12 +55,10 @@ def _review_of(agent: Agent, reply: Column) -> Column:
         F.when(call_error.isNotNull(), F.concat(F.lit(CALL_FAILED), call_error))
         .when(reply["failure"].isNotNull(), F.concat(F.lit(REVIEW_FAILED), reply["failure"]))
         .when(reply["own_summary"] != "", reply["own_summary"])
-        .otherwise(
-            default_summary(agent, reply["errors"], reply["warnings"], reply["infos"])
-        )
+        .otherwise(default_summary(agent, reply["errors"], reply["warnings"], reply["infos"]))
     )
     return F.struct(
-        F.lit(agent.name).alias("agent"),
+        agent["name"].alias("agent"),
         F.when(call_error.isNull(), reply["comments"]).otherwise(_no_comments()).alias("comments"),
         count("errors").alias("errors"),
         count("warnings").alias("warnings"),
@@ -83,13 +86,13 @@ def reviewed_diffs(diffs: DataFrame, responses: DataFrame, agents: Sequence[Agen
         is_blank(F.col("raw")).alias("is_blank"),
         stats_of(file_diffs_of(F.col("raw"))).alias("stats"),
     )
-    reviews = F.array(*[_review_of(agent, F.col(agent.name)) for agent in agents])
+    entries = F.array(
+        *[F.struct(agent_row(a).alias("agent"), F.col(a.name).alias("reply")) for a in agents]
+    )
+    due = F.filter(entries, lambda _: ~F.col("is_blank"))
     return slim.join(folded, "diff_id", "left").select(
-        "diff_id",
-        "is_blank",
-        "stats",
-        F.when(~F.col("is_blank"), reviews).otherwise(F.filter(reviews, lambda _: F.lit(False))).alias("reviews"),
-    )
+        "diff_id", "is_blank", "stats", F.transform(due, _review_of).alias("reviews")
+    )
 
 
 def agent_reviews(reviewed: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ def _re2(pattern: str) -> str:
     """RE2 text of a rule pattern: Unicode word characters, escaped bracket in a class."""
     word = r"\p{L}\p{N}_"
     out = pattern.replace(r"[\w<>[\]]", rf"[{word}<>\[\]]").replace(r"[\w", f"[{word}")
-    return out.replace(r"\w", f"[{word}]")
+    # RE2 has no possessive form and needs none
+    return out.replace(r"\w", f"[{word}]").replace(r"\s++", r"\s")
 
 
 def lit(value: str) -> str:

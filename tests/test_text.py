@@ -115,6 +115,50 @@ def test_import_and_entry_patterns_follow_python(texts):
             assert found == [bool(re.search(p, s, flags)) for s in CODE_TEXTS], p
 
 
+HEADER_TEXTS = CODE_TEXTS + [
+    "\n\n  \n\tdef f (a):\n\n\n\n def g(\n): pass\n   \n\nasync  def h(",
+    "class A {\n\n\n  int a(int b) {}\n public  static\nvoid b() {}\npublicstatic int c(\nint d(\n\n\n}",
+    "public\n\n\n static List<int[]> e (\n\n\n\n\n f(\n new Foo(\n  return g(",
+    "x\n\n\nfunction one(\n two : function\n\n\n a = (b,\n c) => d\n\nasync three = async () =>\n",
+    "func a()\n\n\n\nfunc (r *R) b (x)\n  func\tc (",
+]
+
+
+def test_function_headers_follow_python(texts):
+    """Against the plain wording: every start tried, blanks taken one by one."""
+    df = texts(HEADER_TEXTS)
+    java = r"^\s*(?:public|private|protected|static|\s)+[\w<>[\]]+\s+(\w+)\s*\("
+    plain = R.FUNCTION_HEADERS | {"Java": java}
+    for language, header in R.FUNCTION_HEADERS.items():
+        pattern = java_regex(header, multiline=True)
+        found = collect(df, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+        expected = [[m.group(0) for m in re.finditer(plain[language], s, re.M)] for s in HEADER_TEXTS]
+        assert found == expected, language
+
+
+def test_reworded_patterns_match_the_same(texts):
+    excepts = ["except:\n\n pass", "except :  \n\t\n  ...", "except:pass", "except: \n passed", "except:\x0b\n\x0cpass"]
+    exports = ["module.exports = 1", "a\nx module.exports=", "// module.exports = 1", "/\n module.exports =", "a/b\nc"]
+    loose = r"except\s*:\s*\n\s*pass\b|except\s*:\s*\n\s*\.\.\."
+    rule = next(r for r in R.RULES if r.issue_type == "empty_except")
+    assert collect(texts(excepts), F.col("text").rlike(rule.java)) == [
+        bool(re.search(loose, s)) for s in excepts
+    ]
+    entry = java_regex(R.ENTRY_PATTERNS["JavaScript"][1], multiline=True)
+    assert collect(texts(exports), F.col("text").rlike(entry)) == [
+        bool(re.search(r"^[^/]*module\.exports\s*=", s, re.M)) for s in exports
+    ]
+
+
+def test_long_runs_of_blanks_stay_cheap(texts):
+    blanks = ["\n" * 400_000 + "}", "except:" + "\n" * 400_000 + "x", "  \n" * 150_000, " " * 400_000 + "}"]
+    df = texts(blanks)
+    headers = [java_regex(p, multiline=True) for p in R.FUNCTION_HEADERS.values()]
+    modules = [java_regex(p, multiline=True) for ps in R.IMPORTS.values() for p in ps]
+    for pattern in [*headers, *modules, *[r.java for r in R.RULES if r.issue_type != "long_line"]]:
+        assert sum(collect(df, X.count_matches(F.col("text"), pattern))) == 0
+
+
 def test_decoding(spark):
     rows = [
         (0, "pläin".encode()),
