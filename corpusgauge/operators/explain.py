@@ -19,13 +19,18 @@ from corpusgauge.operators.replies import key_elements_of, purpose_of
 Complete = Callable[[str], str]
 
 
-def complete_batch(prompts: DataFrame, make_client: Callable[[], Complete]) -> DataFrame:
+def complete_batch(
+    prompts: DataFrame, make_client: Callable[[], Complete], tasks: int | None = None
+) -> DataFrame:
     """Replace ``prompt`` by ``response`` and ``error``.
 
     ``make_client`` runs once per task and returns the function that answers one
     prompt.  A failing call becomes an error value; the job goes on.  Write the
     result to a table before using it: a lost executor must not repeat paid calls.
+    ``tasks`` spreads the prompts evenly, since the calls outweigh the shuffle by far.
     """
+    if tasks:
+        prompts = prompts.repartition(tasks)
     kept = [field for field in prompts.schema.fields if field.name != "prompt"]
     schema = T.StructType(
         [*kept, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.templates import fill
-from corpusgauge.functions.text import is_blank
+from corpusgauge.functions.text import is_blank, strip
 from corpusgauge.operators.agents import (
     CALL_FAILED,
     REVIEW_FAILED,
@@ -213,7 +213,7 @@ def review_results(
         )
         mapped = mapped.join(renamed, "diff_id", "left")
         written = F.when(F.col("model_error").isNotNull(), fallback_summary()).otherwise(
-            F.coalesce("model_summary", F.lit(""))
+            F.coalesce(strip(F.col("model_summary")), F.lit(""))
         )
     summary = (
         F.when(F.col("is_blank"), NOTHING_TO_REVIEW)

@@ -544,22 +544,29 @@ def prompts_file(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(prompts, "prompt", "repo_id", "path")
 
 
-def _stub_client() -> E.Complete:
-    """Stands in for a model: its answer depends on the prompt alone."""
+def _stub() -> Callable[[], E.Complete]:
+    """Stands in for a model: its answer depends on the prompt alone.
 
-    def complete(prompt: str) -> str:
-        if len(prompt) % 11 == 0:
-            raise RuntimeError(f"refused {len(prompt)}")
-        return (
-            f"### Purpose\nHolds {len(prompt)} characters.\n\n"
-            f"### Key Elements\n- first {len(prompt) % 7}\n* second\n\n### Details\nNone."
-        )
+    The client is a local function, so it travels by value and executors need no
+    copy of this package.
+    """
 
-    return complete
+    def make_client() -> E.Complete:
+        def complete(prompt: str) -> str:
+            if len(prompt) % 11 == 0:
+                raise RuntimeError(f"refused {len(prompt)}")
+            return (
+                f"### Purpose\nHolds {len(prompt)} characters.\n\n"
+                f"### Key Elements\n- first {len(prompt) % 7}\n* second\n\n### Details\nNone."
+            )
+
+        return complete
+
+    return make_client
 
 
 def _answered(spark: SparkSession, sf: str) -> DataFrame:
-    return E.complete_batch(E.file_prompts(E.explained_files(B.files(spark, sf))), _stub_client)
+    return E.complete_batch(E.file_prompts(E.explained_files(B.files(spark, sf))), _stub())
 
 
 @query

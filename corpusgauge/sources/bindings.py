@@ -98,8 +98,11 @@ def spread_small(df: DataFrame) -> DataFrame:
     are bound by regex work.  Large inputs have enough splits and are left alone:
     their content is never shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except (AttributeError, NotImplementedError):  # a remote session does not tell
+        return df
     if cores < 2 or size > SMALL_INPUT_BYTES:
         return df
     return df.repartition(cores)
