@@ -43,10 +43,19 @@ def repo_totals(files: DataFrame, excludes: Sequence[str] = TRACKED_EXCLUDES) ->
 def _per_language(files: DataFrame, excludes: Sequence[str]) -> DataFrame:
     """Sums per repository and language; languages left without a file have ``files`` 0."""
     kept = ~tracked_excluded(F.col("path"), excludes)
-    per_language = files.groupBy("repo_id", stats_language(F.col("path")).alias("language")).agg(
-        F.count_if(kept).alias("files"),
-        F.coalesce(F.sum(F.when(kept, _lines(F.col("content")))), F.lit(0)).alias("lines"),
-        F.min(F.when(kept, F.col("path"))).alias("first_path"),
+    # The smallest path makes this a sort-based aggregate.  Lines are counted in a step of
+    # their own, and used twice so that it stays one: the sort then carries narrow rows
+    # and no contents.
+    narrow = files.select(
+        "repo_id",
+        stats_language(F.col("path")).alias("language"),
+        F.when(kept, F.col("path")).alias("kept_path"),
+        F.when(kept, F.coalesce(_lines(F.col("content")), F.lit(0))).alias("kept_lines"),
+    )
+    per_language = narrow.groupBy("repo_id", "language").agg(
+        F.count("kept_lines").alias("files"),
+        F.coalesce(F.sum("kept_lines"), F.lit(0)).alias("lines"),
+        F.min("kept_path").alias("first_path"),
     )
     repo = Window.partitionBy("repo_id")
     total = F.sum("lines").over(repo)
