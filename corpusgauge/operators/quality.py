@@ -33,15 +33,22 @@ def within_cap(size_bytes: Column, max_kb: int = MAX_FILE_SIZE_KB) -> Column:
 
 
 def scoped(
-    files: DataFrame, excludes: Sequence[str] = (), max_kb: int = MAX_FILE_SIZE_KB
+    files: DataFrame,
+    excludes: Sequence[str] = (),
+    max_kb: int = MAX_FILE_SIZE_KB,
+    filtered: bool = True,
 ) -> DataFrame:
     """Adds ``in_scope``, ``language`` and the ``text`` the rules see.
 
+    ``filtered=False`` takes every file as it comes, the way a file that is named
+    itself is analysed: no excludes, and any kind of file.
+
     Rows are not filtered: a repository without a file in scope still gets its
     report.  Out-of-scope and oversize files have the text '', which costs nothing.
     """
     language = code_language(F.col("path"))
-    in_scope = ~quality_excluded(F.col("path"), excludes) & (language != "Unknown")
+    kept = ~quality_excluded(F.col("path"), excludes) & (language != "Unknown")
+    in_scope = kept if filtered else F.lit(True)
     return (
         files.withColumn("language", language)
         .withColumn("in_scope", in_scope)
@@ -195,9 +202,10 @@ def file_metrics(
     excludes: Sequence[str] = (),
     max_kb: int = MAX_FILE_SIZE_KB,
     rules: Sequence[R.Rule] = R.RULES,
+    filtered: bool = True,
 ) -> DataFrame:
     """One narrow row per file: lines, complexity and issue counts by severity."""
-    return scoped(files, excludes, max_kb).select(*_metric_columns(rules))
+    return scoped(files, excludes, max_kb, filtered).select(*_metric_columns(rules))
 
 
 def file_results(
@@ -205,10 +213,11 @@ def file_results(
     excludes: Sequence[str] = (),
     max_kb: int = MAX_FILE_SIZE_KB,
     rules: Sequence[R.Rule] = R.RULES,
+    filtered: bool = True,
 ) -> DataFrame:
     """Metrics and issues (``found``) of every file, for jobs that need both."""
     found = issues_of(F.col("text"), function_extents(F.col("text"), F.col("language")), rules)
-    located = scoped(files, excludes, max_kb).select(
+    located = scoped(files, excludes, max_kb, filtered).select(
         "repo_id",
         "path",
         "language",
@@ -242,12 +251,13 @@ def issues(
     max_kb: int = MAX_FILE_SIZE_KB,
     rules: Sequence[R.Rule] = R.RULES,
     with_functions: bool = True,
+    filtered: bool = True,
 ) -> DataFrame:
     """One row per issue.  The text never leaves its scan stage."""
     language = F.col("language") if with_functions else F.lit("Unknown")
     found = issues_of(F.col("text"), function_extents(F.col("text"), language), rules)
     return exploded(
-        scoped(files, excludes, max_kb)
+        scoped(files, excludes, max_kb, filtered)
         .filter("in_scope")
         .select("repo_id", "path", found.alias("found"))
     )

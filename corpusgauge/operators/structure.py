@@ -19,11 +19,14 @@ from corpusgauge.functions.text import let, universal_newlines
 MODULE_FILE = "__init__.py"
 
 
-def in_tree(path: Column, excludes: Sequence[str] = ()) -> Column:
-    return ~hidden(path) & ~structure_excluded(path, excludes)
+def in_tree(path: Column, excludes: Sequence[str] = (), filtered: bool = True) -> Column:
+    """``filtered=False`` is for files that are named themselves: all of them are in."""
+    return ~hidden(path) & ~structure_excluded(path, excludes) if filtered else F.lit(True)
 
 
-def tree_nodes(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
+def tree_nodes(
+    files: DataFrame, excludes: Sequence[str] = (), filtered: bool = True
+) -> DataFrame:
     """Every file in the tree and every directory above one.
 
     A file emits a row per ancestor; equal rows collapse in the map-side aggregate,
@@ -52,7 +55,7 @@ def tree_nodes(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
         F.filter(emitted, lambda n: n["seen"] | n["marks_module"])
     )
     return (
-        files.select("repo_id", "path", in_tree(F.col("path"), excludes).alias("visible"))
+        files.select("repo_id", "path", in_tree(F.col("path"), excludes, filtered).alias("visible"))
         .select("repo_id", F.explode(relevant).alias("n"))
         .groupBy("repo_id", F.col("n.path").alias("path"), F.col("n.depth").alias("depth"))
         .agg(
@@ -102,8 +105,8 @@ def ordered_tree(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("sort_key", key).orderBy("repo_id", "sort_key", "path")
 
 
-def _with_text(files: DataFrame, excludes: Sequence[str]) -> DataFrame:
-    return files.filter(in_tree(F.col("path"), excludes)).select(
+def _with_text(files: DataFrame, excludes: Sequence[str], filtered: bool) -> DataFrame:
+    return files.filter(in_tree(F.col("path"), excludes, filtered)).select(
         "repo_id",
         "path",
         code_language(F.col("path")).alias("language"),
@@ -126,18 +129,22 @@ def imports_of(text: Column, language: Column) -> Column:
     return chain
 
 
-def imports(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
+def imports(
+    files: DataFrame, excludes: Sequence[str] = (), filtered: bool = True
+) -> DataFrame:
     modules = imports_of(F.col("text"), F.col("language"))
     return explode_items(
-        _with_text(files, excludes), ["repo_id", "path", "language"], modules, "idx", "module"
+        _with_text(files, excludes, filtered), ["repo_id", "path", "language"], modules, "idx", "module"
     ).drop("idx")
 
 
-def dependencies(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
+def dependencies(
+    files: DataFrame, excludes: Sequence[str] = (), filtered: bool = True
+) -> DataFrame:
     """Edges to modules of the same project; the target stays symbolic."""
     internal = F.startswith("module", F.lit(".")) | F.contains("module", F.lit("/"))
     return (
-        imports(files, excludes)
+        imports(files, excludes, filtered)
         .filter(internal)
         .select(
             "repo_id",
@@ -148,7 +155,9 @@ def dependencies(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def entry_points(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
+def entry_points(
+    files: DataFrame, excludes: Sequence[str] = (), filtered: bool = True
+) -> DataFrame:
     """Files with a known entry name, or with an entry pattern of their language."""
 
     def is_entry(f: Column) -> Column:
@@ -162,7 +171,7 @@ def entry_points(files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
 
     # the filter is pushed below the projection, so it has to hold its inputs once
     return (
-        _with_text(files, excludes)
+        _with_text(files, excludes, filtered)
         .filter(let(F.struct("path", "language", "text"), is_entry))
         .select("repo_id", "path", "language")
     )

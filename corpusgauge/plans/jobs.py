@@ -54,9 +54,13 @@ def analyze_quality(
     excludes: Sequence[str] = (),
     max_kb: int = quality.MAX_FILE_SIZE_KB,
     rules: Sequence[Rule] = RULES,
+    filtered: bool = True,
 ) -> QualityResult:
-    """Reports, issues and report lines; the contents are read once."""
-    results = checkpointed(quality.file_results(files, excludes, max_kb, rules))
+    """Reports, issues and report lines; the contents are read once.
+
+    ``filtered=False`` analyses every file given, whatever its name.
+    """
+    results = checkpointed(quality.file_results(files, excludes, max_kb, rules, filtered))
     found = quality.exploded(results)
     return QualityResult(
         quality.quality_report(quality.repo_metrics(results)),
@@ -72,12 +76,14 @@ class StructureResult:
     entry_points: DataFrame
 
 
-def analyze_structure(files: DataFrame, excludes: Sequence[str] = ()) -> StructureResult:
+def analyze_structure(
+    files: DataFrame, excludes: Sequence[str] = (), filtered: bool = True
+) -> StructureResult:
     """The tree in display order, internal imports and entry points."""
     return StructureResult(
-        structure.ordered_tree(structure.tree_nodes(files, excludes)),
-        structure.dependencies(files, excludes),
-        structure.entry_points(files, excludes),
+        structure.ordered_tree(structure.tree_nodes(files, excludes, filtered)),
+        structure.dependencies(files, excludes, filtered),
+        structure.entry_points(files, excludes, filtered),
     )
 
 

@@ -91,3 +91,14 @@ def test_diff_job(changes):
     parsed, stats = jobs.parse_diffs(changes)
     assert parsed.count() == 2
     assert {r.diff_id: r.files_changed for r in stats.collect()} == {1: 1, 2: 0, 3: 1}
+
+
+def test_files_named_themselves_pass_every_filter(make_files):
+    files = make_files({".hidden/build/x.unknown": "if a\n# TODO\n", "node_modules/main.py": "from .a import b\n"})
+    assert jobs.analyze_quality(files).reports.collect()[0].files_analyzed == 0
+    report = jobs.analyze_quality(files, filtered=False).reports.collect()[0]
+    assert (report.files_analyzed, report.total_lines, report.infos) == (2, 3, 1)
+    tree = jobs.analyze_structure(files, filtered=False)
+    assert [r.path for r in tree.entry_points.collect()] == ["node_modules/main.py"]
+    assert [r.target for r in tree.dependencies.collect()] == [".a"]
+    assert tree.nodes.filter("node_type = 'file'").count() == 2

@@ -47,7 +47,7 @@ def test_reply_forms(parse):
 
 
 @pytest.mark.parametrize(
-    "text", ["no json here", '[{"a": 1}', "[1] tail", '{"a": 1}} x', "{'a': 1}", "[1]]", '{"a":1}, {"b":2}', "```json\n\n```"]
+    "text", ["no json here", '{"a": 1, "a": 2}', "[NaN]", '[{"a": 1}', "[1] tail", '{"a": 1}} x', "{'a': 1}", "[1]]", '{"a":1}, {"b":2}', "```json\n\n```"]
 )
 def test_text_fallback(parse, text):
     (comment,) = parse(f"  {text}\n").comments
