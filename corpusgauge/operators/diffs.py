@@ -100,6 +100,7 @@ def _changed_lines(hunks: Column, sign: str) -> Column:
 
 def _file_of(section: Column) -> Column:
     facts = F.struct(
+        first_group(section, FILE_HEADER, 2).alias("header_path"),
         _change_type(section).alias("change_type"),
         _is_binary(section).alias("is_binary"),
         _rest_of_line(section, RENAME_FROM).alias("from_path"),
@@ -111,16 +112,16 @@ def _file_of(section: Column) -> Column:
 
     def build(f: Column) -> Column:
         moved = (f["change_type"] == "renamed") & f["from_path"].isNotNull() & f["to_path"].isNotNull()
-        header_path = first_group(section, FILE_HEADER, 2)
+        has_header = f["header_path"].isNotNull()
         return F.struct(
-            F.when(header_path.isNotNull() & moved, f["to_path"]).otherwise(header_path).alias("path"),
+            F.when(has_header & moved, f["to_path"]).otherwise(f["header_path"]).alias("path"),
             f["change_type"].alias("change_type"),
             F.when(moved, f["from_path"]).alias("old_path"),
             f["is_binary"].alias("is_binary"),
             _changed_lines(f["hunks"], "+").alias("additions"),
             _changed_lines(f["hunks"], "-").alias("deletions"),
             f["hunks"].alias("hunks"),
-            F.when(header_path.isNull(), NO_HEADER).alias("parse_error"),
+            F.when(~has_header, NO_HEADER).alias("parse_error"),
         )
 
     return let(facts, build)
@@ -128,10 +129,7 @@ def _file_of(section: Column) -> Column:
 
 def file_diffs_of(raw: Column) -> Column:
     """``ARRAY<STRUCT>`` of the files in a diff; preamble dropped, empty for a blank diff."""
-    sections = F.filter(
-        F.split(raw, SECTION_START, -1),
-        lambda part: part.rlike(SECTION),
-    )
+    sections = F.filter(F.split(raw, SECTION_START, -1), lambda part: part.rlike(SECTION))
     return F.transform(sections, _file_of)
 
 
