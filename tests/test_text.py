@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -150,6 +151,43 @@ def test_reworded_patterns_match_the_same(texts):
     ]
 
 
+FUZZ_TOKENS = (
+    ["if", "and", "or", "else", "&&", "||", "?", ":", "\n", "\n", "\n\n", " ", " ", "  \n", "\t", "\x0b", "\x1c"]
+    + ["#", "//", "/*", "TODO", "hack", "password", "token", "=", "'", '"', "250", "1999", "12", "\u0663"]
+    + ["except", "pass", "...", "print", "debugger", "def ", "async ", "f(", "(", ")", " => ", "func ", "x"]
+    + ["public ", "static", "int ", "List<a[]>", "import ", "from ", "const ", "require", "use ", "a.b", "./c"]
+    + ["function ", "main", "{}", "module.exports", "/", "\u00e9", "\u00b2", "\u0301", "\u2028", "\u00a0", "\r", "\ufdd0"]
+)
+
+
+def test_fuzzed_texts_follow_python(texts):
+    rng = random.Random(11)
+    samples = ["".join(rng.choices(FUZZ_TOKENS, k=rng.randint(1, 60))) for _ in range(1500)]
+    df = texts(samples).cache()
+    for rule in R.RULES:
+        flags = (re.MULTILINE if rule.multiline else 0) | (re.IGNORECASE if rule.ignore_case else 0)
+        expected = [
+            [s.count("\n", 0, m.start()) + 1 for m in re.finditer(rule.pattern, s, flags)] for s in samples
+        ]
+        assert collect(df, X.match_lines(F.col("text"), rule.java)) == expected, rule.issue_type
+    words = [w for ws in R.COMPLEXITY_WORDS.values() for w in ws]
+    single = [rf"\b{w}\b" for w in words] + [R.TERNARY, r"\b(?:&&|\|\|)\b"]
+    expected = [sum(len(re.findall(p, s)) for p in single) for s in samples]
+    assert collect(df, X.count_matches(F.col("text"), R.total_complexity_pattern())) == expected
+    java = r"^\s*(?:public|private|protected|static|\s)+[\w<>[\]]+\s+(\w+)\s*\("
+    plain = R.FUNCTION_HEADERS | {"Java": java}
+    line_patterns = [(plain[k], p) for k, p in R.FUNCTION_HEADERS.items()]
+    line_patterns += [(p, p) for ps in R.IMPORTS.values() for p in ps]
+    for python, ours in line_patterns:
+        found = collect(
+            df, F.regexp_extract_all("text", F.lit(java_regex(ours, multiline=True)), F.lit(0))
+        )
+        assert found == [[m.group(0) for m in re.finditer(python, s, re.M)] for s in samples], ours
+    universal_text = X.universal_newlines(F.col("text"))
+    assert collect(df, X.split_lines(universal_text)) == [len(universal(s).splitlines()) for s in samples]
+    assert collect(df, X.strip(F.col("text"))) == [s.strip() for s in samples]
+
+
 def test_long_runs_of_blanks_stay_cheap(texts):
     blanks = ["\n" * 400_000 + "}", "except:" + "\n" * 400_000 + "x", "  \n" * 150_000, " " * 400_000 + "}"]
     df = texts(blanks)
