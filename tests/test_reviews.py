@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,33 @@ def test_text_fallback(parse, text):
     assert tuple(comment) == ("general", None, "info", "general", text, None)
 
 
+def test_fuzzed_json_is_accepted_as_python_does(texts):
+    def unique(pairs):
+        if len(dict(pairs)) != len(pairs):
+            raise ValueError("duplicate keys are a known gap")
+        return dict(pairs)
+
+    def accepts(text: str) -> bool:
+        try:
+            json.loads(text, object_pairs_hook=unique)
+        except ValueError:
+            return False
+        return True
+
+    rng = random.Random(5)
+    tokens = ["{", "}", "[", "]", ",", ":", '"a"', '"comments"', "1", "-2.5e3", "null", "true", " ", "\n", "x", '"\\u00e9"', "01"]
+    samples = ["".join(rng.choices(tokens, k=rng.randint(1, 7))) for _ in range(6000)]
+    for _ in range(1500):
+        valid = json.dumps(rng.choice([[ITEM], {"comments": [ITEM, {}]}, {"a": [1, {"b": None}]}, [], {}]))
+        tail = "".join(rng.choices(tokens, k=rng.randint(0, 4)))
+        cut = rng.randint(0, len(valid))
+        samples += [valid + tail, valid[:cut], valid[:cut] + rng.choice(tokens) + valid[cut:]]
+    df = texts(samples).select("idx", RP.strict_variant(F.col("text")).isNotNull().alias("ok"))
+    got = [r.ok for r in df.orderBy("idx").collect()]
+    wrong = [(s, g) for s, g in zip(samples, got, strict=True) if g != accepts(s)]
+    assert wrong == []
+
+
 def test_blank_reply_brings_nothing(parse):
     assert parse(" \n ").comments == []
 
