@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 
 from corpusgauge.operators import diffs as D
@@ -125,3 +128,69 @@ def test_file_contexts(spark, make_diffs, make_files):
     files = make_files({"a.py": "A", "b.py": "B", "c.py": "C"})
     row = RV.file_contexts(make_diffs(raw), files).collect()[0]
     assert row.file_context == "### b.py\n```\nB\n```\n\n### a.py\n```\nA\n```\n"
+
+
+LINES = [
+    "diff --git a/x b/y", "diff --git a/p q/r.py b/p q/r.py", "diff --git broken", " diff --git a/i b/i",
+    "new file mode 100644", "deleted file mode 100644", "similarity index 90%", "similarity index x%",
+    "rename from old name", "rename to new b/name", "rename from ", "Binary files a/i and b/i differ",
+    "Binary files differ", "--- a/x", "+++ b/y", "@@ -1,2 +3,4 @@ def f():", "@@ -1 +1 @@", "@@ -7 +8,0 @@x",
+    "@@ bad @@", "+added", "-removed", "+", "-", "+++ plus", "--- minus", " context", "  +indented", "", "\t", "x",
+]
+
+
+def by_hand(raw: str) -> list[tuple]:
+    """File rows of a diff, line by line."""
+    sections: list[list[str]] = [[]]
+    for line in raw.split("\n"):
+        if line.startswith("diff --git "):
+            sections.append([])
+        sections[-1].append(line)
+    rows = []
+    for lines in sections:
+        if not "\n".join(lines).strip().startswith("diff --git"):
+            continue
+        header = [m for m in (re.match(r"diff --git a/(.*) b/(.*)$", line) for line in lines) if m]
+        starts = lambda prefix: [line for line in lines if line.startswith(prefix)]
+        moved_from, moved_to = starts("rename from "), starts("rename to ")
+        if starts("new file mode"):
+            kind = "added"
+        elif starts("deleted file mode"):
+            kind = "deleted"
+        elif moved_from or [x for x in lines if re.fullmatch(r"similarity index \d+%", x)]:
+            kind = "renamed"
+        else:
+            kind = "modified"
+        path, old = (header[0].group(2) if header else None), None
+        if kind == "renamed" and moved_from and moved_to:
+            old = moved_from[0].removeprefix("rename from ")
+            path = moved_to[0].removeprefix("rename to ") if header else None
+        bodies: list[list[str]] = []
+        for line in lines:
+            if re.match(r"@@ -\d+(,\d+)? \+\d+(,\d+)? @@", line):
+                bodies.append([])
+            elif bodies:
+                bodies[-1].append(line)
+        if [x for x in lines if re.fullmatch(r"Binary files .* differ", x)]:
+            bodies = []
+        contents = ["\n".join(body).strip() for body in bodies]
+        changed = [line for content in contents for line in content.split("\n")]
+        added = sum(x.startswith("+") and not x.startswith("+++") for x in changed)
+        removed = sum(x.startswith("-") and not x.startswith("---") for x in changed)
+        rows.append((path, kind, old, added, removed, contents))
+    return rows
+
+
+def test_fuzzed_diffs_follow_the_line_by_line_reading(make_diffs):
+    rng = random.Random(3)
+    raws = ["\n".join(rng.choices(LINES, k=rng.randint(1, 25))) for _ in range(1500)]
+    raws += ["\n".join([LINES[0], *rng.choices(LINES[4:], k=12), LINES[1], *rng.choices(LINES[13:], k=9)]) for _ in range(500)]
+    df = make_diffs(*raws)
+    got: dict[int, list[tuple]] = {i: [] for i in range(len(raws))}
+    for r in D.file_diffs(df).orderBy("diff_id", "file_idx").collect():
+        contents = [h.content for h in r.hunks]
+        got[r.diff_id].append((r.path, r.change_type, r.old_path, r.additions, r.deletions, contents))
+    wrong = [(raw, got[i], by_hand(raw)) for i, raw in enumerate(raws) if got[i] != by_hand(raw)]
+    assert wrong[:1] == []
+    stats = {r.diff_id: (r.files_changed, r.total_additions) for r in D.diff_stats(df).collect()}
+    assert stats == {i: (len(rows), sum(row[3] for row in rows)) for i, rows in got.items()}
