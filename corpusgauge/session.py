@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +32,37 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, only a local session gets a temporary one; elsewhere the
+    executors could not see it, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and read it back.
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``;
-    only where that is unset (tests) a temporary one is used.
+    Cuts the lineage: a lost executor costs a read, not a recomputation.  The folder
+    is the job's to clear when its results have been used.
     """
     spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = f"{shared_folder(spark).rstrip('/')}/corpusgauge-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ckpt-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
