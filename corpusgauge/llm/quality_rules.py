@@ -175,6 +175,14 @@ def _covers(rule: Sequence[Term], x: dict[str, np.ndarray], n: int) -> np.ndarra
     return hit
 
 
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Thresholds at quantiles, each half way to the next value that occurs."""
+    known = np.unique(values)
+    at = np.unique(np.searchsorted(known, np.quantile(values, np.linspace(0, 1, THRESHOLDS + 2)[1:-1], method="lower")))
+    at = at[at < len(known) - 1]
+    return (known[at] + known[at + 1]) / 2
+
+
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Term]:
     """Add the term of most FOIL gain until only bad rows are covered."""
     rule: list[Term] = []
@@ -184,7 +192,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Term]:
         best, gain = None, 1e-9
         for name in sorted(x):
             values = x[name]
-            for cut in np.unique(np.quantile(values[live], np.linspace(0, 1, THRESHOLDS + 2)[1:-1])):
+            for cut in _cuts(values[live]):
                 over = values > cut
                 for above in (True, False):
                     hit = live & (over == above)
@@ -228,13 +236,17 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """Features and ``bad`` of at most ``limit`` labelled documents."""
+    """Features and ``bad`` of at most ``limit`` labelled documents.
+
+    Those that fail the base rules are left out: the list never judges them.
+    """
     votes = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
     votes = votes.agg((2 * F.count_if(F.col("quality") == 0) >= F.count(F.lit(1))).alias("bad"))
     chosen = votes.orderBy(F.xxhash64("id"), "id").limit(limit)
     # at most ``limit`` ids, so the side is bounded
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     counted = met.select("id", "bad", F.explode(F.array(statistics(F.col("text")))).alias("s"))
+    counted = counted.filter(~base_failed(F.col("s")))
     return counted.select("id", "bad", *[c.alias(k) for k, c in features(F.col("s")).items()])
 
 
