@@ -30,6 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.llm.frames import map_batches
 from corpusgauge.llm.words import chunks, spans_of_words, windows_hashed, words_of
 
 MIN_MATCH, MIN_COVERAGE = 5, 0.5
@@ -186,7 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         names=["doc_id", "item_id", "covered", "item_tokens", "n_tiles"],
                     )
 
-        of_block = rows.mapInArrow(scan, schema)
+        of_block = map_batches(rows, scan, schema)
         found = of_block if found is None else found.unionByName(of_block)
     return found.withColumn("coverage", F.round(F.col("covered") / F.col("item_tokens"), 6))
 
@@ -202,5 +203,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[at + text for text, *_ in _matches(texts, shared.value)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_batches(docs, clean, docs.schema)
     return docs

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Sequence
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of a text, as a Java and DuckDB pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,3 +110,35 @@ def maybe_members(bitmap: bytes, hashes: np.ndarray) -> np.ndarray:
     known = np.frombuffer(bitmap, dtype=np.uint8)
     place = hashes & np.uint64(8 * len(known) - 1)
     return (known[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+# --- Python on executors -------------------------------------------------------------------
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package's sources to the executors, once for each application.
+
+    Functions of its modules run in tasks by name, so workers must be able to import
+    them also where only the driver has the package.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    if root.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def map_batches(
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str
+) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the tasks."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)

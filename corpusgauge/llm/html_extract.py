@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.llm.frames import map_batches
+
 #: Pages the trees are trained on at most, those with the smallest id hashes.
 TRAINING_PAGES = 240
 #: Characters of a training page at most; longer pages are passed over in training.
@@ -464,4 +466,5 @@ def extracted(pages: DataFrame, model: Trees | None) -> DataFrame:
                 names=["page_id", "url", "text"],
             )
 
-    return pages.select("page_id", "url", "html").mapInArrow(scan, "page_id BIGINT, url STRING, text STRING")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return map_batches(rows, scan, "page_id BIGINT, url STRING, text STRING")

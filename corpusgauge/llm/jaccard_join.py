@@ -162,7 +162,7 @@ def _scan(docs: DataFrame, frequent: np.ndarray, what: str, wanted: bytes = b"")
     if what == "nodes":
         tag = F.col("tag") if "tag" in docs.columns else F.lit(None)
         columns += [F.col("doc_id").cast("long").alias("doc_id"), tag.cast("long").alias("tag")]
-    return docs.select(*columns).mapInArrow(scan, schema)
+    return frames.map_batches(docs.select(*columns), scan, schema)
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
@@ -177,7 +177,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
                 found, _ = shingle_sets(texts, np.zeros(0, dtype=np.uint64))
                 yield pa.record_batch([pa.array(found.view(np.int64))], names=["token"])
 
-    counted = sample.select("text").mapInArrow(tokens, "token BIGINT").groupBy("token").count()
+    counted = frames.map_batches(sample.select("text"), tokens, "token BIGINT").groupBy("token").count()
     often = counted.filter(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS)
     found = [r["token"] for r in often.select("token").collect()]
     return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
@@ -206,7 +206,7 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             at = pa.array(np.flatnonzero(np.array(keep, dtype=bool)))
             yield pa.record_batch([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-    return met.mapInArrow(check, "a BIGINT, b BIGINT")
+    return frames.map_batches(met, check, "a BIGINT, b BIGINT")
 
 
 def _tile_pairs(tiles: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def index_blocks(docs: DataFrame) -> DataFrame:
                 found = spans_of_words(hashes, starts, starts + BLOCK)
                 yield pa.record_batch({"h": pa.array(found.view(np.int64))})
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "h BIGINT")
+    return frames.map_batches(docs.select("doc_id", "text"), scan, "h BIGINT")
 
 
 def probes(docs: DataFrame, index: bytes) -> DataFrame:
@@ -80,7 +80,7 @@ def probes(docs: DataFrame, index: bytes) -> DataFrame:
                 text = words.text[starts]
                 yield _hash_rows(ids[text], found, anchor=(starts - words.first[text]) % BLOCK == 0)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "h BIGINT, doc_id BIGINT, anchor BOOLEAN")
+    return frames.map_batches(docs.select("doc_id", "text"), scan, "h BIGINT, doc_id BIGINT, anchor BOOLEAN")
 
 
 def shared_anchors(found: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def candidate_windows(docs: DataFrame, anchors: bytes) -> DataFrame:
                 text = words.text[starts]
                 yield _hash_rows(ids[text], found, start=(starts - words.first[text]).astype(np.int32))
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "h BIGINT, doc_id BIGINT, start INT")
+    return frames.map_batches(docs.select("doc_id", "text"), scan, "h BIGINT, doc_id BIGINT, start INT")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept_text"],
                 )
 
-    return met.mapInArrow(cut, "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_text STRING")
+    return frames.map_batches(met, cut, "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_text STRING")
 
 
 def _joined(words: Words, kept: np.ndarray) -> pa.Array:

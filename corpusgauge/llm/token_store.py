@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.llm.frames import map_batches
 from corpusgauge.llm.words import chunks, code_spans_hashed, ranges
 from corpusgauge.session import stored
 
@@ -262,7 +263,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, p
         if held:
             yield flush(part)
 
-    return stored(ordered.mapInArrow(pack, _SEGMENTS), "tokens")
+    return stored(map_batches(ordered, pack, _SEGMENTS), "tokens")
 
 
 def described(segments: DataFrame, of_document: Callable[[np.ndarray], int] | None = None) -> DataFrame:
@@ -290,6 +291,7 @@ def described(segments: DataFrame, of_document: Callable[[np.ndarray], int] | No
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return segments.select("part", "first", "doc_ids", "data").mapInArrow(
-        read, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"
+    rows = segments.select("part", "first", "doc_ids", "data")
+    return map_batches(
+        rows, read, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"
     )
