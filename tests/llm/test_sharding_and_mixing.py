@@ -24,8 +24,11 @@ def test_shards_hold_equal_counts_of_every_source(make_docs, monkeypatch, bucket
     for s, n in shards.items():
         assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
     mixture = Counter((r.shard, r.source) for r in got)
-    for source, n in Counter(s for _, _, s in ROWS).items():
-        assert all(abs(mixture[s, source] - n / 8) <= 2 for s in range(8))
+    sources = Counter(s for _, _, s in ROWS)
+    for source, n in sources.items():
+        # each source is rounded by half a row at a cut, and the cut moves with all of them
+        most = 1 + len(sources) * n / len(ROWS)
+        assert all(abs(mixture[s, source] - n / 8) <= most for s in range(8))
 
 
 def test_sharding_reruns_agree_and_keeps_rows(make_docs):
