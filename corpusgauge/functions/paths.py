@@ -103,17 +103,34 @@ def hidden(path: Column) -> Column:
 
 def glob_regex_column(pattern: Column) -> Column:
     """``glob_regex`` for patterns that sit in a settings table."""
-    quoted = F.regexp_replace(pattern, r"([\\.^$|+(){}&~#])", r"\\$1")
-    literal_bracket = F.regexp_replace(quoted, r"\[(?!!?[^\]]+\])", r"\\[")
-    negated = F.regexp_replace(literal_bracket, r"\[!", "[^")
-    return F.regexp_replace(F.regexp_replace(negated, r"\*", ".*"), r"\?", ".")
 
+    def member(token: Column) -> Column:
+        body = F.regexp_replace(F.substr(token, F.lit(2), F.length(token) - 2), r"^!", "")
+        negation = F.when(F.startswith(token, F.lit("[!")), "^").otherwise("")
+        escaped = F.regexp_replace(body, r"([\\\[\]^&])", r"\\$1")
+        return F.concat(F.lit("["), negation, escaped, F.lit("]"))
 
-def quality_excluded_by(path: Column, patterns: Column) -> Column:
-    """``quality_excluded`` with a per-row pattern list."""
+    def regex(token: Column) -> Column:
+        return (
+            F.when(token == "*", ".*")
+            .when(token == "?", ".")
+            .when(F.length(token) > 1, member(token))
+            .otherwise(F.regexp_replace(token, r"([\\.^$|+(){}\[\]&~#-])", r"\\$1"))
+        )
+
+    # a set, closed by the first ] after at least one member, or a single character
+    tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)\[!?+\]?+[^\]]*+\]|."), F.lit(0))
+    return F.array_join(F.transform(tokens, regex), "")
+
+
+def name_regexes(patterns: Column) -> Column:
+    """Whole-name regexes of a column of glob lists; computed once for a settings row."""
+    return F.transform(patterns, lambda p: F.concat(F.lit("(?s)^(?:"), glob_regex_column(p), F.lit(")\\z")))
+
+
+def quality_excluded_by(path: Column, patterns: Column, regexes: Column) -> Column:
+    """``quality_excluded`` with lists per row: globs, and ``name_regexes`` of them."""
     name = file_name(path)
-    return F.exists(
-        patterns,
-        lambda p: F.contains(path, p)
-        | F.regexp_like(name, F.concat(F.lit("(?s)^(?:"), glob_regex_column(p), F.lit(")\\z"))),
+    return F.exists(patterns, lambda p: F.contains(path, p)) | F.exists(
+        regexes, lambda r: F.regexp_like(name, r)
     )

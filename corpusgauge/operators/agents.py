@@ -54,12 +54,12 @@ REVIEW_FAILED = "리뷰 실행 중 오류 발생: "
 def select_agents(
     names: Sequence[str] = DEFAULT_AGENTS, known: Sequence[Agent] = AGENTS
 ) -> list[Agent]:
-    """The named reviewers in the order asked for; case does not matter."""
+    """The named reviewers in the order asked for, each once; case does not matter."""
     by_name = {agent.name: agent for agent in known}
     unknown = [name for name in names if name.lower() not in by_name]
     if unknown:
         raise ValueError(f"unknown reviewers: {unknown}; known: {sorted(by_name)}")
-    return [by_name[name.lower()] for name in names]
+    return [by_name[name] for name in dict.fromkeys(name.lower() for name in names)]
 
 
 def agent_row(agent: Agent) -> Column:

@@ -79,6 +79,8 @@ def resolve_settings(
 ) -> DataFrame:
     """Attach each repository's analyze section, or the base section as a whole.
 
+    ``name_regexes`` holds the section's globs as regexes, made on the settings side.
+
     The settings side carries no broadcast hint: its size grows with the number of
     repositories, so Catalyst decides by ``autoBroadcastJoinThreshold``, and beyond
     that a sort-merge join runs, where AQE splits the partition of a huge repository
@@ -88,15 +90,22 @@ def resolve_settings(
         F.array(*[F.lit(p) for p in base_excludes]).alias("exclude_patterns"),
         F.lit(base_max_kb).alias("max_file_size_kb"),
     )
-    return files.join(settings.select("repo_id", "analyze"), "repo_id", "left").withColumn(
-        "analyze", F.coalesce("analyze", base)
+    own = settings.filter("analyze IS NOT NULL").select(
+        "repo_id", "analyze", paths.name_regexes(F.col("analyze.exclude_patterns")).alias("name_regexes")
+    )
+    globs = [f"(?s)^(?:{paths.glob_regex(p)})\\z" for p in base_excludes]
+    base_regexes = F.array(*[F.lit(g) for g in globs]).cast("array<string>")
+    return (
+        files.join(own, "repo_id", "left")
+        .withColumn("name_regexes", F.when(F.col("analyze").isNull(), base_regexes).otherwise(F.col("name_regexes")))
+        .withColumn("analyze", F.coalesce("analyze", base))
     )
 
 
 def scoped_by_settings(resolved: DataFrame) -> DataFrame:
     """Files each repository's own settings let through, and whether they are read."""
     return resolved.filter(
-        ~paths.quality_excluded_by(F.col("path"), F.col("analyze.exclude_patterns"))
+        ~paths.quality_excluded_by(F.col("path"), F.col("analyze.exclude_patterns"), F.col("name_regexes"))
     ).select(
         "repo_id",
         "path",

@@ -117,9 +117,11 @@ def _text_comment(response: Column) -> Column:
     return F.when(is_blank(response), F.array().cast(f"array<{COMMENT}>")).otherwise(whole)
 
 
-def parsed_replies(responses: DataFrame) -> DataFrame:
+def parsed_replies(responses: DataFrame, *more: Column | str) -> DataFrame:
     """One row per reply with ``comments``, counts, own ``summary`` and ``failure``.
 
+    ``more`` are further columns of ``responses`` to carry along.
+
     Everything happens in the row: no shuffle, and a reply never has to be put
     together again from exploded comments.
     """
@@ -188,6 +190,7 @@ def parsed_replies(responses: DataFrame) -> DataFrame:
             count("warning").alias("warnings"),
             count("info").alias("infos"),
             own_summary.alias("own_summary"),
+            *more,
         )
     )
 

@@ -32,54 +32,76 @@ MERGEABLE = "\n특별한 이슈 없이 병합 가능합니다."
 PER_SEVERITY = ("- ERROR: ", "- WARNING: ", "- INFO: ")
 COUNT_UNIT = "개"
 
-REPLY_FIELDS = ("error", "failure", "comments", "errors", "warnings", "infos", "own_summary")
+#: What of a reply takes part in the fold, from the narrowest on.
+COUNT_FIELDS = ("failed", "errors", "warnings", "infos", "first_error", "first_warning", "first_info")
+SUMMARY_FIELDS = (*COUNT_FIELDS, "error", "failure", "own_summary")
+COMMENT_FIELDS = (*SUMMARY_FIELDS, "comments")
+_COUNTS = ("errors", "warnings", "infos", "first_error", "first_warning", "first_info")
 
 
 def _no_comments() -> Column:
     return F.array().cast(f"array<{COMMENT}>")
 
 
-def _review_of(entry: Column) -> Column:
+def _review_of(entry: Column, fields: Sequence[str]) -> Column:
     """One reviewer's result, whether it answered, failed or broke on its own reply.
 
     ``entry`` holds the reviewer (``agent``) and its parsed reply (``reply``, maybe NULL).
     """
     agent, reply = entry["agent"], entry["reply"]
-    call_error = F.when(reply.isNull(), NO_RESPONSE).otherwise(reply["error"])
+    answered = ~F.coalesce(reply["failed"], F.lit(True))
     zero = F.lit(0).cast("bigint")
+    out = [agent["name"].alias("agent")]
+    if "comments" in fields:
+        out.append(F.when(answered, reply["comments"]).otherwise(_no_comments()).alias("comments"))
+    out += [F.when(answered, reply[f]).otherwise(zero).alias(f) for f in _COUNTS]
+    if "own_summary" in fields:
+        call_error = F.when(reply.isNull(), NO_RESPONSE).otherwise(reply["error"])
+        summary = (
+            F.when(call_error.isNotNull(), F.concat(F.lit(CALL_FAILED), call_error))
+            .when(reply["failure"].isNotNull(), F.concat(F.lit(REVIEW_FAILED), reply["failure"]))
+            .when(reply["own_summary"] != "", reply["own_summary"])
+            .otherwise(default_summary(agent, reply["errors"], reply["warnings"], reply["infos"]))
+        )
+        out.append(summary.alias("summary"))
+    return F.struct(*out)
 
-    def count(field: str) -> Column:
-        return F.when(call_error.isNull(), reply[field]).otherwise(zero)
 
-    summary = (
-        F.when(call_error.isNotNull(), F.concat(F.lit(CALL_FAILED), call_error))
-        .when(reply["failure"].isNotNull(), F.concat(F.lit(REVIEW_FAILED), reply["failure"]))
-        .when(reply["own_summary"] != "", reply["own_summary"])
-        .otherwise(default_summary(agent, reply["errors"], reply["warnings"], reply["infos"]))
-    )
-    return F.struct(
-        agent["name"].alias("agent"),
-        F.when(call_error.isNull(), reply["comments"]).otherwise(_no_comments()).alias("comments"),
-        count("errors").alias("errors"),
-        count("warnings").alias("warnings"),
-        count("infos").alias("infos"),
-        summary.alias("summary"),
-    )
+def _first_of(severity: str) -> Column:
+    """Place, from 1, of a severity's first comment; 0 for none."""
+    found = F.array_position(F.transform("comments", lambda c: c["severity"]), severity)
+    return found.cast("bigint").alias(f"first_{severity}")
 
 
-def reviewed_diffs(diffs: DataFrame, responses: DataFrame, agents: Sequence[Agent]) -> DataFrame:
+def reviewed_diffs(
+    diffs: DataFrame,
+    responses: DataFrame,
+    agents: Sequence[Agent],
+    fields: Sequence[str] = COMMENT_FIELDS,
+) -> DataFrame:
     """``diff_id, is_blank, stats, reviews``: one row per diff, blank ones included.
 
     Replies are parsed where they are read, then folded to one column per reviewer
-    (a state of at most one reply each, whatever the number of rows).  The fold's
-    shuffle by ``diff_id`` also serves the join; of the diffs only the stats travel.
+    (a state of at most one reply each, whatever the number of rows).  Only ``fields``
+    are folded, so counts never shuffle texts.  The fold's shuffle by ``diff_id`` also
+    serves the join; of the diffs only the stats travel.
+
+    Of several replies of one reviewer to one diff the one of the greatest ``attempt``
+    counts, if ``responses`` has that column; then one without an error before one
+    with, then the greater by its text, so that every run takes the same.
     """
     names = [agent.name for agent in agents]
-    reply = F.struct(*REPLY_FIELDS)
-    folded = (
-        parsed_replies(responses.filter(F.col("agent").isin(*names)))
-        .groupBy("diff_id")
-        .agg(*[F.any_value(F.when(F.col("agent") == n, reply), F.lit(True)).alias(n) for n in names])
+    attempt = F.col("attempt") if "attempt" in responses.columns else F.lit(0)
+    known = responses.filter(F.col("agent").isin(*names)).withColumn("attempt", attempt.cast("bigint"))
+    parsed = parsed_replies(known, "attempt", F.xxhash64("response", "error").alias("mark")).select(
+        "*",
+        F.col("error").isNotNull().alias("failed"),
+        *[_first_of(s) for s in ("error", "warning", "info")],
+    )
+    rank = F.struct("attempt", (~F.col("failed")).alias("ok"), "mark")
+    reply = F.struct(rank.alias("rank"), *fields)
+    folded = parsed.groupBy("diff_id").agg(
+        *[F.max(F.when(F.col("agent") == n, reply)).alias(f"reply_{i}") for i, n in enumerate(names)]
     )
     slim = diffs.select(
         "diff_id",
@@ -87,25 +109,30 @@ def reviewed_diffs(diffs: DataFrame, responses: DataFrame, agents: Sequence[Agen
         stats_of(file_diffs_of(F.col("raw"))).alias("stats"),
     )
     entries = F.array(
-        *[F.struct(agent_row(a).alias("agent"), F.col(a.name).alias("reply")) for a in agents]
+        *[
+            F.struct(agent_row(a).alias("agent"), F.col(f"reply_{i}").alias("reply"))
+            for i, a in enumerate(agents)
+        ]
     )
     due = F.filter(entries, lambda _: ~F.col("is_blank"))
     return slim.join(folded, "diff_id", "left").select(
-        "diff_id", "is_blank", "stats", F.transform(due, _review_of).alias("reviews")
+        "diff_id", "is_blank", "stats", F.transform(due, lambda e: _review_of(e, fields)).alias("reviews")
     )
 
 
 def agent_reviews(reviewed: DataFrame) -> DataFrame:
     """One row per diff and reviewer."""
-    return explode_items(reviewed, ["diff_id"], F.col("reviews"), "agent_idx", "r").select(
+    each = explode_items(reviewed, ["diff_id"], F.col("reviews"), "agent_idx", "r")
+    with_summary = "summary" in each.select("r.*").columns
+    return each.select(
         "diff_id",
         "agent_idx",
         "r.agent",
-        F.size("r.comments").cast("bigint").alias("n_comments"),
+        (F.col("r.errors") + F.col("r.warnings") + F.col("r.infos")).alias("n_comments"),
         "r.errors",
         "r.warnings",
         "r.infos",
-        "r.summary",
+        *(["r.summary"] if with_summary else []),
     )
 
 
@@ -128,19 +155,23 @@ def comment_totals(reviewed: DataFrame) -> DataFrame:
 
 def severity_map(reviewed: DataFrame) -> DataFrame:
     """``by_severity`` holds only the severities that occur, in the order they first do."""
-    seen = F.array_distinct(
-        F.flatten(F.transform("reviews", lambda r: F.transform(r["comments"], lambda c: c["severity"])))
-    )
-    counted = F.transform(
-        seen,
-        lambda s: F.struct(
-            s.alias("key"),
-            F.when(s == "error", F.col("errors"))
-            .when(s == "warning", F.col("warnings"))
-            .otherwise(F.col("infos"))
-            .alias("value"),
-        ),
+
+    def first(severity: str) -> Column:
+        """Reviewer and place of the first comment, as one number; NULL for none."""
+        at = lambda r, i: F.when(
+            r[f"first_{severity}"] > 0, F.shiftleft(i.cast("bigint"), 32) + r[f"first_{severity}"]
+        )
+        return F.array_min(F.transform("reviews", at))
+
+    columns = {"error": "errors", "warning": "warnings", "info": "infos"}
+    placed = F.array(
+        *[
+            F.struct(first(s).alias("at"), F.lit(s).alias("key"), F.col(c).alias("value"))
+            for s, c in columns.items()
+        ]
     )
+    seen = F.array_sort(F.filter(placed, lambda e: e["at"].isNotNull()))
+    counted = F.transform(seen, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     return with_totals(reviewed).withColumn("by_severity", F.map_from_entries(counted))
 
 

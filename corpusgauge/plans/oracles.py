@@ -813,13 +813,12 @@ ORACLES["prompts_review"] = f"""WITH diffs AS ({B.DIFFS.sql()}),
   SELECT diff_id, agent, length(p) AS prompt_chars, md5(p) AS prompt_md5 FROM prompts"""
 
 ORACLES["file_context"] = f"""WITH {DIFFS}, parts AS ({B.FILES_CODE.sql()}),
-  keyed AS (SELECT *, TRY_CAST(regexp_extract(path, 'f([0-9]+)\\.py$', 1) AS BIGINT) AS k FROM parts),
   sources AS (
-    SELECT repo_id, 'src/m' || k % 7 || '/f' || k % 50 || '_' || (k % 4 + 1) || '.py' AS path,
-      min(content) AS content FROM keyed WHERE k IS NOT NULL GROUP BY ALL),
+    SELECT repo_id, {B.CONTEXT_PATH} AS path, content FROM parts
+    UNION ALL {B.FILES_DOCS.sql()} UNION ALL {B.FILES_PAGES.sql()}),
   blocks AS (
     SELECT diff_id, string_agg('### ' || path || {NL} || '```' || {NL} || content || {NL} || '```' || {NL},
-      {NL} ORDER BY file_idx) AS c
+      {NL} ORDER BY file_idx, content) AS c
     FROM file_rows JOIN diffs USING (diff_id) JOIN sources USING (repo_id, path) GROUP BY diff_id)
   SELECT diff_id, length(c) AS file_context_chars, md5(c) AS file_context_md5 FROM blocks"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,6 @@ from corpusgauge.operators import repo as RE
 from corpusgauge.operators import reports as M
 from corpusgauge.operators import reviews as RV
 from corpusgauge.operators import structure as S
-from corpusgauge.session import checkpointed
 from corpusgauge.sources import bindings as B
 from corpusgauge.sources.files import decoded, decoded_for_explain
 from corpusgauge.sources.sinks import report_json
@@ -283,8 +282,8 @@ def all_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def md_quality(spark: SparkSession, sf: str) -> DataFrame:
-    # both halves of the report come from the same narrow rows: read contents once
-    rows = checkpointed(Q.file_results(B.files(spark, sf)))
+    # no job while the query is built; ``jobs.analyze_quality`` reads the contents once
+    rows = Q.file_results(B.files(spark, sf))
     return M.quality_markdown(rows.drop("found"), Q.exploded(rows))
 
 
@@ -384,33 +383,33 @@ def reply_summary(spark: SparkSession, sf: str) -> DataFrame:
     return RP.parsed_replies(B.responses(spark, sf)).select("diff_id", "agent", "own_summary")
 
 
-def _reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    return RV.reviewed_diffs(B.diffs(spark, sf), B.responses(spark, sf), A.AGENTS)
+def _reviewed(spark: SparkSession, sf: str, fields: Sequence[str] = RV.COMMENT_FIELDS) -> DataFrame:
+    return RV.reviewed_diffs(B.diffs(spark, sf), B.responses(spark, sf), A.AGENTS, fields)
 
 
 @query
 def agent_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return RV.agent_reviews(_reviewed(spark, sf)).drop("summary")
+    return RV.agent_reviews(_reviewed(spark, sf, RV.COUNT_FIELDS))
 
 
 @query
 def agent_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return RV.agent_reviews(_reviewed(spark, sf)).select("diff_id", "agent", "summary")
+    return RV.agent_reviews(_reviewed(spark, sf, RV.SUMMARY_FIELDS)).select("diff_id", "agent", "summary")
 
 
 @query
 def comment_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return RV.comment_totals(_reviewed(spark, sf))
+    return RV.comment_totals(_reviewed(spark, sf, RV.COUNT_FIELDS))
 
 
 @query
 def by_severity(spark: SparkSession, sf: str) -> DataFrame:
-    return RV.by_severity(_reviewed(spark, sf))
+    return RV.by_severity(_reviewed(spark, sf, RV.COUNT_FIELDS))
 
 
 @query
 def review_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return RV.review_verdict(_reviewed(spark, sf))
+    return RV.review_verdict(_reviewed(spark, sf, RV.COUNT_FIELDS))
 
 
 @query
@@ -447,17 +446,11 @@ def prompts_review(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _context_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Versions of the files that the fixture diffs touch, taken from the part files."""
-    parts = B.FILES_CODE.read(spark, sf)
-    key = F.regexp_extract("path", r"f([0-9]+)\.py$", 1).try_cast("bigint")
-    return parts.filter(key.isNotNull()).select(
-        "repo_id",
-        F.concat(
-            F.lit("src/m"), (key % 7).cast("string"), F.lit("/f"), (key % 50).cast("string"),
-            F.lit("_"), (key % 4 + 1).cast("string"), F.lit(".py"),
-        ).alias("path"),
-        "content",
-    ).groupBy("repo_id", "path").agg(F.min("content").alias("content"))
+    """Versions of the files that the fixture diffs touch, and all other files."""
+    parts = B.FILES_CODE.read(spark, sf).select("repo_id", F.expr(B.CONTEXT_PATH).alias("path"), "content")
+    for other in (B.FILES_DOCS, B.FILES_PAGES):
+        parts = parts.unionByName(other.read(spark, sf))
+    return parts
 
 
 @query

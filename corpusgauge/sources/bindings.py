@@ -72,7 +72,7 @@ class Binding:
     def read(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         # a given schema spares the job that would read one from a footer
         reader = spark.read.schema(FIXTURE_SCHEMAS[self.table])
-        source = spread_small(reader.parquet(f"{sf_dir}/{self.table}.parquet"))
+        source = reader.parquet(f"{sf_dir}/{self.table}.parquet")
         if self.where:
             source = source.where(self.where)
         return source.select(*[F.expr(expr).alias(name) for name, expr in self.columns.items()])
@@ -88,26 +88,6 @@ FIXTURE_SCHEMAS = {
     "supplier": "s_suppkey BIGINT",
 }
 
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores.
-
-    A file of one row group is one task however many cores there are, and the scans
-    are bound by regex work.  Large inputs have enough splits and are left alone:
-    their content is never shuffled.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except (AttributeError, NotImplementedError):  # a remote session does not tell
-        return df
-    if cores < 2 or size > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(cores)
-
-
 # --- files ------------------------------------------------------------------
 
 _DOC_NAME = _cases(
@@ -247,6 +227,13 @@ FILES_CODE = Binding(
         f"{_when(f'{_P} % 13 = 0', 'chr(13) || chr(10)', 'chr(10)')})",
     },
 )
+#: Path of a part file as a version of a file that the diffs touch: ``f<n>.py`` becomes
+#: one of their paths, any other stays.  Several files may share a path.
+_INDEX = r"CAST(nullif(regexp_extract(path, 'f([0-9]+)[.]py$', 1), '') AS BIGINT)"
+CONTEXT_PATH = (
+    f"CASE WHEN {_INDEX} IS NULL THEN path ELSE 'src/m' || CAST({_INDEX} % 7 AS STRING) || '/f' || "
+    f"CAST({_INDEX} % 50 AS STRING) || '_' || CAST({_INDEX} % 4 + 1 AS STRING) || '.py' END"
+)
 FILE_BINDINGS = (FILES_DOCS, FILES_PAGES, FILES_CODE)
 
 
@@ -447,7 +434,6 @@ REPLIES = Binding(
             "text",
         ),
     },
-    where="role = 'assistant'",
 )
 
 
@@ -461,13 +447,14 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 SETTINGS = Binding(
     "supplier",
     {
+        # one row a repository; from the 22nd on of repositories without files
         "repo_id": "CASE WHEN s_suppkey < 10 THEN 'src' || CAST(s_suppkey * 2 AS STRING) "
-        "ELSE 'code' || CAST((s_suppkey - 10) * 10 AS STRING) END",
+        "WHEN s_suppkey < 22 THEN 'code' || CAST((s_suppkey - 10) * 10 AS STRING) "
+        "ELSE 'supplier' || CAST(s_suppkey AS STRING) END",
         # a NULL section falls back to the base section as a whole
         "patterns": "CASE s_suppkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN '*.py' WHEN 2 THEN 'f?[13]*' END",
         "max_file_size_kb": "CASE s_suppkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 500 WHEN 2 THEN 2 END",
     },
-    where="s_suppkey < 18",
 )
 
 

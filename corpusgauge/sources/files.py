@@ -2,49 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.text import decode_dropping, decode_or_latin1
 
 
+#: Bytes of contents a scan task hands on at once.
+BATCH_BYTES = 16 << 20
+
+
+def _filesystem(root: str) -> tuple[FileSystem, str]:
+    """The store of ``root`` and the path within it; a plain path is a local one."""
+    if "://" in root:
+        return FileSystem.from_uri(root)
+    return LocalFileSystem(), os.path.abspath(root.removeprefix("file:"))
+
+
 def scan_files(
-    spark: SparkSession, root: str, repo_id: str | None = None, max_kb: int | None = None
+    spark: SparkSession,
+    root: str,
+    repo_id: str | None = None,
+    max_kb: int | None = None,
+    filesystem: FileSystem | None = None,
 ) -> DataFrame:
     """``files(repo_id, path, size_bytes, content BINARY)`` of everything below ``root``.
 
-    ``root`` may be a single file; its path is then its name.  With ``max_kb`` the
-    contents of larger files are never read (the size test is pushed into the
-    listing), but their rows stay, with NULL content.
+    Every regular file comes, whatever its name (Spark's own listing leaves out names
+    that begin with ``_`` or ``.``).  ``root`` may be a single file; its path is then
+    its name.  With ``max_kb`` the contents of larger files are not read, but their rows
+    stay, with NULL content.
+
+    Only the first level below ``root`` is listed on the driver; tasks list the folders
+    and read the files.  ``root`` has to be readable from the executors; ``filesystem``
+    opens stores that its URI does not name (``root`` is then a path within it).
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    )
-    base = root.rstrip("/")
-    if max_kb is None:
-        found = listing
+    store, base = (filesystem, root) if filesystem else _filesystem(root)
+    base = base.rstrip("/") or "/"
+    whole = store.get_file_info(base)
+    if whole.type == FileType.File:
+        prefix, entries = len(base.rpartition("/")[0]) + 1, [base]
     else:
-        cap = max_kb * 1024
-        small = listing.filter(F.col("length") <= cap)
-        large = listing.filter(F.col("length") > cap).withColumn("content", F.lit(None).cast("binary"))
-        found = small.unionByName(large)
-    return found.select(
-        F.lit(repo_id or base.rsplit("/", 1)[-1]).alias("repo_id"),
-        _below(F.col("path"), base).alias("path"),
-        F.col("length").alias("size_bytes"),
-        "content",
-    )
-
-
-def _below(path: Column, base: str) -> Column:
-    """Path relative to ``base``; the name alone when ``base`` is the file itself."""
-    plain = F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "")
-    root = base.split("://", 1)[-1] if "://" in base else base
-    root = root if root.startswith("/") else "/" + root.partition("/")[2]
-    inside = F.startswith(plain, F.lit(root + "/"))
-    return F.when(inside, F.substr(plain, F.lit(len(root) + 2))).otherwise(
-        F.substring_index(plain, "/", -1)
-    )
+        prefix = len(base.rstrip("/")) + 1
+        entries = sorted(e.path for e in store.get_file_info(FileSelector(base)))
+    cores = spark.sparkContext.defaultParallelism
+    cap = None if max_kb is None else max_kb * 1024
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for entry in batch.column("entry").to_pylist():
+                found = store.get_file_info([entry])
+                if found[0].type == FileType.Directory:
+                    found = store.get_file_info(FileSelector(entry, recursive=True))
+                files = [f for f in found if f.type == FileType.File]
+                yield pa.record_batch(
+                    [pa.array([f.path for f in files], pa.string()), pa.array([f.size for f in files], pa.int64())],
+                    names=["full", "size_bytes"],
+                )
+
+    def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[str, int, bytes | None]] = []
+            size = 0
+            for full, length in zip(*(batch.column(c).to_pylist() for c in ("full", "size_bytes")), strict=True):
+                content = None
+                if cap is None or length <= cap:
+                    with store.open_input_stream(full) as stream:
+                        content = stream.read()
+                held.append((full[prefix:], length, content))
+                size += len(content or b"")
+                if size > BATCH_BYTES:
+                    yield _file_batch(held)
+                    held, size = [], 0
+            yield _file_batch(held)
+
+    def _file_batch(held: list[tuple[str, int, bytes | None]]) -> pa.RecordBatch:
+        columns = list(zip(*held, strict=True)) or [(), (), ()]
+        kinds = (pa.string(), pa.int64(), pa.binary())
+        return pa.record_batch(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "size_bytes", "content"]
+        )
+
+    tops = spark.createDataFrame([(e,) for e in entries], "entry STRING").repartition(max(1, min(cores, len(entries))))
+    listed = tops.mapInArrow(listing, "full STRING, size_bytes BIGINT").repartition(4 * cores, "full")
+    found = listed.mapInArrow(reading, "path STRING, size_bytes BIGINT, content BINARY")
+    name = repo_id or root.rstrip("/").rsplit("/", 1)[-1]
+    return found.select(F.lit(name).alias("repo_id"), "path", "size_bytes", "content")
 
 
 def decoded(files: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def test_quality_excludes(texts):
         ]
         assert values(frame(texts), P.quality_excluded(F.col("path"), globs)) == expected
         literal = F.array(*[F.lit(g) for g in globs])
-        assert values(frame(texts), P.quality_excluded_by(F.col("path"), literal)) == expected
+        assert values(frame(texts), P.quality_excluded_by(F.col("path"), literal, P.name_regexes(literal))) == expected
 
 
 def test_structure_excludes(texts):
@@ -107,3 +107,13 @@ def test_settings_replace_the_base_section_as_a_whole(spark):
         ("own", "b.py", 1, True),
         ("base", "docs/a.py", 500, True),
     }
+
+
+def test_pattern_column_reads_globs_as_fnmatch(spark):
+    patterns = ["a[?]py", "b[*]c", "x[]]y", "[!-]z", "[]", "q[", "*.p?", "[a-c]1", "[!a-c]1", "a.b+c", "[^x]", "[!]]k", "[&]m", "-"]
+    names = ["a.py", "a?py", "b.c", "b*c", "x]y", "xy", "-z", "zz", "[]", "q[", "n.py", "b1", "d1", "a.b+c", "aXb+c", "^", "x", "]k", "ak", "&m", "-"]
+    rows = [(p, n) for p in patterns for n in names]
+    df = spark.createDataFrame(rows, "p STRING, n STRING")
+    regexes = P.name_regexes(F.array("p"))
+    got = df.select("p", "n", F.exists(regexes, lambda r: F.regexp_like("n", r)).alias("hit")).collect()
+    assert [(r.p, r.n) for r in got if r.hit != fnmatch(r.n, r.p)] == []

@@ -290,3 +290,41 @@ def test_explanations_capture_failures(make_files):
     assert [(r.path, r.reason) for r in E.rejected_files(files).collect()] == [
         ("big.py", "file size 501.0KB is over the limit of 500KB")
     ]
+
+
+def test_names_given_twice_are_one_reviewer():
+    assert [a.name for a in A.select_agents(["architect", "Architect", "junior"])] == ["architect", "junior"]
+
+
+def test_one_of_several_replies_counts(spark):
+    diffs = spark.createDataFrame([(1, "diff --git a/x b/x\n"), (2, "diff --git a/x b/x\n")], "diff_id BIGINT, raw STRING")
+    rows = [
+        (1, "architect", '[{"severity": "error"}]', None, 1),
+        (1, "architect", '[{"severity": "info"}, {"severity": "warning"}]', None, 2),
+        (1, "security", None, "timeout", 1),
+        (1, "security", "fine", None, 1),
+        (2, "architect", "one", None, None),
+        (2, "architect", "[]", None, 1),
+    ]
+    replies = spark.createDataFrame(rows, "diff_id BIGINT, agent STRING, response STRING, error STRING, attempt INT")
+    for source in (replies, replies.orderBy("response")):
+        for fields in (RV.COUNT_FIELDS, RV.SUMMARY_FIELDS, RV.COMMENT_FIELDS):
+            reviewed = RV.reviewed_diffs(diffs, source, A.select_agents(), fields)
+            got = {(r.diff_id, r.agent): (r.errors, r.warnings, r.infos) for r in RV.agent_reviews(reviewed).collect()}
+            assert got == {
+                (1, "architect"): (0, 1, 1), (1, "security"): (0, 0, 1),
+                (2, "architect"): (0, 0, 0), (2, "security"): (0, 0, 0),
+            }
+            severities = [tuple(r) for r in RV.by_severity(reviewed).collect()]
+            assert sorted(severities) == [(1, "info", 2), (1, "warning", 1)]
+            assert [s for _, s, _ in severities] == ["info", "warning"]
+
+
+def test_counts_shuffle_no_comments(spark):
+    from corpusgauge.plans.queries import QUERIES
+
+    for name in ("comment_totals", "by_severity", "review_verdict", "agent_reviews"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        folds = [line for line in plan.split("\n") if "partial_max" in line]
+        assert folds and not any("comments" in line or "summary" in line for line in folds), name
+        assert "REPARTITION_BY_NUM" not in plan

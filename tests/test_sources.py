@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from corpusgauge.operators import quality as Q
 from corpusgauge.operators import repo as RE
 from corpusgauge.operators import reports as M
+from corpusgauge.plans import jobs
 from corpusgauge.sources.files import decoded, decoded_for_explain, read_files_table, scan_files
 from corpusgauge.sources.sinks import write_json, write_markdown, write_report_lines
 
@@ -36,10 +38,45 @@ def test_single_file_and_size_cap(spark, tmp_path):
     assert (report.files_analyzed, report.total_lines, report.infos) == (2, 1, 0)
 
 
-def test_size_filter_reaches_the_listing(spark, tmp_path):
-    (tmp_path / "a.py").write_text("x")
-    plan = scan_files(spark, str(tmp_path), max_kb=1)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length,1024)" in plan
+ODD = (
+    "pkg/__init__.py", "pkg/__main__.py", "pkg/_priv.py", "pkg/a.py", "pkg/a b%20.py", "pkg/[x].py",
+    "_build/b.py", ".github/c.py", "deep/.d/_e/f.py", ".hidden", "_x.py",
+)
+
+
+def test_scan_finds_what_a_walk_finds(spark, tmp_path):
+    for name in ODD:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    (tmp_path / "empty").mkdir()
+    walked = {
+        os.path.relpath(os.path.join(folder, n), tmp_path) for folder, _, names in os.walk(tmp_path) for n in names
+    }
+    assert walked == set(ODD)
+    for root in (str(tmp_path), f"{tmp_path}/"):
+        found = scan_files(spark, root, "r").collect()
+        assert {r.path: bytes(r.content).decode() for r in found} == {n: f"# {n}\n" for n in ODD}
+    for name in ("_x.py", ".hidden", "pkg/[x].py"):
+        one = scan_files(spark, str(tmp_path / name), "r").collect()
+        assert [r.path for r in one] == [name.rpartition("/")[2]]
+
+
+def test_jobs_over_a_scan(spark, tmp_path):
+    for name in ODD:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    files = decoded(scan_files(spark, str(tmp_path), "r"))
+    tree = jobs.analyze_structure(files)
+    nodes = {r.path: r.node_type for r in tree.nodes.collect()}
+    assert nodes["pkg"] == "module" and nodes["_build/b.py"] == "file" and ".github" not in nodes
+    assert "pkg/__main__.py" in {r[1] for r in tree.entry_points.select("repo_id", "path").collect()}
+    report = jobs.analyze_quality(files).reports.first()
+    # hidden files are kept by the quality scan, but `.git` is part of `.github` and `build` of `_build`
+    assert report.files_analyzed == len([n for n in ODD if n.endswith(".py") and ".git" not in n and "build" not in n])
+
+
+def test_empty_folder(spark, tmp_path):
+    assert scan_files(spark, str(tmp_path)).collect() == []
 
 
 def test_files_table(spark, tmp_path, make_files):
