@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,12 +78,19 @@ def slots(name: str) -> list[str]:
     return _SLOT.findall(TEMPLATES[name])
 
 
-def fill(name: str, values: Mapping[str, Column]) -> Column:
+@dataclass(frozen=True)
+class Lines:
+    """A list value of a slot, an array column; nulls in it are left out."""
+
+    column: Column
+
+
+def fill(name: str, values: Mapping[str, Column | Lines]) -> Column:
     """The filled template as a string column.
 
     Slot values are never scanned for further slots, so file contents that hold
-    ``{lines}`` stay as they are.  A value that is an array is joined by newlines
-    by the caller; a missing value raises ``KeyError``.
+    ``{lines}`` stay as they are.  ``Lines`` of an array column puts its elements on
+    lines of their own; a missing value raises ``KeyError``.
     """
     if name not in TEMPLATES:
         raise FileNotFoundError(f"no template named {name}")
@@ -91,7 +99,9 @@ def fill(name: str, values: Mapping[str, Column]) -> Column:
         if i % 2:
             if piece not in values:
                 raise KeyError(f"template {name} needs a value for {piece}")
-            parts.append(values[piece].cast("string"))
+            value = values[piece]
+            lines = isinstance(value, Lines)
+            parts.append(F.array_join(value.column, "\n") if lines else value.cast("string"))
         elif piece:
             parts.append(F.lit(piece))
     return F.concat(*parts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusgauge.functions import rules as R
 from corpusgauge.functions.languages import code_language
 from corpusgauge.functions.numbers import one_decimal
-from corpusgauge.functions.paths import quality_excluded
+from corpusgauge.functions.paths import quality_excluded, quality_excluded_by
 from corpusgauge.functions.regex import java_regex
 from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.text import (
@@ -45,9 +45,16 @@ def scoped(
 
     Rows are not filtered: a repository without a file in scope still gets its
     report.  Out-of-scope and oversize files have the text '', which costs nothing.
+
+    Files that went through ``resolve_settings`` bring their excludes and size limit.
     """
     language = code_language(F.col("path"))
-    kept = ~quality_excluded(F.col("path"), excludes) & (language != "Unknown")
+    if "name_regexes" in files.columns:
+        excluded = quality_excluded_by(F.col("path"), F.col("analyze.exclude_patterns"), F.col("name_regexes"))
+        cap = F.col("size_bytes") <= F.col("analyze.max_file_size_kb") * 1024
+    else:
+        excluded, cap = quality_excluded(F.col("path"), excludes), within_cap(F.col("size_bytes"), max_kb)
+    kept = ~excluded & (language != "Unknown")
     in_scope = kept if filtered else F.lit(True)
     return (
         files.withColumn("language", language)
@@ -55,11 +62,11 @@ def scoped(
         .withColumn(
             "text",
             F.when(
-                F.col("in_scope") & within_cap(F.col("size_bytes"), max_kb),
+                F.col("in_scope") & cap,
                 universal_newlines(F.col("content")),
             ).otherwise(F.lit("")),
         )
-        .drop("content")
+        .drop("content", "analyze", "name_regexes")
     )
 
 

@@ -90,11 +90,17 @@ def _field(item: Column, name: str, default: str | None) -> Column:
     return F.when(missing, F.lit(default)).otherwise(value)
 
 
+def _whole_number(item: Column) -> Column:
+    """``line`` where it is written as a whole number; text and fractions give NULL."""
+    line = F.variant_get(item, "$.line", "variant")
+    return F.when(_python_type(line) == "int", F.try_variant_get(item, "$.line", "int"))
+
+
 def _comment(item: Column) -> Column:
     severity = F.upper(F.try_variant_get(item, "$.severity", "string"))
     return F.struct(
         _field(item, "file", "unknown").alias("file"),
-        F.try_variant_get(item, "$.line", "int").alias("line"),
+        _whole_number(item).alias("line"),
         F.when(severity.isin(*SEVERITIES), F.lower(severity)).otherwise("info").alias("severity"),
         _field(item, "category", "general").alias("category"),
         _field(item, "message", "").alias("message"),

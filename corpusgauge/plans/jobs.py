@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.paths import TRACKED_EXCLUDES
+from corpusgauge.functions.paths import QUALITY_EXCLUDES, TRACKED_EXCLUDES
 from corpusgauge.functions.rules import RULES, Rule
 from corpusgauge.operators import agents, diffs, explain, quality, repo, reports, reviews, structure
+from corpusgauge.operators.files import resolve_settings
 from corpusgauge.session import checkpointed
-from corpusgauge.sources.sinks import report_json
+from corpusgauge.sources.sinks import json_reports, quality_form
 
 MakeClient = Callable[[], explain.Complete]
 
@@ -55,11 +56,16 @@ def analyze_quality(
     max_kb: int = quality.MAX_FILE_SIZE_KB,
     rules: Sequence[Rule] = RULES,
     filtered: bool = True,
+    settings: DataFrame | None = None,
 ) -> QualityResult:
     """Reports, issues and report lines; the contents are read once.
 
-    ``filtered=False`` analyses every file given, whatever its name.
+    ``filtered=False`` analyses every file given, whatever its name.  With
+    ``settings(repo_id, analyze)`` a repository's own excludes and size limit apply;
+    ``excludes`` and ``max_kb`` are those of the others.
     """
+    if settings is not None:
+        files = resolve_settings(files, settings, excludes or QUALITY_EXCLUDES, max_kb)
     results = checkpointed(quality.file_results(files, excludes, max_kb, rules, filtered))
     found = quality.exploded(results)
     return QualityResult(
@@ -136,15 +142,18 @@ _MARKDOWN: dict[str, Callable[[DataFrame], DataFrame]] = {
     "review": reports.review_markdown,
     "explanation": reports.explanation_markdown,
 }
-_KEYS = {"repository": ("repo_id",), "review": ("diff_id",), "explanation": ("repo_id", "path")}
-
-
-def render(results: DataFrame, kind: str, form: str = "markdown") -> DataFrame:
-    """Keys and ``report`` text of repository, review or explanation rows."""
-    if kind not in _MARKDOWN:
-        raise ValueError(f"unknown kind {kind}; known: {sorted(_MARKDOWN)}")
-    if form.lower() == "json":
-        return report_json(results, *_KEYS[kind])
-    if form.lower() == "markdown":
-        return _MARKDOWN[kind](results)
-    raise ValueError(f"unknown form {form}; known: ['json', 'markdown']")
+
+
+def render(results: DataFrame | QualityResult, kind: str, form: str = "markdown") -> DataFrame:
+    """Keys and ``report`` text of repository, review or explanation rows.
+
+    Kind ``quality`` takes the result of ``analyze_quality``: its Markdown are lines in
+    report order, its JSON a head row for each repository and a row for each issue.
+    """
+    if kind not in (*_MARKDOWN, "quality"):
+        raise ValueError(f"unknown kind {kind}; known: {sorted([*_MARKDOWN, 'quality'])}")
+    if form.lower() not in ("json", "markdown"):
+        raise ValueError(f"unknown form {form}; known: ['json', 'markdown']")
+    if isinstance(results, QualityResult):
+        return quality_form(results.reports, results.issues) if form.lower() == "json" else results.lines
+    return json_reports(results, kind) if form.lower() == "json" else _MARKDOWN[kind](results)

@@ -892,7 +892,7 @@ review_query(
 )
 review_query(
     "report_json_review",
-    f"""SELECT diff_id, CAST(to_json(struct_pack(diff_id := diff_id,
+    f"""SELECT diff_id, CAST(to_json(struct_pack(
         diff_summary := struct_pack(files_changed := files_changed, total_additions := total_additions,
           total_deletions := total_deletions),
         agent_reviews := coalesce(rs, []), total_comments := total_comments,
@@ -913,28 +913,31 @@ review_query(
 )
 simple(
     "report_json_quality",
-    """SELECT repo_id, CAST(to_json(struct_pack(repo_id := repo_id, files_analyzed := files_analyzed,
-        total_lines := total_lines, complexity_score := complexity_score, score := CAST(score AS DOUBLE),
-        grade := grade, errors := errors, warnings := warnings, infos := infos, summary := summary))
-        AS VARCHAR) AS report FROM reports""",
+    """SELECT repo_id, 'head' AS part, CAST(NULL AS VARCHAR) AS path,
+        CAST(to_json(struct_pack(complexity_score := complexity_score, summary := summary)) AS VARCHAR) AS report
+      FROM reports
+      UNION ALL
+      SELECT repo_id, 'issue', path, CAST(to_json(struct_pack(path := path, line := line,
+        issue_type := issue_type, message := message, severity := severity)) AS VARCHAR)
+      FROM issues""",
     QUALITY,
 )
 simple(
     "report_json_repo",
-    """SELECT repo_id, CAST(to_json(struct_pack(repo_id := repo_id, name := repo_id,
+    """SELECT repo_id, CAST(to_json(struct_pack(path := repo_id, name := repo_id,
         total_files := total_files, total_lines := total_lines, languages := coalesce(ls, []),
         recent_commits := coalesce(cs, []), summary := '')) AS VARCHAR) AS report
       FROM totals
         LEFT JOIN (SELECT repo_id, list(struct_pack(language := language, files := files, lines := lines,
           percentage := round(pct, 6)) ORDER BY rank) AS ls FROM stats GROUP BY repo_id) USING (repo_id)
         LEFT JOIN (SELECT repo_id, list(struct_pack(hash := hash, short_hash := short_hash,
-          message := message, author := author, date := strftime(ts, '%Y-%m-%dT%H:%M:%S'))
+          message := message, author := author, date := strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00')
           ORDER BY commit_rank) AS cs FROM recent GROUP BY repo_id) USING (repo_id)""",
     OVERVIEW,
 )
 simple(
     "report_json_file",
-    """SELECT repo_id, path, CAST(to_json(struct_pack(repo_id := repo_id, path := path,
+    """SELECT repo_id, path, CAST(to_json(struct_pack(path := path,
         language := language, lines := lines, purpose := 'Holds ' || length(p) || ' characters.',
         key_elements := ['first ' || length(p) % 7, 'second'], explanation := response)) AS VARCHAR) AS report
       FROM answered WHERE response IS NOT NULL""",

@@ -21,7 +21,7 @@ from corpusgauge.operators import reviews as RV
 from corpusgauge.operators import structure as S
 from corpusgauge.sources import bindings as B
 from corpusgauge.sources.files import decoded, decoded_for_explain
-from corpusgauge.sources.sinks import report_json
+from corpusgauge.sources.sinks import json_reports, quality_form
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -478,40 +478,18 @@ def md_review(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_json_review(spark: SparkSession, sf: str) -> DataFrame:
-    return report_json(RV.review_results(_reviewed(spark, sf)), "diff_id")
+    return json_reports(RV.review_results(_reviewed(spark, sf)), "review")
 
 
 @query
 def report_json_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return report_json(Q.quality_report(_totals(spark, sf)), "repo_id")
+    issues = Q.issues(B.files(spark, sf))
+    return quality_form(Q.quality_report(_totals(spark, sf)), issues).drop("issue_idx")
 
 
 @query
 def report_json_repo(spark: SparkSession, sf: str) -> DataFrame:
-    languages = F.transform(
-        "languages",
-        lambda s: F.struct(
-            s["language"].alias("language"),
-            s["files"].alias("files"),
-            s["lines"].alias("lines"),
-            F.round(s["percentage"], 6).alias("percentage"),
-        ),
-    )
-    commits = F.transform(
-        "recent_commits",
-        lambda c: F.struct(
-            c["hash"].alias("hash"),
-            c["short_hash"].alias("short_hash"),
-            c["message"].alias("message"),
-            c["author"].alias("author"),
-            F.date_format(c["date"], "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
-        ),
-    )
-    overview = _overview(spark, sf).select(
-        "repo_id", F.col("repo_id").alias("name"), "total_files", "total_lines",
-        languages.alias("languages"), commits.alias("recent_commits"), F.lit("").alias("summary"),
-    )
-    return report_json(overview, "repo_id")
+    return json_reports(_overview(spark, sf), "repository")
 
 
 # --- explanations ------------------------------------------------------------------
@@ -576,7 +554,7 @@ def file_explanations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_json_file(spark: SparkSession, sf: str) -> DataFrame:
-    return report_json(E.explanations(_answered(spark, sf)), "repo_id", "path")
+    return json_reports(E.explanations(_answered(spark, sf)), "explanation")
 
 
 @query

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 
 def report_json(reports: DataFrame, *keys: str) -> DataFrame:
@@ -12,6 +13,83 @@ def report_json(reports: DataFrame, *keys: str) -> DataFrame:
     return reports.select(*keys, body.alias("report"))
 
 
+def iso_timestamp(value: Column, with_zone: bool) -> Column:
+    """ISO-8601 with offset; a time without a zone is in UTC."""
+    offset = F.date_format(value, "xxx") if with_zone else F.lit("+00:00")
+    micros = F.date_format(value, "SSSSSS")
+    fraction = F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros))
+    return F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), fraction, offset)
+
+
+def _fields(entry: Column, *names: str) -> list[Column]:
+    return [entry[n].alias(n) for n in names]
+
+
+def repository_form(overview: DataFrame) -> DataFrame:
+    """The fields of a repository report; ranks and working columns are left out."""
+    kind = overview.schema["recent_commits"].dataType.elementType["date"].dataType
+
+    def commit(c: Column) -> Column:
+        date = iso_timestamp(c["date"], isinstance(kind, TimestampType)).alias("date")
+        return F.struct(*_fields(c, "hash", "short_hash", "message", "author"), date)
+
+    language = lambda s: F.struct(
+        *_fields(s, "language", "files", "lines"), F.round(s["percentage"], 6).alias("percentage")
+    )
+    summary = F.coalesce("summary", F.lit("")) if "summary" in overview.columns else F.lit("")
+    return overview.select(
+        "repo_id",
+        F.struct(
+            F.col("repo_id").alias("path"),
+            F.col("repo_id").alias("name"),
+            "total_files",
+            "total_lines",
+            F.transform("languages", language).alias("languages"),
+            F.transform("recent_commits", commit).alias("recent_commits"),
+            summary.alias("summary"),
+        ).alias("form"),
+    )
+
+
+def review_form(results: DataFrame) -> DataFrame:
+    names = ("diff_summary", "agent_reviews", "total_comments", "by_severity", "summary")
+    return results.select("diff_id", F.struct(*names).alias("form"))
+
+
+def explanation_form(explanations: DataFrame) -> DataFrame:
+    names = ("path", "language", "lines", "purpose", "key_elements", "explanation")
+    return explanations.select("repo_id", "path", F.struct(*names).alias("form"))
+
+
+def quality_form(reports: DataFrame, issues: DataFrame) -> DataFrame:
+    """``repo_id, part, path, issue_idx, form``: a ``head`` row and a row for each issue.
+
+    A repository may have any number of issues, so they stay rows; together with the
+    head they are the report.
+    """
+    issue = F.struct("path", "line", "issue_type", "message", "severity")
+    heads = reports.select(
+        "repo_id",
+        F.lit("head").alias("part"),
+        F.lit(None).cast("string").alias("path"),
+        F.lit(None).cast("int").alias("issue_idx"),
+        F.to_json(F.struct("complexity_score", "summary"), _KEEP_NULLS).alias("report"),
+    )
+    rows = issues.select("repo_id", F.lit("issue").alias("part"), "path", "issue_idx", F.to_json(issue, _KEEP_NULLS).alias("report"))
+    return heads.unionByName(rows)
+
+
+_KEEP_NULLS = {"ignoreNullFields": "false"}
+_FORMS = {"repository": repository_form, "review": review_form, "explanation": explanation_form}
+
+
+def json_reports(results: DataFrame, kind: str) -> DataFrame:
+    """Keys and ``report``, the JSON text of a repository, review or explanation."""
+    form = _FORMS[kind](results)
+    keys = [c for c in form.columns if c != "form"]
+    return form.select(*keys, F.to_json("form", _KEEP_NULLS).alias("report"))
+
+
 def write_json(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
     reports.write.mode(mode).option("ignoreNullFields", "false").json(path)
 

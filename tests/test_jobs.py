@@ -60,7 +60,7 @@ def test_repository_job(client, spark, make_files):
     assert text.endswith("## Summary\n\n  about Describe this repository  \n")
     assert jobs.summarize_repositories(files, commits).filter("summary = ''").count() == 2
     data = json.loads(jobs.render(rows, "repository", "JSON").filter("repo_id = 'q'").collect()[0].report)
-    assert data["recent_commits"] == [] and data["error"] is None
+    assert data["recent_commits"] == [] and "error" not in data
     with pytest.raises(ValueError, match="yaml"):
         jobs.render(rows, "repository", "yaml")
 
@@ -102,3 +102,38 @@ def test_files_named_themselves_pass_every_filter(make_files):
     assert [r.path for r in tree.entry_points.collect()] == ["node_modules/main.py"]
     assert [r.target for r in tree.dependencies.collect()] == [".a"]
     assert tree.nodes.filter("node_type = 'file'").count() == 2
+
+
+def test_own_settings_of_a_repository(spark, make_files):
+    files = make_files({"src/a.py": "x = 1\n", "src/b[1].py": "x = 1\n"}, "one").unionByName(
+        make_files({"src/a.py": "x = 1\n" * 400, "build/b.py": "x"}, "two")
+    )
+    settings = spark.createDataFrame(
+        [("one", (["b[[]1].py"], 500)), ("two", (["none"], 1)), ("three", None)],
+        "repo_id STRING, analyze STRUCT<exclude_patterns ARRAY<STRING>, max_file_size_kb INT>",
+    )
+    got = {r.repo_id: r for r in jobs.analyze_quality(files, settings=settings).reports.collect()}
+    assert (got["one"].files_analyzed, got["one"].total_lines) == (1, 1)
+    assert (got["two"].files_analyzed, got["two"].total_lines) == (2, 1)
+    plain = {r.repo_id: r for r in jobs.analyze_quality(files).reports.collect()}
+    assert (plain["one"].files_analyzed, plain["two"].files_analyzed, plain["two"].total_lines) == (2, 1, 400)
+
+
+def test_quality_report_as_json(make_files):
+    result = jobs.analyze_quality(make_files({"a.py": "pwd='x'\n# TODO é\n"}))
+    rows = jobs.render(result, "quality", "json").orderBy("part", "issue_idx").collect()
+    heads = [json.loads(r.report) for r in rows if r.part == "head"]
+    issues = [json.loads(r.report) for r in rows if r.part == "issue"]
+    assert len(heads) == 1 and set(heads[0]) == {"complexity_score", "summary"}
+    assert [i["issue_type"] for i in issues] == ["todo_comment", "hardcoded_password"]
+    assert set(issues[0]) == {"path", "line", "issue_type", "message", "severity"}
+
+
+def test_repository_dates_are_iso_with_offset(spark, make_files):
+    files = make_files({"a.py": "x"})
+    for kind, wanted in (("TIMESTAMP", "2024-05-06T01:02:03+00:00"), ("TIMESTAMP_NTZ", "2024-05-06T01:02:03+00:00")):
+        commits = spark.sql(f"SELECT 'r' AS repo_id, 'h' AS hash, 'm' AS message, 'a' AS author, CAST('2024-05-06 01:02:03' AS {kind}) AS date")
+        row = jobs.render(jobs.summarize_repositories(files, commits), "repository", "json").first()
+        data = json.loads(row.report)
+        assert list(data) == ["path", "name", "total_files", "total_lines", "languages", "recent_commits", "summary"]
+        assert data["recent_commits"][0]["date"] == wanted

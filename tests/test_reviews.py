@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.templates import TEMPLATES, fill, slots
+from corpusgauge.functions.templates import TEMPLATES, Lines, fill, slots
 from corpusgauge.operators import agents as A
 from corpusgauge.operators import explain as E
 from corpusgauge.operators import replies as RP
@@ -328,3 +328,14 @@ def test_counts_shuffle_no_comments(spark):
         folds = [line for line in plan.split("\n") if "partial_max" in line]
         assert folds and not any("comments" in line or "summary" in line for line in folds), name
         assert "REPARTITION_BY_NUM" not in plan
+
+
+def test_lists_fill_lines(spark):
+    df = spark.createDataFrame([(["a", "b {lines}"],)], "names ARRAY<STRING>")
+    values = dict.fromkeys(slots("summary"), F.lit("v")) | {"agent_reviews": Lines(F.col("names"))}
+    assert "\na\nb {lines}\n" in df.select(fill("summary", values)).first()[0]
+
+
+def test_lines_that_are_no_whole_numbers(parse):
+    text = json.dumps([{"line": x} for x in (12, "12", 3.7, None, True, 0)])
+    assert [c.line for c in parse(text).comments] == [12, None, None, None, None, 0]
