@@ -35,6 +35,8 @@ class Rule:
 
     Optional; it lets the search pass over most positions with one cheap test.
     """
+    needs: tuple[str, ...] = ()
+    """Texts of which one is in every text the rule hits; others are not searched."""
 
     @property
     def java(self) -> str:
@@ -53,6 +55,7 @@ RULES: tuple[Rule, ...] = (
         INFO,
         ignore_case=True,
         first="#/",
+        needs=("#", "/"),
     ),
     Rule(
         "fixme_comment",
@@ -61,6 +64,7 @@ RULES: tuple[Rule, ...] = (
         WARNING,
         ignore_case=True,
         first="#/",
+        needs=("#", "/"),
     ),
     Rule(
         "hack_comment",
@@ -69,6 +73,7 @@ RULES: tuple[Rule, ...] = (
         WARNING,
         ignore_case=True,
         first="#/",
+        needs=("#", "/"),
     ),
     Rule(
         "hardcoded_password",
@@ -77,6 +82,7 @@ RULES: tuple[Rule, ...] = (
         ERROR,
         ignore_case=True,
         first="pP",
+        needs=("'", '"'),
     ),
     Rule(
         "hardcoded_secret",
@@ -85,6 +91,7 @@ RULES: tuple[Rule, ...] = (
         ERROR,
         ignore_case=True,
         first="sSaAtT\u017f",
+        needs=("'", '"'),
     ),
     Rule(
         "debug_statement",
@@ -92,6 +99,7 @@ RULES: tuple[Rule, ...] = (
         "Debug statement found",
         INFO,
         first="cpd",
+        needs=("console.log(", "print", "debugger"),
     ),
     Rule(
         "empty_except",
@@ -99,6 +107,7 @@ RULES: tuple[Rule, ...] = (
         "Empty except block - may hide errors",
         WARNING,
         first="e",
+        needs=("except",),
     ),
     Rule(
         "magic_number",

@@ -141,12 +141,21 @@ def long_functions_of(extents: Column) -> Column:
     return F.filter(extents, lambda f: (f["lines"] > R.LONG_FUNCTION_LINES) & (f["name"] != ""))
 
 
+def _may_hit(text: Column, rule: R.Rule) -> Column:
+    """A cheap test that spares most texts the search."""
+    found = F.lit(not rule.needs)
+    for needed in rule.needs:
+        found = found | F.contains(text, F.lit(needed))
+    return found
+
+
 def issues_of(text: Column, extents: Column, rules: Sequence[R.Rule] = R.RULES) -> Column:
     """All issues of a file in rule order, then position, long functions last."""
+    no_lines = F.array().cast("array<int>")
 
     def by_rule(rule: R.Rule) -> Column:
         return F.transform(
-            match_lines(text, rule.java),
+            F.when(_may_hit(text, rule), match_lines(text, rule.java)).otherwise(no_lines),
             lambda line: F.struct(
                 line.alias("line"),
                 F.lit(rule.issue_type).alias("issue_type"),
@@ -188,7 +197,7 @@ def _metric_columns(rules: Sequence[R.Rule]) -> list[Column]:
         total = long_ones if severity == R.WARNING else F.lit(0)
         for rule in rules:
             if rule.severity == severity:
-                total = total + count_matches(text, rule.java)
+                total = total + F.when(_may_hit(text, rule), count_matches(text, rule.java)).otherwise(0)
         return total.cast("bigint")
 
     return [
