@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from corpusgauge.llm import frames
 from corpusgauge.llm.words import Words, chunks, ranges, spans_of_words, windows_hashed, words_of
-from corpusgauge.session import stored
 
 WINDOW = 50
 BLOCK = 25
@@ -118,9 +117,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     index = frames.membership_bits(index_blocks(docs), "h", FILTER_BITS)
     anchors = frames.membership_bits(shared_anchors(probes(docs, index)), "h", FILTER_BITS)
-    windows = stored(candidate_windows(docs, anchors).distinct(), "windows")
-    least = windows.groupBy(F.col("h").alias("g")).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    least = least.filter("owner <> last").drop("last")
+    # scanned twice rather than written: minima are combined before their shuffle, and the
+    # join may split a window that very many documents have
+    least = candidate_windows(docs, anchors).groupBy(F.col("h").alias("g")).agg(F.min("doc_id").alias("owner"))
+    windows = candidate_windows(docs, anchors)
     late = windows.join(least, F.col("h") == F.col("g")).filter("doc_id > owner")
     return late.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
