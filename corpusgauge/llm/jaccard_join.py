@@ -9,9 +9,12 @@ Two documents are linked when the Jaccard similarity of their shingle sets is at
    tokens come first in the order: tokens that are frequent in a sample of the
    documents are put last.  The sample steers only the order, never the result.
 2. *Links to the first node* of each tile are checked, and joined to components.
-3. *Tiles of more than one component* are compared pair by pair inside a task, as
-   blocks of at most ``BLOCK`` nodes, so that no task holds a whole hot tile.  Pairs
-   already in one component are left out: they change no class.
+3. *Tiles of more than one component* are compared pair by pair, sorted by size, as
+   blocks of about ``BLOCK`` nodes, so that no task holds a whole hot tile.  Pairs
+   already in one component are left out: they change no class.  A pair is taken from a
+   tile only if its token may be the first the two have in common: the tokens that
+   follow must suffice for a link.  Of a linked pair, the smaller set has that token
+   among its first ``n - ceil(6 n / 7) + 1``, so a tile needs such a member.
 4. A pair is checked by size, then by the *bitmap* of each set (the parity of its hashed
    tokens; every differing bit stands for a differing token, so the bit count bounds the
    overlap from above), and at last by the exact intersection of both sorted arrays.
@@ -41,7 +44,7 @@ SHINGLE, PERCENT = 5, 75
 BLOCK = 256
 #: Documents sampled to find frequent tokens, on average at most, and tokens noted.
 SAMPLE_DOCS, FREQUENT_TOKENS, FREQUENT_FROM = 8_000, 100_000, 4
-#: Bits of the filter that tells the third scan which sets are wanted (4 MB).
+#: Bits of the filter that tells a scan which nodes are wanted (4 MB).
 FILTER_BITS = 1 << 25
 
 _TOP = np.uint64(1 << 63)
@@ -106,16 +109,21 @@ def needed(n: int, m: int) -> int:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-def _scan(docs: DataFrame, frequent: np.ndarray, what: str, wanted: bytes = b"") -> DataFrame:
+def _scan(
+    docs: DataFrame, frequent: np.ndarray, what: str, wanted: bytes = b"", tag: str | None = None
+) -> DataFrame:
     """One pass over the texts, giving for each document what ``what`` names.
 
-    ``nodes``: ``doc_id, tag, n, node``.  ``tiles``: ``node, tokens``, the prefix.  ``sets``:
-    ``node, n, tokens, bitmap`` of nodes that may be in the filter ``wanted``.
+    ``nodes``: ``doc_id, tag, n, node``.  ``tiles``: ``node, near,
+    tokens``, the prefix and the part of it that counts for the smaller set.  ``maps``:
+    ``node, n, bitmap`` and ``sets``: ``node, tokens`` of nodes that may be in the filter
+    ``wanted``.
     """
     schema = {
         "nodes": "doc_id BIGINT, tag BIGINT, n BIGINT, node BIGINT",
-        "tiles": "node BIGINT, tokens ARRAY<BIGINT>",
-        "sets": "node BIGINT, n BIGINT, tokens BINARY, bitmap BINARY",
+        "tiles": "node BIGINT, near INT, tokens ARRAY<BIGINT>",
+        "maps": "node BIGINT, n BIGINT, bitmap BINARY",
+        "sets": "node BIGINT, tokens BINARY",
     }[what]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,25 +151,28 @@ def _scan(docs: DataFrame, frequent: np.ndarray, what: str, wanted: bytes = b"")
                     firsts = [tokens[ends[i] - counts[i] :][:k] for i, k in zip(full, sizes, strict=True)]
                     flat = np.concatenate(firsts) if firsts else np.zeros(0, dtype=np.uint64)
                     yield pa.record_batch(
-                        [pa.array(nodes), lists(flat.view(np.int64), sizes, pa.int64())], names=["node", "tokens"]
+                        [
+                            pa.array(nodes),
+                            pa.array(counts[full] - (6 * counts[full] + 6) // 7 + 1, pa.int32()),
+                            lists(flat.view(np.int64), sizes, pa.int64()),
+                        ],
+                        names=["node", "near", "tokens"],
                     )
                     continue
                 keep = frames.maybe_members(wanted, nodes.view(np.uint64)) if len(nodes) else np.zeros(0, bool)
                 sets = [tokens[ends[i] - counts[i] : ends[i]] for i in full[keep]]
-                yield pa.record_batch(
-                    [
-                        pa.array(nodes[keep]),
-                        pa.array(counts[full[keep]], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                        pa.array([bitmap_of(s) for s in sets], pa.binary()),
-                    ],
-                    names=["node", "n", "tokens", "bitmap"],
-                )
+                columns = {"node": pa.array(nodes[keep])}
+                if what == "maps":
+                    columns["n"] = pa.array(counts[full[keep]], pa.int64())
+                    columns["bitmap"] = pa.array([bitmap_of(s) for s in sets], pa.binary())
+                else:
+                    columns["tokens"] = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.record_batch(columns)
 
     columns = [F.col("text")]
     if what == "nodes":
-        tag = F.col("tag") if "tag" in docs.columns else F.lit(None)
-        columns += [F.col("doc_id").cast("long").alias("doc_id"), tag.cast("long").alias("tag")]
+        named = F.col(tag) if tag else F.lit(None)
+        columns += [F.col("doc_id").cast("long").alias("doc_id"), named.cast("long").alias("tag")]
     return frames.map_batches(docs.select(*columns), scan, schema)
 
 
@@ -183,125 +194,165 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that are linked: bound by bit counts, then exact."""
-    left = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "tokens", "bitmap")])
-    right = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "tokens", "bitmap")])
-    met = pairs.join(left, "a").filter("a_n > 0").join(right, "b")
+def _both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``pairs(a, b)`` with the columns of both nodes, as ``a_...`` and ``b_...``."""
+    for side in ("a", "b"):
+        named = [F.col(c).alias(f"{side}_{c}") for c in columns]
+        pairs = pairs.join(rows.select(F.col("node").alias(side), *named), side)
+    return pairs
+
+
+def _bounded(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and bit counts allow a link."""
+    met = _both(pairs, maps, "n", "bitmap")
     met = met.filter((F.col("a_n") * 100 >= F.col("b_n") * PERCENT) & (F.col("b_n") * 100 >= F.col("a_n") * PERCENT))
 
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_bitmap", "b_bitmap"))
+            keep = [
+                overlap_bound(n, m, np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= needed(n, m)
+                for n, m, x, y in zip(*columns, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return frames.map_batches(met, bound, "a BIGINT, b BIGINT")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """The pairs ``a, b`` that are linked, by intersecting their sorted arrays.
+
+    The arrays of the nodes in question are taken from the texts in one more scan.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    bits = frames.membership_bits(ends, "node", FILTER_BITS)
+    sets = _scan(docs, frequent, "sets", bits).dropDuplicates(["node"])
+    met = _both(pairs, stored(sets.join(ends.distinct(), "node", "left_semi"), "sets"), "tokens")
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for row in zip(*(batch.column(c) for c in ("a_n", "b_n", "a_bitmap", "b_bitmap", "a_tokens", "b_tokens")), strict=True):
-                n, m, x, y, s, t = (v.as_buffer() if isinstance(v, pa.BinaryScalar) else v.as_py() for v in row)
-                least = needed(n, m)
-                bound = overlap_bound(n, m, np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
-                if bound < least:
-                    keep.append(False)
-                    continue
-                merged = np.concatenate([np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)])
+            for s, t in zip(batch.column("a_tokens"), batch.column("b_tokens"), strict=True):
+                x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+                merged = np.concatenate([x, y])
                 merged.sort(kind="stable")
-                keep.append(int((merged[1:] == merged[:-1]).sum()) >= least)
-            at = pa.array(np.flatnonzero(np.array(keep, dtype=bool)))
-            yield pa.record_batch([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+                keep.append(int((merged[1:] == merged[:-1]).sum()) >= needed(len(x), len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return frames.map_batches(met, check, "a BIGINT, b BIGINT")
+    return stored(frames.map_batches(met, check, "a BIGINT, b BIGINT"), "links")
 
 
 def _tile_pairs(tiles: DataFrame) -> DataFrame:
-    """Pairs of different components that pass size and bitmap bounds, tile by tile.
+    """Pairs of different components that pass size, place and bitmap bounds.
 
-    ``tiles`` has ``token, node, root, n, bitmap``.  A tile is cut into blocks by node
-    hash; each pair of blocks is one group.
+    ``tiles`` has ``token, node, root, place, n, bitmap``.  A tile is cut into blocks by
+    node hash; each pair of blocks is compared on its own.
     """
-    # bands of sizes: a linked pair is in one band or in two that touch
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
-    rows = tiles.withColumn("band", F.explode(F.array(band, band + 1)))
-    held = rows.groupBy(F.col("token").alias("t"), F.col("band").alias("d")).agg(
-        F.count(F.lit(1)).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi")
-    )
-    held = held.filter("lo <> hi")
-    rows = rows.join(held, (F.col("token") == F.col("t")) & (F.col("band") == F.col("d")))
+    held = tiles.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("held"))
+    rows = tiles.join(held, F.col("token") == F.col("t"))
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select(
+        F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"),
+        # rows of the lesser block are 0, of the greater 1, of a block with itself 2
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
         "token",
-        "band",
-        F.least("mine", "other").alias("i"),
-        F.greatest("mine", "other").alias("j"),
-        (F.col("mine") <= F.col("other")).alias("first"),
         "node",
         "root",
+        F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("at"),
         "n",
         "bitmap",
     )
+    ordered = rows.repartition("tile").sortWithinPartitions("tile", "n")
 
-    def compare(key: tuple, group: pa.Table) -> pa.Table:
-        i, j = key[2].as_py(), key[3].as_py()
-        n, node, root = (group.column(c).to_numpy() for c in ("n", "node", "root"))
-        maps = [np.frombuffer(b, np.uint8) for b in group.column("bitmap").to_pylist()]
-        width = min(len(b) for b in maps)
-        table = np.zeros((len(maps), width), dtype=np.uint8)
-        for k, b in enumerate(maps):
-            while len(b) > width:
-                b = _folded(b)
-            table[k] = b
-        first = group.column("first").to_numpy(zero_copy_only=False)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(len(node)):
-            others = np.arange(k + 1, len(node))
-            if i != j:
-                others = others[first[others] != first[k]]
-            others = others[root[others] != root[k]]
-            m = n[others]
-            others = others[(100 * m >= PERCENT * n[k]) & (100 * n[k] >= PERCENT * m)]
-            m = n[others]
-            apart = np.bitwise_count(table[others] ^ table[k]).sum(axis=1, dtype=np.int64)
-            least = -(-PERCENT * (n[k] + m) // (100 + PERCENT))
-            others = others[(n[k] + m - apart) // 2 >= least]
-            out.append((np.minimum(node[k], node[others]), np.maximum(node[k], node[others])))
-        a = np.concatenate([x for x, _ in out])
-        b = np.concatenate([y for _, y in out])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    found = rows.groupBy("token", "band", "i", "j").applyInArrow(compare, "a BIGINT, b BIGINT")
-    return found.distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            tile = table.column("tile").to_numpy()
+            # the last tile may go on in the next batch
+            whole = int(np.argmax(tile == tile[-1])) if len(tile) else 0
+            held = table.slice(whole)
+            yield _compared(table.slice(0, whole))
+        if held is not None:
+            yield _compared(held)
+
+    return frames.map_batches(ordered, compare, "a BIGINT, b BIGINT").distinct()
+
+
+def _compared(rows: pa.Table) -> pa.RecordBatch:
+    """The pairs of rows of one tile that may be linked; rows lie by tile and size."""
+    tile, side, node, root, at, n = (rows.column(c).to_numpy() for c in ("tile", "side", "node", "root", "at", "n"))
+    maps = rows.column("bitmap").to_pylist()
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    left, step = np.arange(len(tile)), 0
+    while True:
+        # every row with the one ``step`` places on, as long as tile and size allow it
+        step += 1
+        left = left[left + step < len(tile)]
+        right = left + step
+        left = left[(tile[right] == tile[left]) & (100 * n[left] >= PERCENT * n[right])]
+        if not len(left):
+            break
+        right = left + step
+        least = -(-PERCENT * (n[left] + n[right]) // (100 + PERCENT))
+        good = (root[left] != root[right]) & ((side[left] == 2) | (side[left] != side[right]))
+        good &= np.minimum(n[left] - at[left], n[right] - at[right]) >= least
+        pairs.append((left[good], right[good]))
+    x = np.concatenate([a for a, _ in pairs]) if pairs else np.zeros(0, dtype=np.int64)
+    y = np.concatenate([b for _, b in pairs]) if pairs else np.zeros(0, dtype=np.int64)
+    # a pair that several tiles hold is compared once
+    a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+    _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
+    keep = [
+        k
+        for k in first.tolist()
+        if overlap_bound(int(n[x[k]]), int(n[y[k]]), np.frombuffer(maps[x[k]], np.uint8), np.frombuffer(maps[y[k]], np.uint8))
+        >= needed(int(n[x[k]]), int(n[y[k]]))
+    ]
+    return pa.record_batch([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
 
 def linked_nodes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """``node, root`` of every node that has a link."""
     # a node's prefix once, however many documents have the set
     tiles = _scan(docs, frequent, "tiles").dropDuplicates(["node"])
-    entries = tiles.select(F.explode("tokens").alias("token"), "node").repartition("token")
-    shared = entries.groupBy(F.col("token").alias("t")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = shared.filter("lo <> hi").drop("hi")
-    tiles = stored(entries.join(shared, F.col("token") == F.col("t")).select("token", "node", "lo"), "tiles")
+    entries = tiles.select("node", "near", F.posexplode("tokens").alias("at", "token"))
+    # a place in the near part is written as it is, one beyond it as -1 - place
+    place = F.when(F.col("at") < F.col("near"), F.col("at")).otherwise(-1 - F.col("at")).alias("place")
+    entries = entries.select("token", "node", place).repartition("token")
+    shared = entries.groupBy(F.col("token").alias("t")).agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("place").alias("near")
+    )
+    shared = shared.filter("lo <> hi AND near >= 0").select("t", "lo")
+    tiles = stored(entries.join(shared, F.col("token") == F.col("t")).drop("t"), "tiles")
     bits = frames.membership_bits(tiles, "node", FILTER_BITS)
-    sets = stored(_scan(docs, frequent, "sets", bits).dropDuplicates(["node"]), "sets")
+    maps = stored(_scan(docs, frequent, "maps", bits).dropDuplicates(["node"]), "maps")
     stars = tiles.filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_checked(stars, sets), "links")
+    links = _linked(stored(_bounded(stars, maps), "pairs"), docs, frequent)
     roots = components(links).select(F.col("node").alias("n_"), "root")
     rooted = tiles.drop("lo").join(roots, F.col("node") == F.col("n_"), "left")
-    rooted = rooted.select("token", "node", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.select("token", "node", "place", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = mixed.filter("lo <> hi").select("t")
     left = rooted.join(mixed, F.col("token") == F.col("t")).drop("t")
-    left = left.join(sets.select("node", "n", "bitmap"), "node")
-    more = stored(_checked(_tile_pairs(left), sets), "links")
-    return components(links.unionByName(more))
+    pairs = stored(_tile_pairs(left.join(maps, "node")), "pairs")
+    if pairs.isEmpty():
+        return roots.withColumnRenamed("n_", "node")
+    return components(links.unionByName(_linked(pairs, docs, frequent)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, tag: str | None = None) -> DataFrame:
     """``doc_id, tag, n_shingles, root, component_id`` of every row of ``docs(doc_id, text)``.
 
     ``component_id`` is the smallest id that links reach; rows without shingles have
-    their own.  ``root`` names the class, ``tag`` is a column of ``docs`` or null.
+    their own.  ``root`` names the class, ``tag`` is the column of that name, or null.
     """
     frequent = frequent_tokens(docs)
     roots = stored(linked_nodes(docs, frequent), "roots").select(F.col("node").alias("n_"), "root")
-    nodes = _scan(docs, frequent, "nodes")
+    nodes = _scan(docs, frequent, "nodes", tag=tag)
     rooted = stored(
         nodes.join(roots, F.col("node") == F.col("n_"), "left").select(
             "doc_id", "tag", "n", "node", F.coalesce("root", "node").alias("root")
@@ -322,7 +373,7 @@ def first_of_each_class(docs: DataFrame) -> DataFrame:
     """
     tag = frames.fresh(docs, "tag")
     tagged = docs.withColumn(tag, frames.row_key(docs)["a"])
-    rated = near_duplicates(tagged.select("doc_id", "text", F.col(tag).alias("tag")))
+    rated = near_duplicates(tagged, tag)
     empty = rated.filter("n_shingles = 0").select("tag")
     first = rated.filter("n_shingles > 0").groupBy("component_id", "root")
     first = first.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("best"))
