@@ -80,6 +80,17 @@ def test_components_of_long_chains_and_stars(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
 
 
-def test_tiles_share_one_exchange(make_docs):
-    tiles = J._scan(make_docs([(1, "a b c d e f")]), np.zeros(0, np.uint64), "tiles")
-    assert tiles.select(F.size("tokens")).first()[0] == 1
+def test_prefix_and_near_part(make_docs):
+    words = [f"w{i}" for i in range(104)]
+    tiles = J._scan(make_docs([(1, " ".join(words)), (2, "a b c d e f")]), np.zeros(0, np.uint64), "tiles")
+    got = sorted((r.near, len(r.tokens)) for r in tiles.collect())
+    assert got == [(1, 1), (15, 26)]  # of 2 and of 100 shingles
+
+
+def test_entries_are_shuffled_once(make_docs):
+    text = " ".join(f"w{i}" for i in range(100))
+    tiles = J.tile_entries(make_docs([(1, text), (2, text + " more")]), np.zeros(0, np.uint64))
+    assert tiles.count() > 0
+    tiles.collect()
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
