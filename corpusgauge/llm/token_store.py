@@ -23,11 +23,14 @@ segment.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +45,15 @@ from corpusgauge.session import stored
 END_ID = 2
 BLOCK_TOKENS, SEGMENT_TOKENS, PERCENTILE = 512, 1 << 20, 95
 MAGIC = b"PFR1"
+#: Blocks packed or unpacked in one go.
+_AT_ONCE = 256
 
 # --- encoding texts -----------------------------------------------------------------
 
-#: Pieces a worker remembers at most before it begins anew.
-KNOWN_PIECES = 400_000
+#: Pieces a worker remembers at most before it begins anew, and encodes at once.
+KNOWN_PIECES, PIECES_AT_ONCE = 400_000, 4_096
+#: Bytes of text encoded at once.
+CHUNK_BYTES = 1 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER, _ASK = range(5)
 
 
@@ -75,18 +82,44 @@ class Encoder:
 
     path: str
     tokenizer: object = None
-    known: dict[int, np.ndarray] = field(default_factory=dict)
+    known: dict[int, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        # a task has one core; threads of its own would take those of other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_piece = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32) for e in encoded]
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as uint32."""
+        for at in range(0, len(texts), PIECES_AT_ONCE):
+            for e in self.tokenizer.encode_batch(texts[at : at + PIECES_AT_ONCE], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
+
+    def _words(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of pieces that are a blank and letters.
+
+        Put one behind the other these pieces are a text that is cut back into them, so
+        thousands are encoded in one call; the tokenizer tells which piece an id is of.
+        """
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            group = pieces[at : at + PIECES_AT_ONCE]
+            found = self.tokenizer.encode("".join(group), add_special_tokens=False)
+            of = np.array(found.word_ids, dtype=np.int64)
+            if len(of) and of[-1] + 1 != len(group):
+                raise ValueError("the tokenizer does not cut pieces as its pattern says")
+            cuts = (4 * np.searchsorted(of, np.arange(len(group) + 1))).tolist()
+            ids = array("I", found.ids).tobytes()
+            yield from (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        plain = [len(p) > 1 and p[0] == " " and p[1].isalpha() for p in pieces]
+        words = self._words([p for p, x in zip(pieces, plain, strict=True) if x])
+        others = self._whole([p for p, x in zip(pieces, plain, strict=True) if not x])
+        return [next(words) if x else next(others) for x in plain]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column in order, and how many each text has."""
@@ -103,36 +136,51 @@ class Encoder:
                 ask[i] = True
         starts, ends, text = _pieces(codes, kinds, sizes, ask)
         index, pieces = self._looked_up(joined, codes, starts, ends)
-        lengths = np.array([len(x) for x in pieces], dtype=np.int64)
-        table = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.uint32)
+        lengths = np.array([len(x) // 4 for x in pieces], dtype=np.int64)
+        table = np.frombuffer(b"".join(pieces), dtype=np.uint32)
         begin = np.cumsum(lengths) - lengths
         flat = table[ranges(begin[index], lengths[index])] if len(index) else np.zeros(0, dtype=np.uint32)
         counts = np.bincount(text, weights=lengths[index], minlength=len(texts)).astype(np.int64)
         if ask.any():
-            whole = iter(self._whole([t for t, a in zip(texts, ask, strict=True) if a]))
+            whole = self._whole([t for t, a in zip(texts, ask, strict=True) if a])
             ends_at = np.cumsum(counts)
-            parts = [next(whole) if a else flat[e - n : e] for a, e, n in zip(ask, ends_at, counts, strict=True)]
+            parts = [
+                np.frombuffer(next(whole), np.uint32) if a else flat[e - n : e]
+                for a, e, n in zip(ask, ends_at, counts, strict=True)
+            ]
             return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
         return flat, counts
 
     def _looked_up(
         self, joined: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray
-    ) -> tuple[np.ndarray, list[np.ndarray]]:
+    ) -> tuple[np.ndarray, list[bytes]]:
         """The ids of each different piece, and which of these each piece is."""
         hashes = code_spans_hashed(codes, starts, ends)
         each, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
+            # the older half goes; what is frequent soon comes again
+            for h in list(islice(self.known, len(self.known) // 2)):
+                del self.known[h]
         found = [self.known.get(h) for h in each.tolist()]
         new = [k for k, x in enumerate(found) if x is None]
         if new:
             at = first[new]
             texts = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            for k, ids in zip(new, self._whole(texts), strict=True):
+            for k, ids in zip(new, self._encoded(texts), strict=True):
                 found[k] = self.known[int(each[k])] = ids
         return back, found
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, which later tasks of the same worker find filled."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _pieces(
     codes: np.ndarray, kinds: np.ndarray, sizes: np.ndarray, skip: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,41 +213,69 @@ def _pieces(
 # --- the format ---------------------------------------------------------------------
 
 
-def pack_block(ids: np.ndarray) -> bytes:
-    least = int(ids.min())
-    over = (ids - np.uint32(least)).astype(np.uint32)
-    typical = int(np.percentile(over, PERCENTILE, method="higher"))
-    width = max(1, typical.bit_length())
-    low = over & np.uint32((1 << width) - 1)
-    odd = np.flatnonzero(over >> np.uint32(width)) if width < 32 else np.zeros(0, dtype=np.int64)
-    kind = _kind(width)
-    bits = np.unpackbits(low.astype(kind).view(np.uint8).reshape(len(low), -1), axis=1, bitorder="little")[:, :width]
-    head = np.array([least], "<u4").tobytes() + bytes([width, 0]) + np.array([len(odd)], "<u2").tobytes()
-    high = (over[odd] >> np.uint32(width)).astype("<u4") if len(odd) else np.zeros(0, "<u4")
-    return head + np.packbits(bits.ravel(), bitorder="little").tobytes() + odd.astype("<u2").tobytes() + high.tobytes()
-
-
 def _kind(width: int) -> np.dtype:
     return np.dtype("<u2" if width <= 16 else "<u4")
 
 
-def unpack_block(data: memoryview, n: int) -> np.ndarray:
-    least, width = int(np.frombuffer(data, "<u4", 1)[0]), data[4]
-    n_odd = int(np.frombuffer(data, "<u2", 1, 6)[0])
-    size = -(-n * width // 8)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, 8), count=n * width, bitorder="little").reshape(n, width)
-    kind = _kind(width)
-    wide = np.zeros((n, 8 * kind.itemsize), dtype=np.uint8)
-    wide[:, :width] = bits
-    over = np.packbits(wide, axis=1, bitorder="little").view(kind).ravel().astype(np.uint32)
-    if n_odd:
-        places = np.frombuffer(data, "<u2", n_odd, 8 + size)
-        over[places] |= np.frombuffer(data, "<u4", n_odd, 8 + size + 2 * n_odd) << np.uint32(width)
-    return over + np.uint32(least)
+def _pack_equal(blocks: np.ndarray) -> list[bytes]:
+    """Blocks of equally many ids, one a row; those of one width are packed at once."""
+    least = blocks.min(axis=1)
+    over = blocks - least[:, None]
+    place = -(-PERCENTILE * blocks.shape[1] // 100) - 1
+    typical = np.partition(over, place, axis=1)[:, place]
+    widths = np.array([max(1, int(t).bit_length()) for t in typical])
+    out: list[bytes] = [b""] * len(blocks)
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        mine, kind = over[rows], _kind(width)
+        low = (mine & np.uint32((1 << width) - 1)).astype(kind)
+        bits = np.unpackbits(low.view(np.uint8).reshape(*low.shape, -1), axis=2, bitorder="little")[:, :, :width]
+        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        high = mine >> np.uint32(width) if width < 32 else np.zeros_like(mine)
+        n_odd = np.count_nonzero(high, axis=1)
+        for k, row in enumerate(rows.tolist()):
+            head = np.array([least[row]], "<u4").tobytes() + bytes([width, 0]) + int(n_odd[k]).to_bytes(2, "little")
+            odd = np.flatnonzero(high[k]) if n_odd[k] else np.zeros(0, dtype=np.int64)
+            out[row] = head + packed[k].tobytes() + odd.astype("<u2").tobytes() + high[k][odd].astype("<u4").tobytes()
+    return out
+
+
+def pack_block(ids: np.ndarray) -> bytes:
+    return _pack_equal(ids.astype(np.uint32).reshape(1, -1))[0]
+
+
+def _unpack_equal(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Blocks of ``n`` ids each that begin at ``starts``, one a row."""
+    heads = data[starts[:, None] + np.arange(8)]
+    least = heads[:, :4].copy().view("<u4").astype(np.uint32)
+    n_odd = heads[:, 6:8].copy().view("<u2").ravel()
+    out = np.empty((len(starts), n), dtype=np.uint32)
+    for width in np.unique(heads[:, 4]).tolist():
+        rows = np.flatnonzero(heads[:, 4] == width)
+        size, kind = -(-n * width // 8), _kind(width)
+        packed = data[starts[rows][:, None] + 8 + np.arange(size)]
+        wide = np.zeros((len(rows), n, 8 * kind.itemsize), dtype=np.uint8)
+        wide[:, :, :width] = np.unpackbits(packed, axis=1, count=n * width, bitorder="little").reshape(-1, n, width)
+        over = np.packbits(wide, axis=2, bitorder="little").view(kind)[:, :, 0].astype(np.uint32)
+        for k in np.flatnonzero(n_odd[rows]).tolist():
+            at, many = int(starts[rows[k]]) + 8 + size, int(n_odd[rows[k]])
+            places = data[at : at + 2 * many].view("<u2")
+            over[k, places] |= data[at + 2 * many : at + 6 * many].view("<u4").astype(np.uint32) << np.uint32(width)
+        out[rows] = over + least[rows]
+    return out
+
+
+def unpack_block(data: bytes, n: int) -> np.ndarray:
+    return _unpack_equal(np.frombuffer(data, np.uint8), np.zeros(1, dtype=np.int64), n)[0]
 
 
 def pack_segment(ids: np.ndarray, counts: np.ndarray) -> bytes:
-    blocks = [pack_block(ids[at : at + BLOCK_TOKENS]) for at in range(0, len(ids), BLOCK_TOKENS)]
+    whole = len(ids) // BLOCK_TOKENS * BLOCK_TOKENS
+    blocks: list[bytes] = []
+    for at in range(0, whole, _AT_ONCE * BLOCK_TOKENS):
+        blocks += _pack_equal(ids[at : min(whole, at + _AT_ONCE * BLOCK_TOKENS)].reshape(-1, BLOCK_TOKENS))
+    if whole < len(ids):
+        blocks.append(pack_block(ids[whole:]))
     starts = np.cumsum([0, *map(len, blocks)])[: len(blocks)]
     head = np.array([len(counts), len(ids), len(blocks), *counts, *starts], dtype="<u4")
     return MAGIC + head.tobytes() + b"".join(blocks)
@@ -211,10 +287,15 @@ def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError("not a token segment")
     n_docs, n_ids, n_blocks = (int(x) for x in np.frombuffer(data, "<u4", 3, 4))
     counts = np.frombuffer(data, "<u4", n_docs, 16).astype(np.int64)
-    starts = np.frombuffer(data, "<u4", n_blocks, 16 + 4 * n_docs)
-    body = memoryview(data)[16 + 4 * (n_docs + n_blocks) :]
-    sizes = [min(BLOCK_TOKENS, n_ids - BLOCK_TOKENS * i) for i in range(n_blocks)]
-    parts = [unpack_block(body[s:], n) for s, n in zip(starts.tolist(), sizes, strict=True)]
+    starts = np.frombuffer(data, "<u4", n_blocks, 16 + 4 * n_docs).astype(np.int64)
+    body = np.frombuffer(data, np.uint8, offset=16 + 4 * (n_docs + n_blocks))
+    whole = n_ids // BLOCK_TOKENS
+    parts = [
+        _unpack_equal(body, starts[at : min(whole, at + _AT_ONCE)], BLOCK_TOKENS).ravel()
+        for at in range(0, whole, _AT_ONCE)
+    ]
+    if n_blocks > whole:
+        parts.append(_unpack_equal(body, starts[whole:], n_ids - whole * BLOCK_TOKENS)[0])
     return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)), counts
 
 
@@ -235,7 +316,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, p
     ordered = ranged.sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         size, number, first = 0, 0, 0
 
@@ -251,7 +332,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, p
 
         part = 0
         for batch in batches:
-            for at, texts in chunks(batch.column("text")):
+            for at, texts in chunks(batch.column("text"), CHUNK_BYTES):
                 part = batch.column("part")[0].as_py()
                 ids, counts = encoder.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
