@@ -48,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet below the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a read, not a recomputation.  The folder
@@ -56,7 +56,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/corpusgauge-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return spark.read.schema(df.schema).parquet(folder)
 
 
