@@ -99,7 +99,7 @@ def membership_bits(hashes: DataFrame, column: str, bits: int) -> bytes:
         .agg(F.expr(f"bitmap_construct_agg(place % {_PIECE_BITS})").alias("bitmap"))
     )
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in pieces.toLocalIterator():
+    for row in pieces.collect():
         at = row["piece"] * _PIECE_BITS // 8
         out[at : at + len(row["bitmap"])] = np.frombuffer(row["bitmap"], dtype=np.uint8)
     return out.tobytes()

@@ -8,7 +8,9 @@ Two documents are linked when the Jaccard similarity of their shingle sets is at
    set size (sizes of a linked pair differ by a third at most), make a tile.  Rare
    tokens come first in the order: tokens that are frequent in a sample of the
    documents are put last.  The sample steers only the order, never the result.
-2. *Links to the first node* of each tile are checked, and joined to components.
+2. *Links to a few nodes* of each tile are checked, and joined to components: the least
+   and the greatest node, in two orders of the digests.  That makes most groups of near
+   copies one component, however many there are.
 3. *Tiles of more than one component* are compared pair by pair, sorted by size, as
    blocks of about ``BLOCK`` nodes, so that no task holds a whole hot tile.  Pairs
    already in one component are left out: they change no class.  A pair is taken from a
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,9 @@ SAMPLE_DOCS, FREQUENT_TOKENS, FREQUENT_FROM = 8_000, 100_000, 4
 FILTER_BITS = 1 << 25
 
 _TOP = np.uint64(1 << 63)
+#: Nodes of a tile that all others are compared with first.
+STARS = ("lo", "hi", "lo2", "hi2")
+_OTHER_ORDER = 0x2D51C6A7F3098B4E
 
 
 def shingle_sets(column: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +230,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray) -> DataFram
 
     The arrays of the nodes in question are taken from the texts in one more scan.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     bits = frames.membership_bits(ends, "node", FILTER_BITS)
     sets = _scan(docs, frequent, "sets", bits).dropDuplicates(["node"])
     met = _both(pairs, stored(sets.join(ends.distinct(), "node", "left_semi"), "sets"), "tokens")
@@ -315,25 +321,38 @@ def _compared(rows: pa.Table) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
 
-def linked_nodes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``node, root`` of every node that has a link."""
+def tile_entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``token, node, place`` of the tiles of two nodes and more, and their ``STARS``."""
     # a node's prefix once, however many documents have the set
     tiles = _scan(docs, frequent, "tiles").dropDuplicates(["node"])
     entries = tiles.select("node", "near", F.posexplode("tokens").alias("at", "token"))
     # a place in the near part is written as it is, one beyond it as -1 - place
     place = F.when(F.col("at") < F.col("near"), F.col("at")).otherwise(-1 - F.col("at")).alias("place")
-    entries = entries.select("token", "node", place).repartition("token")
+    entries = entries.select("token", "node", place)
+    # combined before the shuffle, and joined in a way that Spark may split: a token may be
+    # in a third of all sets
+    other = F.col("node").bitwiseXOR(F.lit(_OTHER_ORDER))
     shared = entries.groupBy(F.col("token").alias("t")).agg(
-        F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("place").alias("near")
+        F.min("node").alias("lo"),
+        F.max("node").alias("hi"),
+        F.min(other).bitwiseXOR(F.lit(_OTHER_ORDER)).alias("lo2"),
+        F.max(other).bitwiseXOR(F.lit(_OTHER_ORDER)).alias("hi2"),
+        F.max("place").alias("near"),
     )
-    shared = shared.filter("lo <> hi AND near >= 0").select("t", "lo")
-    tiles = stored(entries.join(shared, F.col("token") == F.col("t")).drop("t"), "tiles")
+    shared = shared.filter("lo <> hi AND near >= 0").select("t", *STARS)
+    return entries.join(shared, F.col("token") == F.col("t")).drop("t")
+
+
+def linked_nodes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``node, root`` of every node that has a link."""
+    tiles = stored(tile_entries(docs, frequent), "tiles")
     bits = frames.membership_bits(tiles, "node", FILTER_BITS)
     maps = stored(_scan(docs, frequent, "maps", bits).dropDuplicates(["node"]), "maps")
-    stars = tiles.filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    arms = [tiles.select(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b")) for c in STARS]
+    stars = reduce(DataFrame.unionByName, arms).filter("a <> b").distinct()
     links = _linked(stored(_bounded(stars, maps), "pairs"), docs, frequent)
     roots = components(links).select(F.col("node").alias("n_"), "root")
-    rooted = tiles.drop("lo").join(roots, F.col("node") == F.col("n_"), "left")
+    rooted = tiles.drop(*STARS).join(roots, F.col("node") == F.col("n_"), "left")
     rooted = rooted.select("token", "node", "place", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = mixed.filter("lo <> hi").select("t")
