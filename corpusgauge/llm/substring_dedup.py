@@ -18,8 +18,9 @@ costs no more than its occurrences: minima are combined before the shuffle, no p
 are formed.
 
 A null text counts as empty.  Rows of one id are one document for the question "in a
-smaller id"; rows of a null id remove nothing from others and lose nothing.  Equal rows
-give equal results.  An empty table gives no rows.
+smaller id", whatever their texts; the places of a window are those of one text, so they
+go back to the rows of that id and text only.  Rows of a null id remove nothing from
+others and lose nothing.  Equal rows give equal results.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ WINDOW = 50
 BLOCK = 25
 #: Bits of the filters over block hashes (32 MB each).
 FILTER_BITS = 1 << 28
+#: Bits of the filter over ids of several texts (4 KB, a literal of the plan).
+SEVERAL_BITS = 1 << 15
 
 
 def _scanned(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Words, np.ndarray]]:
@@ -52,6 +55,23 @@ def _hash_rows(ids: np.ndarray, hashes: np.ndarray, **more: np.ndarray) -> pa.Re
     return pa.record_batch(columns | {k: pa.array(v) for k, v in more.items()})
 
 
+def with_text_key(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, text_key``: which of its id's texts a row has.
+
+    The key is the text's hash where the id may have several texts and 0 elsewhere, so
+    that the many windows of all other ids carry no bits for it.  Where the filter over
+    such ids fills up, more keys are hashes and results stay the same.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashed = rows.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"))
+    several = hashed.groupBy("doc_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi")
+    known = frames.membership_bits(several.select(F.xxhash64("doc_id").alias("h")), "h", SEVERAL_BITS)
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(SEVERAL_BITS - 1)).cast("int")
+    byte = F.substr(F.lit(known), F.shiftright(place, 3) + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), place.bitwiseAND(F.lit(7)))
+    return rows.withColumn("text_key", F.when(bit == 1, F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+
+
 def index_blocks(docs: DataFrame) -> DataFrame:
     """``h``: hashes of the aligned blocks of all documents."""
 
@@ -91,11 +111,14 @@ def shared_anchors(found: DataFrame) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame, anchors: bytes) -> DataFrame:
-    """``h, doc_id, start``: the windows that hold an anchor block."""
+    """``h, doc_id, text_key, start``: the windows that hold an anchor block."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = batch.column("text_key").to_numpy(zero_copy_only=False)
+            row = 0
             for ids, words, hashes in _scanned(batch):
+                key, row = keys[row : row + len(ids)], row + len(ids)
                 blocks, found = windows_hashed(hashes, words, BLOCK)
                 hits = blocks[frames.maybe_members(anchors, found)]
                 # a window at s holds the block at b if s <= b <= s + WINDOW - BLOCK
@@ -107,22 +130,26 @@ def candidate_windows(docs: DataFrame, anchors: bytes) -> DataFrame:
                 keep = near[starts] if len(starts) else np.zeros(0, dtype=bool)
                 starts, found = starts[keep], found[keep]
                 text = words.text[starts]
-                yield _hash_rows(ids[text], found, start=(starts - words.first[text]).astype(np.int32))
+                at = (starts - words.first[text]).astype(np.int32)
+                yield _hash_rows(ids[text], found, text_key=key[text], start=at)
 
-    return frames.map_batches(docs.select("doc_id", "text"), scan, "h BIGINT, doc_id BIGINT, start INT")
+    schema = "h BIGINT, doc_id BIGINT, text_key BIGINT, start INT"
+    return frames.map_batches(docs.select("doc_id", "text", "text_key"), scan, schema)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``id, starts``: of each document the windows that a smaller id has, too."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    """``id, key, starts``: of each id's texts (see ``with_text_key``) the windows that a smaller id has, too."""
+    docs = docs.filter("doc_id IS NOT NULL")
     index = frames.membership_bits(index_blocks(docs), "h", FILTER_BITS)
     anchors = frames.membership_bits(shared_anchors(probes(docs, index)), "h", FILTER_BITS)
     # scanned twice rather than written: minima are combined before their shuffle, and the
-    # join may split a window that very many documents have
-    least = candidate_windows(docs, anchors).groupBy(F.col("h").alias("g")).agg(F.min("doc_id").alias("owner"))
+    # join may split a window that very many documents have; one table, so that executors
+    # get the filter once
     windows = candidate_windows(docs, anchors)
+    least = windows.groupBy(F.col("h").alias("g")).agg(F.min("doc_id").alias("owner"))
     late = windows.join(least, F.col("h") == F.col("g")).filter("doc_id > owner")
-    return late.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    texts = late.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    return texts.agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -130,9 +157,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     ``kept_text`` holds the kept words, joined by one space.
     """
-    late = repeated_windows(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = rows.join(late, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "starts")
+    rows = with_text_key(docs)
+    late = repeated_windows(rows)
+    same = (F.col("doc_id") == F.col("id")) & (F.col("text_key") == F.col("key"))
+    met = rows.join(late, same, "left").select("doc_id", "text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

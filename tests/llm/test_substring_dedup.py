@@ -43,3 +43,23 @@ def test_null_ids_stand_aside(make_docs):
     text = " ".join(f"w{i}" for i in range(60))
     got = sorted((r.doc_id or -1, r.n_removed) for r in S.digested(make_docs([(None, text), (2, text)])).collect())
     assert got == [(-1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 18])
+def test_texts_of_one_id_keep_their_own_places(make_docs, bits, monkeypatch):
+    monkeypatch.setattr(S, "SEVERAL_BITS", bits, raising=False)
+    passage = [f"p{i}" for i in range(60)]
+    own = [f"q{i}" for i in range(150)]
+    table = [
+        (1, " ".join(passage)),
+        (7, " ".join(own + passage)),
+        (7, " ".join(own)),
+        (7, " ".join(own[:20])),
+        (7, " ".join(own + passage)),
+        (7, None),
+        (8, " ".join(passage[5:] + own[:70])),
+        (8, " ".join(own[60:])),
+    ]
+    # one partition: a mark past a short text would fall on the next one's words
+    got = sorted(tuple(r) for r in S.digested(make_docs(table).coalesce(1)).collect())
+    assert got == sorted(without_repeats(table))
