@@ -401,13 +401,40 @@ def _filled(page: Page) -> np.ndarray:
     return np.array(holds)
 
 
+#: Pages that may declare main text, the planted marker included.
+_MAY_DECLARE = r"(?i)<(article|main)\b|mainstory"
+
+
 def fit(pages: DataFrame, limit: int = TRAINING_PAGES) -> Trees | None:
-    """Train on at most ``limit`` pages of ``pages(page_id, html)``, which come to the driver."""
+    """Train on at most ``limit`` declaring pages of ``pages(page_id, html)``, which come to the driver.
+
+    A tag may stand in a comment or hold nothing.  Where such pages leave the sample short,
+    tasks read all pages with the tag and the sample is taken from those that declare.
+    """
     short = pages.filter(f"char_length(html) BETWEEN 1 AND {TRAINING_CHARS}").select("page_id", "html")
-    ids = short.select("page_id", F.xxhash64("page_id", "html").alias("h"))
+    short = short.filter(F.col("html").rlike(_MAY_DECLARE)).withColumn("h", F.xxhash64("page_id", "html"))
+    ids = short.select("page_id", "h")
+    sources = _sampled(short, ids, limit)
+    if len(sources) == limit and any(declared(read_page(s)) is None for s in sources):
+        sources = _sampled(short, _declaring(short, ids), limit)
+    return train(sources)
+
+
+def _sampled(short: DataFrame, ids: DataFrame, limit: int) -> list[str]:
     sample = ids.orderBy("h", "page_id").limit(limit)
-    met = short.join(F.broadcast(sample.select(F.col("h").alias("k")).distinct()), F.xxhash64("page_id", "html") == F.col("k"))
-    return train([r["html"] for r in met.orderBy("k").limit(limit).collect()])
+    met = short.join(F.broadcast(sample.select(F.col("h").alias("k")).distinct()), F.col("h") == F.col("k"))
+    return [r["html"] for r in met.orderBy("k").limit(limit).collect()]
+
+
+def _declaring(short: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``ids`` of the pages that do declare main text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [declared(read_page(h.as_py())) is not None for h in batch.column("html")]
+            yield batch.select(["page_id", "h"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(short, scan, ids.schema)
 
 
 # --- extraction ---------------------------------------------------------------------------

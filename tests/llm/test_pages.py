@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from brute import archived
+from brute import archived, main_text
 
 from corpusgauge.llm import html_extract as H
 from corpusgauge.llm import line_dedup as L
 from corpusgauge.llm import warc_store as A
+from corpusgauge.llm.frames import table
+from corpusgauge.llm.queries import op9_html_extract
 
 
 def page(body: str) -> str:
@@ -109,6 +111,27 @@ def test_extraction_of_a_table(make_pages):
     assert H.fit(empty) is None and H.extracted(empty, None).collect() == []
 
 
+def test_training_takes_declaring_pages_only(make_pages, monkeypatch):
+    rows = [(i, "u", page(f"<div><p>plain {i}</p></div>")) for i in range(60)]
+    rows += [(100 + i, "u", page(f"<main id='app'></main><!-- <article> --><p>empty {i}</p>")) for i in range(30)]
+    rows += [(200 + i, "u", page(article(i))) for i in range(9)]
+    taken = []
+    monkeypatch.setattr(H, "train", taken.extend)
+    H.fit(make_pages(rows), 6)
+    assert len(taken) == 6 and all("<h1>Head" in html for html in taken)
+    taken.clear()
+    H.fit(make_pages(rows[:60] + rows[90:]), 20)
+    assert sorted(taken) == sorted(html for _, _, html in rows[90:])
+
+
+def test_fixture_pages_as_by_brute_force(spark):
+    pages = table(spark, "/root/testdata/sf0.001", "pages")
+    wanted = sorted((r.page_id, main_text(r.html or "")) for r in pages.collect())
+    got = op9_html_extract(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.page_id, r.text) for r in got) == wanted
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 # --- archive ----------------------------------------------------------------------------
 
 BIG = "é" * 600
