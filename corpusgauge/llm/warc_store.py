@@ -128,21 +128,50 @@ def read_records(archive: Archive) -> DataFrame:
 
 
 def parsed(records: DataFrame) -> DataFrame:
-    """Type, digest and reference out of the header text of ``read_records``."""
+    """Type, digest, reference and payload out of the bytes of ``read_records``.
 
-    def field(name: str) -> Column:
-        return F.regexp_extract("head", rf"(?md)^{name}: ([^\r\n]*)", 1)
-
-    digest = F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "")
-    return records.select(
-        F.expr("try_cast(nullif(regexp_extract(head, '(?md)^X-Page-ID: ([^\\r\\n]*)', 1), '') AS BIGINT)").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        digest.alias("stated_digest"),
+    A record is its header up to the first empty line, as many bytes as its Content-Length
+    says, and an empty line; the block is the HTTP header and the body.  A record of another
+    form, or an HTTP header that states another length, fails the read.  A revisit has no
+    body, its payload is the joined one.
+    """
+    end = _CRLF * 2
+
+    def field(name: str, text: str = "head") -> Column:
+        return F.regexp_extract(text, rf"(?md)^{name}: ([^\r\n]*)", 1)
+
+    def page(name: str) -> Column:
+        return F.expr(f"try_cast(nullif(regexp_extract(head, '(?md)^{name}: ([^\\r\\n]*)', 1), '') AS BIGINT)")
+
+    def upto(data: str) -> Column:
+        return F.substring_index(F.col(data).cast("string"), end, 1)
+
+    def rest(data: str, before: str) -> Column:
+        return F.substr(F.col(data), F.octet_length(before) + len(end) + 1)
+
+    cut = records.select("record", F.col("payload").alias("shared"), upto("record").alias("head"))
+    cut = cut.withColumn("content", rest("record", "head"))
+    cut = cut.withColumn("n", field("Content-Length").try_cast("int"))
+    cut = cut.withColumn("block", F.substr(F.col("content"), F.lit(1), F.col("n")))
+    cut = cut.withColumn("tail", F.substr(F.col("content"), F.col("n") + 1)).drop("content")
+    cut = cut.withColumn("http", upto("block")).withColumn("body", rest("block", "http"))
+    again = field("WARC-Type") == "revisit"
+    cut = cut.withColumn("payload", F.when(again, F.col("shared")).otherwise(F.col("body")))
+    whole = (
+        F.col("head").startswith(f"WARC/1.1{_CRLF}")
+        & F.col("http").startswith(f"HTTP/1.1 200 OK{_CRLF}")
+        & (F.col("tail") == F.lit(end).cast("binary"))
+        & (field("Content-Length", "http").try_cast("bigint") == F.octet_length("payload"))
+        & (~again | (F.octet_length("body") == 0))
+    )
+    sound = F.assert_true(F.coalesce(whole, F.lit(False)), "a record's parts do not have the stated lengths")
+    return cut.select(
+        page("X-Page-ID").alias("page_id"),
+        F.when(sound.isNull(), F.octet_length("payload")).cast("long").alias("payload_bytes"),
+        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("stated_digest"),
         F.sha1("payload").alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
-        F.expr(
-            "try_cast(nullif(regexp_extract(head, '(?md)^X-Refers-To-Page-ID: ([^\\r\\n]*)', 1), '') AS BIGINT)"
-        ).alias("refers_to"),
+        page("X-Refers-To-Page-ID").alias("refers_to"),
     )
 
 

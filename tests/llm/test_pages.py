@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pytest
 from brute import archived, main_text
+from pyspark.sql import functions as F
 
 from corpusgauge.llm import html_extract as H
 from corpusgauge.llm import line_dedup as L
@@ -159,3 +161,23 @@ def test_records_are_rebuilt_whole_and_payloads_kept_once(spark, make_pages):
     head, _, body = records[3].partition(b"\r\n\r\n")
     assert f"Content-Length: {len(body) - 4}".encode() in head
     assert A.archived(spark, make_pages([])).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("part", "pattern", "to"),
+    [
+        ("head", r"Content-Length: \d+", "Content-Length: 7"),
+        ("head", r"Content-Length: \d+", "Content-Length: 99999"),
+        ("head", r"^WARC/1.1\r\n", ""),
+        ("http", r"Content-Length: \d+", "Content-Length: 7"),
+        ("http", r"\r\n\r\n$", ""),
+    ],
+)
+def test_records_of_another_form_fail(spark, make_pages, part, pattern, to):
+    archive = A.write_archive(make_pages([(1, "http://a/1", BIG), (2, None, BIG), (3, "http://a/3", "kurz")]))
+    assert A.parsed(A.read_records(archive)).count() == 3
+    broken = archive.records.withColumn(part, F.regexp_replace(part, pattern, to))
+    for page_id in (1, 2, 3):
+        read = A.read_records(A.Archive(broken.filter(F.col("page_id") == page_id), archive.payloads))
+        with pytest.raises(Exception, match="stated lengths"):
+            A.parsed(read).collect()
