@@ -1,7 +1,8 @@
 """DuckDB SQL of the queries that SQL can express on whole tables.
 
 The others are held against brute force in the tests: a learned list (4), greedy tiling
-(5), a schedule and a shuffle by Spark's hash (3, 6), a tokenizer (8), trained trees (9).
+(5), a schedule and a shuffle by Spark's hash (3, 6), a tokenizer (8), trained trees (9),
+whitening (12), random vectors (13).
 """
 
 from __future__ import annotations
@@ -101,9 +102,35 @@ SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_d
 FROM rated
 """
 
+_HARD_NEGATIVES = """
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM rows_ a JOIN rows_ b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+near AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+),
+hard AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS k
+  FROM near JOIN scores USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM hard WHERE k <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": _LINE_DEDUP,
     "op2_jaccard_join": _JACCARD_JOIN,
     "op7_substring_dedup": _SUBSTRING_DEDUP,
     "op10_warc_store": _WARC_STORE,
+    "op11_hard_negatives": _HARD_NEGATIVES,
 }

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from corpusgauge.llm import (
     decontamination,
+    hard_negatives,
     html_extract,
     jaccard_join,
+    language_id,
     line_dedup,
     mixing,
     oracles,
@@ -20,6 +22,7 @@ from corpusgauge.llm import (
     substring_dedup,
     token_store,
     warc_store,
+    whitening,
 )
 from corpusgauge.llm.frames import table
 
@@ -90,6 +93,18 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.archived(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_line_dedup": op1_line_dedup,
@@ -102,5 +117,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_html_extract": op9_html_extract,
     "op10_warc_store": op10_warc_store,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_language_id": op13_language_id,
 }
 LLM_ORACLES: dict[str, str] = oracles.ORACLES
