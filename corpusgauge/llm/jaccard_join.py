@@ -4,31 +4,38 @@ Two documents are linked when the Jaccard similarity of their shingle sets is at
 ``PERCENT`` / 100.  Documents of equal sets are one node.  The join is exact:
 
 1. *Tiles.*  A linked pair shares a token among the first ``n - ceil(0.75 n) + 1`` of
-   each set in a common token order, so the nodes that share such a token, banded by
-   set size (sizes of a linked pair differ by a third at most), make a tile.  Rare
-   tokens come first in the order: tokens that are frequent in a sample of the
+   each set in a common token order, so the nodes that share such a token make a tile.
+   Rare tokens come first in the order: tokens that are frequent in a sample of the
    documents are put last.  The sample steers only the order, never the result.
 2. *Links to a few nodes* of each tile are checked, and joined to components: the least
    and the greatest node, in two orders of the digests.  That makes most groups of near
    copies one component, however many there are.
-3. *Tiles of more than one component* are compared pair by pair, sorted by size, as
-   blocks of about ``BLOCK`` nodes, so that no task holds a whole hot tile.  Pairs
-   already in one component are left out: they change no class.  A pair is taken from a
-   tile only if its token may be the first the two have in common: the tokens that
-   follow must suffice for a link.  Of a linked pair, the smaller set has that token
-   among its first ``n - ceil(6 n / 7) + 1``, so a tile needs such a member.
-4. A pair is checked by size, then by the *bitmap* of each set (the parity of its hashed
-   tokens; every differing bit stands for a differing token, so the bit count bounds the
-   overlap from above), and at last by the exact intersection of both sorted arrays.
+3. *Tiles of more than one component* are banded by set size, with bands of the ratio
+   4/3: sizes of a linked pair differ by no more, so a band is compared with itself and
+   the next one.  Large ones are cut into blocks of about ``BLOCK`` nodes, so that no task
+   holds a whole hot tile.  A pair is taken only if its token may be the first the two
+   have in common: the tokens that follow must suffice for a link.  Of a linked pair, the
+   smaller set has that token among its first ``n - ceil(6 n / 7) + 1``, so a tile needs
+   such a member.
+4. A pair is held against sizes, then against the *bitmap* of each set (the parity of its
+   hashed tokens; every differing bit stands for a differing token, so the bit count bounds
+   the overlap from above).  Of the pairs that pass, a tile sends a *forest* over its
+   components, nearest pairs first: fewer pairs than it has nodes.  These are verified by
+   the exact intersection of both sorted arrays.  Where all hold, whatever else the tile
+   has is connected, too.  Tiles of which a pair failed go into another round, without
+   that pair and with four times as many forests, until none is left.
 
 Shingles are 63-bit hashes and nodes 64-bit digests of the sorted set.  A null text or
 one without words has an empty set and is linked with nothing.  Repeated rows and ids
-give a row each.  Very long texts have large sets, which are cut nowhere.
+give a row each; the smallest id names a class, and a null one only where it has no other.
+Very long texts have large sets, which are cut nowhere.  An empty table gives no rows.
+Columns other than ``doc_id`` and ``text`` are not read, or kept as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -45,6 +52,10 @@ from corpusgauge.session import stored
 SHINGLE, PERCENT = 5, 75
 #: Nodes of a tile compared at once in one task.
 BLOCK = 256
+#: Bits of a bitmap for each token: those that tiles are compared by, and of a first look.
+WIDE, NARROW = 4, 1
+#: How many forests more a tile sends in each round.
+MORE_FORESTS = 4
 #: Documents sampled to find frequent tokens, on average at most, and tokens noted.
 SAMPLE_DOCS, FREQUENT_TOKENS, FREQUENT_FROM = 8_000, 100_000, 4
 #: Bits of the filter that tells a scan which nodes are wanted (4 MB).
@@ -88,9 +99,9 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def bitmap_of(tokens: np.ndarray) -> bytes:
-    """Parity bits of the hashed tokens; about as many bits as tokens."""
-    bits = 1 << max(6, int(len(tokens) - 1).bit_length())
+def bitmap_of(tokens: np.ndarray, wide: int = NARROW) -> bytes:
+    """Parity bits of the hashed tokens; about ``wide`` bits a token."""
+    bits = 1 << max(6, int(wide * len(tokens) - 1).bit_length())
     odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
@@ -120,20 +131,23 @@ def _scan(
 ) -> DataFrame:
     """One pass over the texts, giving for each document what ``what`` names.
 
-    ``nodes``: ``doc_id, tag, n, node``.  ``tiles``: ``node, near,
-    tokens``, the prefix and the part of it that counts for the smaller set.  ``maps``:
-    ``node, n, bitmap`` and ``sets``: ``node, tokens`` of nodes that may be in the filter
-    ``wanted``.
+    ``nodes``: ``doc_id, tag, t, n, node``, with the text's hash ``t``.  ``tiles``: ``node,
+    near, tokens``, the prefix and the part of it that counts for the smaller set.
+    ``maps``: ``node, n, narrow, bitmap`` and ``sets``: ``node, tokens`` of the texts whose
+    hash may be in the filter ``wanted``; other texts are not cut into shingles.
     """
     schema = {
-        "nodes": "doc_id BIGINT, tag BIGINT, n BIGINT, node BIGINT",
+        "nodes": "doc_id BIGINT, tag BIGINT, t BIGINT, n BIGINT, node BIGINT",
         "tiles": "node BIGINT, near INT, tokens ARRAY<BIGINT>",
-        "maps": "node BIGINT, n BIGINT, bitmap BINARY",
+        "maps": "node BIGINT, n BIGINT, narrow BINARY, bitmap BINARY",
         "sets": "node BIGINT, tokens BINARY",
     }[what]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if what in ("maps", "sets"):
+                hashes = batch.column("t").to_numpy().view(np.uint64)
+                batch = batch.filter(pa.array(frames.maybe_members(wanted, hashes), pa.bool_()))
             for at, texts in chunks(batch.column("text")):
                 tokens, counts = shingle_sets(texts, frequent)
                 ends = np.cumsum(counts)
@@ -146,10 +160,11 @@ def _scan(
                         [
                             batch.column("doc_id").slice(at, len(texts)),
                             batch.column("tag").slice(at, len(texts)),
+                            batch.column("t").slice(at, len(texts)),
                             pa.array(counts, pa.int64()),
                             pa.array(column, mask=counts == 0),
                         ],
-                        names=["doc_id", "tag", "n", "node"],
+                        names=["doc_id", "tag", "t", "n", "node"],
                     )
                     continue
                 if what == "tiles":
@@ -165,17 +180,19 @@ def _scan(
                         names=["node", "near", "tokens"],
                     )
                     continue
-                keep = frames.maybe_members(wanted, nodes.view(np.uint64)) if len(nodes) else np.zeros(0, bool)
-                sets = [tokens[ends[i] - counts[i] : ends[i]] for i in full[keep]]
-                columns = {"node": pa.array(nodes[keep])}
+                sets = [tokens[ends[i] - counts[i] : ends[i]] for i in full]
+                columns = {"node": pa.array(nodes)}
                 if what == "maps":
-                    columns["n"] = pa.array(counts[full[keep]], pa.int64())
-                    columns["bitmap"] = pa.array([bitmap_of(s) for s in sets], pa.binary())
+                    columns["n"] = pa.array(counts[full], pa.int64())
+                    columns["narrow"] = pa.array([bitmap_of(s) for s in sets], pa.binary())
+                    columns["bitmap"] = pa.array([bitmap_of(s, WIDE) for s in sets], pa.binary())
                 else:
                     columns["tokens"] = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.record_batch(columns)
 
     columns = [F.col("text")]
+    if what != "tiles":
+        columns.append(F.xxhash64("text").alias("t"))
     if what == "nodes":
         named = F.col(tag) if tag else F.lit(None)
         columns += [F.col("doc_id").cast("long").alias("doc_id"), named.cast("long").alias("tag")]
@@ -210,12 +227,12 @@ def _both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
 
 def _bounded(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sizes and bit counts allow a link."""
-    met = _both(pairs, maps, "n", "bitmap")
+    met = _both(pairs, maps, "n", "narrow")
     met = met.filter((F.col("a_n") * 100 >= F.col("b_n") * PERCENT) & (F.col("b_n") * 100 >= F.col("a_n") * PERCENT))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_bitmap", "b_bitmap"))
+            columns = (batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_narrow", "b_narrow"))
             keep = [
                 overlap_bound(n, m, np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= needed(n, m)
                 for n, m, x, y in zip(*columns, strict=True)
@@ -225,15 +242,20 @@ def _bounded(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return frames.map_batches(met, bound, "a BIGINT, b BIGINT")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def _texts_of(wanted: DataFrame, nodes: DataFrame) -> bytes:
+    """A filter over the hashes of the texts that have one of the ``node``s wanted."""
+    named = wanted.select(F.col("node").alias("w")).distinct()
+    return frames.membership_bits(nodes.join(named, F.col("node") == F.col("w"), "left_semi").select("t"), "t", FILTER_BITS)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray, nodes: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are linked, by intersecting their sorted arrays.
 
-    The arrays of the nodes in question are taken from the texts in one more scan.
+    The arrays of the nodes in question are taken from their texts in one more scan.
     """
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    bits = frames.membership_bits(ends, "node", FILTER_BITS)
-    sets = _scan(docs, frequent, "sets", bits).dropDuplicates(["node"])
-    met = _both(pairs, stored(sets.join(ends.distinct(), "node", "left_semi"), "sets"), "tokens")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _scan(docs, frequent, "sets", _texts_of(ends, nodes)).dropDuplicates(["node"])
+    met = _both(pairs, stored(sets.join(ends, "node", "left_semi"), "sets"), "tokens")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,29 +270,53 @@ def _linked(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray) -> DataFram
     return stored(frames.map_batches(met, check, "a BIGINT, b BIGINT"), "links")
 
 
-def _tile_pairs(tiles: DataFrame) -> DataFrame:
-    """Pairs of different components that pass size, place and bitmap bounds.
+def _tile_rows(tiles: DataFrame) -> DataFrame:
+    """The rows of each group of nodes to compare: ``tile, side, later, node, root, at, n, bitmap``.
 
-    ``tiles`` has ``token, node, root, place, n, bitmap``.  A tile is cut into blocks by
-    node hash; each pair of blocks is compared on its own.
+    ``tiles`` has ``token, node, root, place, n, bitmap``.  A group is a size band of a tile
+    with the next one, whose rows are ``later``; a large one is cut into blocks by node
+    hash, and each pair of blocks is a group.
     """
-    held = tiles.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("held"))
-    rows = tiles.join(held, F.col("token") == F.col("t"))
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select(
-        F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"),
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
+    rows = tiles.withColumn("band", band)
+    held = rows.groupBy(F.col("token").alias("t"), "band").agg(F.count(F.lit(1)).alias("n"))
+    # an entry for each band, of which there are as many as powers of 4/3
+    held = held.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("held"))
+    count = lambda b: F.coalesce(F.try_element_at("held", b), F.lit(0))
+    total = lambda b: count(b) + count(b + 1)
+    groups = F.filter(F.array("band", F.col("band") - 1), lambda g: (count(g) > 0) & (total(g) > 1))
+    rows = rows.join(held, F.col("token") == F.col("t")).withColumn("group", F.explode(groups))
+    blocks = F.ceil(total(F.col("group")) / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(
+        F.xxhash64("token", "group", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"),
         # rows of the lesser block are 0, of the greater 1, of a block with itself 2
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-        "token",
+        (F.col("group") != F.col("band")).alias("later"),
         "node",
         "root",
         F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("at"),
         "n",
         "bitmap",
     )
-    ordered = rows.repartition("tile").sortWithinPartitions("tile", "n")
+
+
+def _tile_pairs(rows: DataFrame, failed: DataFrame | None, forests: int) -> DataFrame:
+    """``tile, a, b``: pairs of different components that pass size, place and bitmap bounds.
+
+    Of these each tile sends ``forests`` forests over its components.  Pairs ``failed``
+    are passed over.
+    """
+    none = F.array().cast("array<bigint>")
+    if failed is None:
+        rows = rows.withColumn("failed", none)
+    else:
+        # a node has few of these: at most the forests' edges of earlier rounds
+        partners = failed.groupBy(F.col("a").alias("f")).agg(F.collect_set("b").alias("partners"))
+        rows = rows.join(partners, F.col("node") == F.col("f"), "left")
+        rows = rows.withColumn("failed", F.coalesce("partners", none)).drop("f", "partners")
+    ordered = rows.repartition("tile").sortWithinPartitions("tile", "n", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -281,17 +327,20 @@ def _tile_pairs(tiles: DataFrame) -> DataFrame:
             # the last tile may go on in the next batch
             whole = int(np.argmax(tile == tile[-1])) if len(tile) else 0
             held = table.slice(whole)
-            yield _compared(table.slice(0, whole))
+            yield _compared(table.slice(0, whole), forests)
         if held is not None:
-            yield _compared(held)
+            yield _compared(held, forests)
 
-    return frames.map_batches(ordered, compare, "a BIGINT, b BIGINT").distinct()
+    return frames.map_batches(ordered, compare, "tile BIGINT, a BIGINT, b BIGINT")
 
 
-def _compared(rows: pa.Table) -> pa.RecordBatch:
-    """The pairs of rows of one tile that may be linked; rows lie by tile and size."""
-    tile, side, node, root, at, n = (rows.column(c).to_numpy() for c in ("tile", "side", "node", "root", "at", "n"))
+def _compared(rows: pa.Table, forests: int) -> pa.RecordBatch:
+    """The pairs sent by the tiles of ``rows``, which lie by tile and size."""
+    tile, side, later, node, root, at, n = (
+        rows.column(c).to_numpy() for c in ("tile", "side", "later", "node", "root", "at", "n")
+    )
     maps = rows.column("bitmap").to_pylist()
+    failed = [frozenset(f) for f in rows.column("failed").to_pylist()]
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     left, step = np.arange(len(tile)), 0
     while True:
@@ -305,20 +354,53 @@ def _compared(rows: pa.Table) -> pa.RecordBatch:
         right = left + step
         least = -(-PERCENT * (n[left] + n[right]) // (100 + PERCENT))
         good = (root[left] != root[right]) & ((side[left] == 2) | (side[left] != side[right]))
+        # two of the next band meet in the group of their own
+        good &= ~(later[left] & later[right])
         good &= np.minimum(n[left] - at[left], n[right] - at[right]) >= least
         pairs.append((left[good], right[good]))
     x = np.concatenate([a for a, _ in pairs]) if pairs else np.zeros(0, dtype=np.int64)
     y = np.concatenate([b for _, b in pairs]) if pairs else np.zeros(0, dtype=np.int64)
-    # a pair that several tiles hold is compared once
+    # a pair that several tiles hold is looked at in the first of them
     a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
     _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
-    keep = [
-        k
-        for k in first.tolist()
-        if overlap_bound(int(n[x[k]]), int(n[y[k]]), np.frombuffer(maps[x[k]], np.uint8), np.frombuffer(maps[y[k]], np.uint8))
-        >= needed(int(n[x[k]]), int(n[y[k]]))
-    ]
-    return pa.record_batch([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
+    passed: list[tuple[int, float, int, int]] = []
+    for k in first.tolist():
+        i, j = int(x[k]), int(y[k])
+        bound = overlap_bound(int(n[i]), int(n[j]), np.frombuffer(maps[i], np.uint8), np.frombuffer(maps[j], np.uint8))
+        if bound >= needed(int(n[i]), int(n[j])) and int(b[k]) not in failed[i] and int(b[k]) not in failed[j]:
+            # the failed partners of a pair's lesser node are its greater ones
+            passed.append((int(tile[i]), -bound / (int(n[i]) + int(n[j])), int(a[k]), int(b[k])))
+    root_of = dict(zip(node.tolist(), root.tolist(), strict=True))
+    sent = list(_forests(sorted(passed), root_of, forests))
+    return pa.record_batch(
+        [pa.array([p[k] for p in sent], pa.int64()) for k in range(3)], names=["tile", "a", "b"]
+    )
+
+
+def _forests(
+    pairs: list[tuple[int, float, int, int]], root_of: dict[int, int], forests: int
+) -> Iterator[tuple[int, int, int]]:
+    """``tile, a, b`` of each tile's pairs that join two trees of one of its forests."""
+    at: int | None = None
+    parents: list[dict[int, int]] = []
+    for tile, _, a, b in pairs:
+        if tile != at:
+            at, parents = tile, [{} for _ in range(forests)]
+        for parent in parents:
+            u, v = _top(parent, root_of[a]), _top(parent, root_of[b])
+            if u != v:
+                parent[u] = v
+                yield tile, a, b
+                break
+
+
+def _top(parent: dict[int, int], x: int) -> int:
+    while x in parent:
+        up = parent[x]
+        if up in parent:
+            parent[x] = parent[up]
+        x = up
+    return x
 
 
 def tile_entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -343,24 +425,38 @@ def tile_entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return entries.join(shared, F.col("token") == F.col("t")).drop("t")
 
 
-def linked_nodes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``node, root`` of every node that has a link."""
+def linked_nodes(docs: DataFrame, frequent: np.ndarray, nodes: DataFrame) -> DataFrame:
+    """``node, root`` of every node that has a link; ``nodes`` are those of all documents."""
     tiles = stored(tile_entries(docs, frequent), "tiles")
-    bits = frames.membership_bits(tiles, "node", FILTER_BITS)
-    maps = stored(_scan(docs, frequent, "maps", bits).dropDuplicates(["node"]), "maps")
+    wanted = _texts_of(tiles, nodes)
+    maps = stored(_scan(docs, frequent, "maps", wanted).dropDuplicates(["node"]), "maps")
     arms = [tiles.select(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b")) for c in STARS]
     stars = reduce(DataFrame.unionByName, arms).filter("a <> b").distinct()
-    links = _linked(stored(_bounded(stars, maps), "pairs"), docs, frequent)
-    roots = components(links).select(F.col("node").alias("n_"), "root")
-    rooted = tiles.drop(*STARS).join(roots, F.col("node") == F.col("n_"), "left")
-    rooted = rooted.select("token", "node", "place", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = mixed.filter("lo <> hi").select("t")
-    left = rooted.join(mixed, F.col("token") == F.col("t")).drop("t")
-    pairs = stored(_tile_pairs(left.join(maps, "node")), "pairs")
-    if pairs.isEmpty():
-        return roots.withColumnRenamed("n_", "node")
-    return components(links.unionByName(_linked(pairs, docs, frequent)))
+    links = _linked(stored(_bounded(stars, maps), "pairs"), docs, frequent, nodes)
+    failed = open_ = None
+    forests = 1
+    while True:
+        roots = stored(components(links), "roots").select(F.col("node").alias("n_"), "root")
+        rooted = tiles.drop(*STARS).join(roots, F.col("node") == F.col("n_"), "left")
+        rooted = rooted.select("token", "node", "place", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        left = rooted.join(mixed.filter("lo <> hi").select("t"), F.col("token") == F.col("t")).drop("t")
+        rows = _tile_rows(left.join(maps.drop("narrow"), "node"))
+        if open_ is not None:
+            rows = rows.join(open_, "tile", "left_semi")
+        sent = stored(_tile_pairs(rows, failed, forests), "pairs")
+        if sent.isEmpty():
+            break
+        found = _linked(sent.select("a", "b").distinct(), docs, frequent, nodes)
+        links = links.unionByName(found)
+        wrong = stored(sent.join(found, ["a", "b"], "left_anti"), "failed")
+        if wrong.isEmpty():
+            return components(links)
+        open_ = wrong.select("tile").distinct()
+        wrong = wrong.select("a", "b").distinct()
+        failed = wrong if failed is None else failed.unionByName(wrong)
+        forests *= MORE_FORESTS
+    return roots.withColumnRenamed("n_", "node")
 
 
 def near_duplicates(docs: DataFrame, tag: str | None = None) -> DataFrame:
@@ -370,17 +466,16 @@ def near_duplicates(docs: DataFrame, tag: str | None = None) -> DataFrame:
     their own.  ``root`` names the class, ``tag`` is the column of that name, or null.
     """
     frequent = frequent_tokens(docs)
-    roots = stored(linked_nodes(docs, frequent), "roots").select(F.col("node").alias("n_"), "root")
-    nodes = _scan(docs, frequent, "nodes", tag=tag)
-    rooted = stored(
-        nodes.join(roots, F.col("node") == F.col("n_"), "left").select(
-            "doc_id", "tag", "n", "node", F.coalesce("root", "node").alias("root")
-        ),
-        "nodes",
-    )
-    least = rooted.filter("root IS NOT NULL").groupBy(F.col("root").alias("r_")).agg(F.min("doc_id").alias("least"))
-    met = rooted.join(least, F.col("root") == F.col("r_"), "left")
-    own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    nodes = stored(_scan(docs, frequent, "nodes", tag=tag), "nodes")
+    roots = linked_nodes(docs, frequent, nodes).select(F.col("node").alias("n_"), "root")
+    # one row for each node from here on, however many documents have it
+    least = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    rooted = least.join(roots, F.col("node") == F.col("n_"), "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy(F.col("root").alias("r_")).agg(F.min("least").alias("component_id"))
+    labels = stored(rooted.join(named, F.col("root") == F.col("r_")).select(F.col("node").alias("n_"), "root", "component_id"), "labels")
+    # a join that Spark may split: very many documents may have one node
+    met = nodes.join(labels, F.col("node") == F.col("n_"), "left")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return met.select("doc_id", "tag", F.col("n").alias("n_shingles"), "root", own.alias("component_id"))
 
 

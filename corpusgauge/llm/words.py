@@ -1,10 +1,14 @@
 """Words of whole text columns as numpy arrays, inside Arrow tasks.
 
 A word is ``[^\\x20\\x09-\\x0D]+``.  These six bytes never occur inside a UTF-8
-sequence, so a column is cut on its bytes, all texts of a chunk at once.  Words and
-word windows are known by 64-bit running (Karp-Rabin) hashes taken from prefix sums
-modulo 2**64 and then mixed; two different windows share a hash with a chance of
-2**-64 a pair.
+sequence, so a column is cut on its bytes, all texts of a chunk at once.  A word is known
+by 64 bits: each eight bytes of it are mixed with their place by a nonlinear bijection,
+and these are added up.  (A polynomial modulo 2**64 would give equal hashes to long words
+that repeat a Thue-Morse pattern, whatever its base.)  Windows of words are known by
+running (Karp-Rabin) hashes of the mixed hashes of their words, from prefix sums modulo
+2**64; windows have 50 words at most, too few for such a pattern to matter: two
+different ones share a hash with a chance of about 2**-44 a pair in the worst arrangement
+of words and 2**-60 and less otherwise.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow.compute as pc
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
+_LANE_STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,7 +57,7 @@ class _Powers:
         return self.up, self.down
 
 
-_byte_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_word_powers = _Powers(_WORD_BASE)
 
 
 def spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
@@ -65,8 +69,24 @@ def spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, power
 
 
 def code_spans_hashed(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """As ``spans_hashed``, for bytes or code points."""
-    return spans_hashed(codes.astype(np.uint64), starts, ends, _byte_powers)
+    """Hash of ``codes[start:end]`` for every span of bytes or code points."""
+    wide = codes.dtype.itemsize
+    data = np.zeros(len(codes) * wide + 8, dtype=np.uint8)
+    data[: len(codes) * wide] = np.ascontiguousarray(codes).view(np.uint8)
+    # every eight bytes, from any byte on
+    eight = np.ndarray(len(data) - 7, dtype="<u8", buffer=data.data, strides=(1,))
+    sizes = (ends - starts) * wide
+    lanes = -(-sizes // 8)
+    place = ranges(np.zeros(len(lanes), dtype=np.int64), lanes)
+    span = np.repeat(np.arange(len(lanes)), lanes)
+    held = np.minimum(sizes[span] - 8 * place, 8).astype(np.uint64)
+    values = eight[starts[span] * wide + 8 * place] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * held))
+    # mixed twice, with the place in between, so that no pattern of bytes cancels out
+    parts = mixed(mixed(values) + (place.astype(np.uint64) + np.uint64(1)) * _LANE_STEP)
+    sums = np.zeros(len(parts) + 1, dtype=np.uint64)
+    np.cumsum(parts, out=sums[1:])
+    last = np.cumsum(lanes)
+    return mixed(sums[last] - sums[last - lanes] + sizes.astype(np.uint64))
 
 
 @dataclass
