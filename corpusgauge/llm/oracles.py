@@ -32,7 +32,7 @@ held AS (
 ),
 often AS (
   SELECT host, list(line) AS bad FROM held JOIN hosts USING (host)
-  WHERE n >= {L.MIN_PAGES} AND c > CAST({L.RATIO} AS DOUBLE) * n GROUP BY host
+  WHERE c >= 2 AND c > CAST({L.RATIO} AS DOUBLE) * n GROUP BY host
 ),
 kept AS (
   SELECT page_id, host, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(bad, []), x)) AS ks

@@ -52,6 +52,8 @@ _AT_ONCE = 256
 
 #: Pieces a worker remembers at most before it begins anew, and encodes at once.
 KNOWN_PIECES, PIECES_AT_ONCE = 400_000, 4_096
+#: Characters of the longest piece that is kept.
+LONGEST_KNOWN = 64
 #: Bytes of text encoded at once.
 CHUNK_BYTES = 1 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER, _ASK = range(5)
@@ -82,7 +84,7 @@ class Encoder:
 
     path: str
     tokenizer: object = None
-    known: dict[int, bytes] = field(default_factory=dict)
+    known: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         # a task has one core; threads of its own would take those of other tasks
@@ -156,18 +158,20 @@ class Encoder:
     ) -> tuple[np.ndarray, list[bytes]]:
         """The ids of each different piece, and which of these each piece is."""
         hashes = code_spans_hashed(codes, starts, ends)
-        each, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > KNOWN_PIECES:
             # the older half goes; what is frequent soon comes again
             for h in list(islice(self.known, len(self.known) // 2)):
                 del self.known[h]
-        found = [self.known.get(h) for h in each.tolist()]
+        # known by their text, so that no hash decides over ids of another chunk
+        texts = [joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        found = [self.known.get(t) for t in texts]
         new = [k for k, x in enumerate(found) if x is None]
         if new:
-            at = first[new]
-            texts = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            for k, ids in zip(new, self._encoded(texts), strict=True):
-                found[k] = self.known[int(each[k])] = ids
+            for k, ids in zip(new, self._encoded([texts[k] for k in new]), strict=True):
+                found[k] = ids
+                if len(texts[k]) <= LONGEST_KNOWN:
+                    self.known[texts[k]] = ids
         return back, found
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from brute import components
-from pyspark.sql import functions as F
+from test_words import thue_morse
 
 from corpusgauge.llm import jaccard_join as J
 from corpusgauge.llm.components import components as linked
@@ -93,3 +93,45 @@ def test_tokens_are_combined_before_their_shuffle(make_docs):
     assert tiles.count() > 0
     plan = tiles._jdf.queryExecution().executedPlan().toString()
     assert "partial_min(node" in plan and "REPARTITION" not in plan
+
+
+def test_long_patterned_words_are_told_apart(make_docs):
+    one, two = thue_morse(2048)
+    rows = [(1, f"{one} b c d e f"), (2, f"{two} b c d e f"), (3, f"{one} b c d e f"), (4, one), (5, two)]
+    assert found(make_docs(rows)) == sorted(components(rows))
+
+
+def hub(n: int, seed: int) -> list[tuple[int, str]]:
+    """Texts that differ at random in about a seventh of one base: near the threshold."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for at in rng.sample(range(0, 200, 10), rng.randrange(3, 8)):
+            text[at] = f"x{rng.randrange(40)}"
+        out.append((i, " ".join(text)))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_groups_near_the_threshold(make_docs, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "STARS", ("lo",))
+    rows = hub(60, block)
+    assert found(make_docs(rows)) == sorted(components(rows))
+
+
+def test_rounds_end_with_weak_bitmaps(make_docs, monkeypatch):
+    """Bitmaps that let nearly all pass: failed pairs are passed over until none is left."""
+    monkeypatch.setattr(J, "overlap_bound", lambda n, m, x, y: min(n, m))
+    monkeypatch.setattr(J, "STARS", ("lo",))
+    rows = hub(40, 5)
+    assert found(make_docs(rows)) == sorted(components(rows))
+
+
+def test_a_tile_sends_fewer_pairs_than_it_has_nodes():
+    pairs = sorted((t, -1.0, a, b) for t in (1, 2) for a in range(30) for b in range(a + 1, 30))
+    sent = list(J._forests(pairs, {k: k // 2 for k in range(30)}, 1))
+    assert len(sent) == 2 * 14
+    assert len(list(J._forests(pairs, {k: k for k in range(30)}, 3))) <= 2 * 3 * 29

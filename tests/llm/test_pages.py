@@ -31,6 +31,18 @@ def test_site_relative_boilerplate_goes(make_pages):
     assert got[23].text == "one\ntwo"
 
 
+def test_small_and_hot_hosts(make_pages, monkeypatch):
+    rows = [(i, "http://two.example/", f"menu\npage {i}") for i in range(2)]
+    rows += [(9, "http://one.example/", "menu\nmenu\ntext")]
+    rows += [(100 + i, "http://hot.example/", f"top\n{'x' if i < 15 else 'y'}\n{i}") for i in range(50)]
+    for salts in (16, 1, 3):
+        monkeypatch.setattr(L, "SALTS", salts)
+        got = {r.page_id: r.text for r in L.without_boilerplate(make_pages(rows)).collect()}
+        assert got[0] == "page 0" and got[1] == "page 1" and got[9] == "menu\nmenu\ntext"
+        # 15 of 50 is the ratio itself
+        assert got[100] == "x\n0" and got[149] == "49" and len(got) == 53
+
+
 def test_ratio_counts_pages_not_lines(make_pages):
     rows = [(i, "http://a.example/", "x\nx\nx" if i == 0 else f"y{i}") for i in range(6)]
     got = {r.page_id: r.text for r in L.without_boilerplate(make_pages(rows)).collect()}

@@ -16,9 +16,8 @@ ROWS += [(5, "same same", None), (5, "same same", None), (None, "no id", "s1")]
 def test_shards_hold_equal_counts_of_every_source(make_docs, monkeypatch, bucket):
     monkeypatch.setattr(sharding, "ROWS_A_BUCKET", bucket)
     got = sharding.shard_plan(make_docs(ROWS), 8).collect()
-    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted(
-        (d or -1 if d != 0 else 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, _ in ROWS
-    ) or len(got) == len(ROWS)
+    wanted = [(d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, _ in ROWS]
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter(wanted)
     shards = Counter(r.shard for r in got)
     assert set(shards) == set(range(8)) and max(shards.values()) - min(shards.values()) <= 1
     for s, n in shards.items():
@@ -66,11 +65,30 @@ def test_small_sources_are_capped_and_the_rest_reshared():
 
 def test_schedule_is_even(spark, make_docs):
     plan = [mixing.Target("a", 90_000, 1, 60_000.0), mixing.Target("b", 90_000, 2, 30_000.0), mixing.Target("c", 9, 3, 0.0)]
-    slots = mixing.schedule(make_docs([]), plan, 100).orderBy("slot").collect()
+    slots = mixing.schedule(spark, plan, 100).orderBy("slot").collect()
+    assert sorted((r.src, r["rank"]) for r in slots) == [(s, k) for s, n in ((0, 600), (1, 300)) for k in range(n)]
+    assert len({r.slot for r in slots}) == 900
     for at in range(0, 800, 90):
         share = Counter(r.src for r in slots[at : at + 90])
         assert abs(share[0] - 60) <= 3 and share[2] == 0
-    assert Counter(r.src for r in slots)[0] in range(597, 601)
+
+
+def test_every_block_has_one_slot_whatever_the_shares(spark):
+    for tokens in ([5, 1, 1, 1000], [1], [256 * 7, 3, 3, 3, 3, 3, 3, 3, 3, 3], [0, 900, 0], []):
+        plan = [mixing.Target(str(i), 9, 1, float(t)) for i, t in enumerate(tokens)]
+        got = mixing.schedule(spark, plan, 4).orderBy("slot").collect()
+        wanted = [(s, k) for s, t in enumerate(tokens) for k in range(-(-t // 4))]
+        assert sorted((r.src, r["rank"]) for r in got) == wanted
+        # ranks follow slots
+        assert all([r["rank"] for r in got if r.src == s] == list(range(-(-t // 4))) for s, t in enumerate(tokens))
+
+
+def test_the_schedule_decides(make_docs, monkeypatch):
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: whole(*a).limit(0))
+    docs = make_docs(ROWS)
+    assert mixing.mixed(docs).collect() == []
+    assert all(r.taken == 0 and r.first_slot is None for r in mixing.taken_by_document(docs).collect())
 
 
 def test_mixed_documents_come_near_targets(make_docs):

@@ -8,6 +8,7 @@ import pytest
 from brute import encoded
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from test_words import thue_morse
 
 from corpusgauge.llm import token_store as T
 
@@ -35,6 +36,13 @@ def test_encoder_knows_special_tokens_and_forgets(monkeypatch):
         assert ids.tolist() == PLAIN.encode(text, add_special_tokens=False).ids + PLAIN.encode("x y").ids
 
 
+def test_long_patterned_words_keep_their_ids():
+    texts = [f"x {w} y" for n in (1024, 4096) for w in thue_morse(n)]
+    ids, counts = T.Encoder(PATH).encode(pa.array([" ".join(texts), *texts]))
+    want = [PLAIN.encode(t, add_special_tokens=False).ids for t in [" ".join(texts), *texts]]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 60_000), st.integers(0, 9), st.integers(0, 2**32 - 1)), min_size=1, max_size=600))
 def test_block_round_trip(ids):

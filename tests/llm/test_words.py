@@ -41,3 +41,27 @@ def test_chunks_cover_all_rows():
 
 def test_ranges():
     assert W.ranges(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+
+
+def thue_morse(letters: int) -> tuple[str, str]:
+    """A word and its complement, which polynomials modulo 2**64 cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(letters)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_patterned_words_have_hashes_of_their_own():
+    found = [w for n in (512, 1024, 2048, 4096, 8192) for w in thue_morse(n)]
+    column = pa.array([" ".join(found)])
+    assert len(set(W.words_of(column).hashes().tolist())) == len(found)
+    # equal words, at any place of the bytes
+    again = W.words_of(pa.array([f"{'x' * i} {w}" for i, w in enumerate(found, 1)])).hashes()[1::2]
+    assert again.tolist() == W.words_of(column).hashes().tolist()
+    codes = np.frombuffer("".join(found).encode("utf-32-le"), dtype=np.uint32)
+    ends = np.cumsum([len(w) for w in found])
+    spans = W.code_spans_hashed(codes, ends - np.array([len(w) for w in found]), ends)
+    assert len(set(spans.tolist())) == len(found)
+
+
+def test_words_that_differ_in_trailing_zeros():
+    column = pa.array(["a a\x00 a\x00\x00 \x00a \x00 abcdefgh abcdefgh\x00 bcdefgha"])
+    assert len(set(W.words_of(column).hashes().tolist())) == 8
