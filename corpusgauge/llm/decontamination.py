@@ -2,20 +2,24 @@
 
 Greedy string tiling: tokens are the lower-cased words without leading and trailing
 marks.  The seeds of a benchmark item are all its runs of ``MIN_MATCH`` tokens; a
-document that shares a seed with an item is tiled against it.  The longest common run of
+document that shares seeds with an item is tiled against it, if the item's tokens under
+shared seeds, which no tiling exceeds, reach the coverage asked for.  The longest common run of
 unmarked tokens is marked in both, again and again, until none of ``MIN_MATCH`` tokens is
 left; runs are found by running Karp-Rabin hashes of the seed length and extended along
 the diagonal.  The coverage is the share of the item's tokens that are marked, so a
 passage whose sentences were put in another order is still found.  An item is held by a
-document from ``MIN_COVERAGE`` on.
+document from ``MIN_COVERAGE`` on, one of ``SHORT_ITEM`` tokens or fewer from
+``SHORT_COVERAGE`` on, since a common phrase may be half of it.
 
 The benchmark is taken in blocks of bounded size, each sent to the tasks that scan the
 documents, so the seed join needs no shuffle and no document's size or number of hits
 moves between tasks.
 
 Null texts hold nothing and are held by nothing; items of fewer than ``MIN_MATCH`` tokens
-have one seed, all their tokens.  Items without tokens are left out.  Rows of one id are
-rows of their own; repeated items are one.  Empty tables give no rows.
+have one seed, all their tokens; such a phrase is reported, but no document is dropped for
+it.  Items without tokens are left out.  Rows of one id are rows of their own; repeated
+items are one.  Very long texts are tiled whole.  Columns other than the two ids and texts
+are not read, or kept as they are.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.llm.frames import map_batches
-from corpusgauge.llm.words import chunks, spans_of_words, windows_hashed, words_of
+from corpusgauge.llm.words import Words, chunks, ranges, spans_of_words, windows_hashed, words_of
 
 MIN_MATCH, MIN_COVERAGE = 5, 0.5
+#: Items of so few tokens need more of them.
+SHORT_ITEM, SHORT_COVERAGE = 12, 0.8
 #: Bytes of benchmark text in one block, on average.
 BLOCK_BYTES = 16 << 20
 
@@ -47,6 +53,8 @@ class Seeds:
     first: np.ndarray
     hashes: np.ndarray
     item: np.ndarray
+    at: np.ndarray
+    """Place of each seed in its item."""
     short: dict[int, list[int]]
     """Items shorter than a seed by their length."""
 
@@ -71,8 +79,15 @@ def seeds_of(ids: list[int], texts: pa.Array) -> Seeds:
         more_item.append(i)
     every = np.concatenate([found, np.array(more_hash, dtype=np.uint64)])
     item = np.concatenate([words.text[starts], np.array(more_item, dtype=np.int64)])
+    at = np.concatenate([starts - words.first[words.text[starts]], np.zeros(len(more_item), dtype=np.int64)])
     order = np.argsort(every, kind="stable")
-    return Seeds(np.array(ids, dtype=np.int64), hashes, words.first, every[order], item[order], short)
+    return Seeds(np.array(ids, dtype=np.int64), hashes, words.first, every[order], item[order], at[order], short)
+
+
+def least_covered(tokens: np.ndarray) -> np.ndarray:
+    """Tokens that must be covered of items of so many."""
+    share = np.where(tokens <= SHORT_ITEM, SHORT_COVERAGE, MIN_COVERAGE)
+    return np.ceil(share * tokens - 1e-9).astype(np.int64)
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -133,26 +148,50 @@ def _matches(texts: pa.Array, seeds: Seeds) -> Iterator[tuple[int, int, int, int
     """``(text, item, covered tokens, tokens of the item, tiles)`` of all held items."""
     words = words_of(_normal(texts))
     hashes = words.hashes()
-    sizes = [MIN_MATCH, *sorted(seeds.short)]
-    pairs: set[tuple[int, int]] = set()
-    for size in sizes:
-        starts, found = windows_hashed(hashes, words, size)
-        lo = np.searchsorted(seeds.hashes, found, side="left")
-        inside = lo < len(seeds.hashes)
-        inside[inside] = seeds.hashes[lo[inside]] == found[inside]
-        for text, h in set(zip(words.text[starts[inside]].tolist(), found[inside].tolist(), strict=True)):
-            a, b = np.searchsorted(seeds.hashes, np.uint64(h), side="left"), np.searchsorted(seeds.hashes, np.uint64(h), side="right")
-            pairs.update((text, int(i)) for i in seeds.item[a:b])
-    for text, i in sorted(pairs):
+    for text, i in _promising(words, hashes, seeds):
         item = seeds.tokens[seeds.first[i] : seeds.first[i + 1]]
         doc = hashes[words.first[text] : words.first[text + 1]]
         # words the item does not have cannot be in a tile
         found = tiles(doc, item, min(MIN_MATCH, len(item)))
         covered = sum(n for _, _, n in found)
-        if covered >= MIN_COVERAGE * len(item):
+        if covered >= least_covered(np.array(len(item))):
             yield text, i, covered, len(item), len(found)
 
 
+def _promising(words: Words, hashes: np.ndarray, seeds: Seeds) -> list[tuple[int, int]]:
+    """``(text, item)`` in order, where the item's tokens under shared seeds suffice."""
+    texts, items, places, widths = [], [], [], []
+    for size in (MIN_MATCH, *sorted(seeds.short)):
+        starts, found = windows_hashed(hashes, words, size)
+        lo = np.searchsorted(seeds.hashes, found, side="left")
+        inside = lo < len(seeds.hashes)
+        inside[inside] = seeds.hashes[lo[inside]] == found[inside]
+        text, first = words.text[starts[inside]], lo[inside]
+        # a seed that a text has several times counts once
+        text, first = np.unique(np.stack([text, first]), axis=1) if len(text) else (text, first)
+        many = np.searchsorted(seeds.hashes, seeds.hashes[first], side="right") - first
+        seed = ranges(first, many)
+        texts.append(np.repeat(text, many))
+        items.append(seeds.item[seed])
+        places.append(seeds.at[seed])
+        widths.append(np.full(len(seed), size))
+    text, item, place, width = (np.concatenate(x) for x in (texts, items, places, widths))
+    if not len(text):
+        return []
+    order = np.lexsort((place, item, text))
+    text, item, place, width = text[order], item[order], place[order], width[order]
+    last = np.ones(len(text), dtype=bool)
+    last[:-1] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+    # each seed covers its tokens up to the next one of the pair
+    covers = width.copy()
+    covers[:-1] = np.where(last[:-1], width[:-1], np.minimum(width[:-1], place[1:] - place[:-1]))
+    group = np.cumsum(np.concatenate([[0], last[:-1]]))
+    total = np.bincount(group, weights=covers).astype(np.int64)
+    held = item[last]
+    keep = total >= least_covered(seeds.first[held + 1] - seeds.first[held])
+    return list(zip(text[last][keep].tolist(), held[keep].tolist(), strict=True))
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[Broadcast]:
     """The benchmark's seeds, block by block of bounded size, for the tasks to share."""
     items = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL")
@@ -200,7 +239,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for at, texts in chunks(batch.column("text")):
-                    keep[[at + text for text, *_ in _matches(texts, shared.value)]] = False
+                    keep[[at + hit[0] for hit in _matches(texts, shared.value) if hit[3] >= MIN_MATCH]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = map_batches(docs, clean, docs.schema)

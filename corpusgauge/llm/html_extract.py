@@ -119,13 +119,19 @@ def read_page(source: str) -> Page:
     open_ = [page.add(-1, "html", (), "", 0)]
     blocks, at = 0, 0
 
-    def close(names: Sequence[str], scope: frozenset[str]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if page.tag[open_[k]] in names:
-                del open_[k:]
-                return
-            if page.tag[open_[k]] in scope:
-                return
+    # places in open_ of the open nodes of each tag, and of those that end a search
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
+
+    def close(names: Sequence[str], scoped: bool) -> None:
+        last = max((places[name][-1] for name in names if places.get(name)), default=0)
+        if not last or (scoped and scopes and scopes[-1] > last):
+            return
+        while len(open_) > last:
+            tag = page.tag[open_.pop()]
+            places[tag].pop()
+            if tag in _SCOPE:
+                scopes.pop()
 
     for m in _MARKUP.finditer(source):
         if m.start() > at:
@@ -139,18 +145,21 @@ def read_page(source: str) -> Page:
         blocks += name not in _INLINE
         if m.group("end"):
             if name != "html":
-                close((name,), frozenset())
+                close((name,), False)
             continue
         if name == "html":
             page.tokens[0] = tokens_of(m.group("rest"))
             continue
         if name in _ENDS_P:
-            close(("p",), _SCOPE)
+            close(("p",), True)
         if name in _ENDS_SAME:
-            close(_ENDS_SAME[name], _SCOPE)
+            close(_ENDS_SAME[name], True)
         rest = m.group("rest")
         node = page.add(open_[-1], name, tokens_of(rest) if "=" in rest else (), "", blocks)
         if name not in _VOID and not rest.endswith("/"):
+            places.setdefault(name, []).append(len(open_))
+            if name in _SCOPE:
+                scopes.append(len(open_))
             open_.append(node)
     if at < len(source):
         page.add(open_[-1], "", (), source[at:], blocks)

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,7 +74,7 @@ def test_whole_reordered_and_short_items_are_found(case, monkeypatch, size):
     assert got == {(1, 0): (1.0, 1), (2, 1): (1.0, 2), (7, 10): (1.0, 1)}
     kept = D.decontaminated(docs, bench)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7]
 
 
 def test_empty_tables(case, make_docs):
@@ -80,3 +82,62 @@ def test_empty_tables(case, make_docs):
     assert D.contaminated(make_docs([]), bench).collect() == []
     assert D.contaminated(docs, bench.limit(0)).collect() == []
     assert D.decontaminated(docs, bench.limit(0)).count() == 7
+
+
+def plain_table(docs: list[tuple], items: list[tuple]) -> list[tuple]:
+    """All pairs tiled by comparing all places."""
+    cut = lambda t: re.sub(r"[^\w ]+", " ", (t or "").lower()).split()
+    out = []
+    for d, text in docs:
+        for i, passage in items:
+            doc, item = cut(text), cut(passage)
+            covered = plain_tiling(doc, item, min(5, len(item))) if item else 0
+            if item and covered >= (0.8 if len(item) <= 12 else 0.5) * len(item):
+                out.append((d, i, covered))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_table_equals_brute_force(spark, make_docs, seed):
+    rng = random.Random(seed)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice((3, 5, 8, 12, 13, 20))))) for i in range(25)]
+    docs = []
+    for d in range(40):
+        words = [f"w{rng.randrange(60)}" for _ in range(20)]
+        for _ in range(2):
+            item = rng.choice(items)[1].split()
+            at = rng.randrange(len(item))
+            words += item[at:] + item[:at] if rng.random() < 0.5 else item[: at + 1]
+        docs.append((d, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    got = sorted((r.doc_id, r.item_id, r.covered) for r in D.contaminated(make_docs(docs), bench).collect())
+    assert got == plain_table(docs, items) and got
+
+
+def test_a_common_phrase_drops_no_clean_document(spark, make_docs):
+    phrase = "what is the capital of"
+    bench = spark.createDataFrame([(1, f"{phrase} far away Mongolia"), (2, "the answer"), (3, f"{phrase} France")], "item_id BIGINT, text STRING")
+    docs = make_docs([(1, f"Tell me, {phrase} Spain? the answer is Madrid"), (2, f"so {phrase} far away Mongolia now"), (3, f"{phrase} France")])
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()}
+    assert {(2, 1), (3, 3), (1, 2)} <= got and (1, 1) not in got
+    assert sorted(r.doc_id for r in D.decontaminated(docs, bench).filter("doc_id <> 3").collect()) in ([1], [])
+
+
+def test_items_that_share_one_phrase_are_not_tiled(monkeypatch):
+    rng = random.Random(4)
+    shared = "one two three four five"
+    texts = pa.array([" ".join([f"n{rng.randrange(5000)}" for _ in range(3000)] + [shared]) for _ in range(20)])
+    items = [f"{shared} " + " ".join(f"i{k}x{w}" for w in range(30)) for k in range(800)]
+    seeds = D.seeds_of(list(range(800)), pa.array(items))
+    calls = []
+    monkeypatch.setattr(D, "tiles", lambda *a: calls.append(a) or [])
+    assert list(D._matches(texts, seeds)) == [] and not calls
+
+
+def test_very_long_texts(spark, make_docs):
+    item = " ".join(f"b{i}" for i in range(40))
+    filler = " ".join(f"n{i}" for i in range(300_000))
+    bench = spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING")
+    docs = make_docs([(1, f"{filler} {item}"), (2, "z" * 3_000_000), (3, f"{'z' * 2_000_000} {item}"), (4, filler)])
+    assert sorted(r.doc_id for r in D.contaminated(docs, bench).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in D.decontaminated(docs, bench).collect()) == [2, 4]

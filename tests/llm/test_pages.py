@@ -102,6 +102,18 @@ def test_broken_markup_is_read_leniently():
     assert H.kept_text(page_, [True] * len(page_.parent)) == "a"
 
 
+def test_unclosed_and_stray_tags_take_linear_time():
+    import time
+
+    for source in ("<div>" * 40_000 + "</b>" * 40_000, "<p><select>" + "<b>" * 40_000 + "<div>" * 40_000, "<li><b>" * 40_000):
+        start = time.time()
+        read = H.read_page(source)
+        assert len(read.parent) > 40_000 and time.time() - start < 5
+    read = H.read_page("<ul><li>a<ul><li>b</ul><li>c</ul><table><tr><td>x<td>y<tr><td>z</table>")
+    assert [t for t in read.tag if t] == ["html", "ul", "li", "ul", "li", "li", "table", "tr", "td", "td", "tr", "td"]
+    assert [read.tag[p] for p in read.parent[1:]] == ["html", "ul", "li", "li", "ul", "li", "ul", "li", "html", "table", "tr", "td", "tr", "td", "tr", "tr", "td"]
+
+
 def test_decoding_never_keeps_a_child_without_its_parents():
     import numpy as np
 
