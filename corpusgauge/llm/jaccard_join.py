@@ -53,7 +53,7 @@ SHINGLE, PERCENT = 5, 75
 #: Nodes of a tile compared at once in one task.
 BLOCK = 256
 #: Bits of a bitmap for each token: those that tiles are compared by, and of a first look.
-WIDE, NARROW = 4, 1
+WIDE, NARROW = 2, 1
 #: How many forests more a tile sends in each round.
 MORE_FORESTS = 4
 #: Documents sampled to find frequent tokens, on average at most, and tokens noted.
@@ -271,9 +271,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray, nodes: Data
 
 
 def _tile_rows(tiles: DataFrame) -> DataFrame:
-    """The rows of each group of nodes to compare: ``tile, side, later, node, root, at, n, bitmap``.
+    """The rows of each group of nodes to compare: ``tile, side, later, node, root, at, n``.
 
-    ``tiles`` has ``token, node, root, place, n, bitmap``.  A group is a size band of a tile
+    ``tiles`` has ``token, node, root, place, n``.  A group is a size band of a tile
     with the next one, whose rows are ``later``; a large one is cut into blocks by node
     hash, and each pair of blocks is a group.
     """
@@ -298,11 +298,10 @@ def _tile_rows(tiles: DataFrame) -> DataFrame:
         "root",
         F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("at"),
         "n",
-        "bitmap",
     )
 
 
-def _tile_pairs(rows: DataFrame, failed: DataFrame | None, forests: int) -> DataFrame:
+def _tile_pairs(rows: DataFrame, maps: DataFrame, failed: DataFrame | None, forests: int) -> DataFrame:
     """``tile, a, b``: pairs of different components that pass size, place and bitmap bounds.
 
     Of these each tile sends ``forests`` forests over its components.  Pairs ``failed``
@@ -316,6 +315,8 @@ def _tile_pairs(rows: DataFrame, failed: DataFrame | None, forests: int) -> Data
         partners = failed.groupBy(F.col("a").alias("f")).agg(F.collect_set("b").alias("partners"))
         rows = rows.join(partners, F.col("node") == F.col("f"), "left")
         rows = rows.withColumn("failed", F.coalesce("partners", none)).drop("f", "partners")
+    # bitmaps are the widest column, so they come last
+    rows = rows.join(maps.select(F.col("node").alias("m_"), "bitmap"), F.col("node") == F.col("m_")).drop("m_")
     ordered = rows.repartition("tile").sortWithinPartitions("tile", "n", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,10 +442,10 @@ def linked_nodes(docs: DataFrame, frequent: np.ndarray, nodes: DataFrame) -> Dat
         rooted = rooted.select("token", "node", "place", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         left = rooted.join(mixed.filter("lo <> hi").select("t"), F.col("token") == F.col("t")).drop("t")
-        rows = _tile_rows(left.join(maps.drop("narrow"), "node"))
+        rows = _tile_rows(left.join(maps.select("node", "n"), "node"))
         if open_ is not None:
             rows = rows.join(open_, "tile", "left_semi")
-        sent = stored(_tile_pairs(rows, failed, forests), "pairs")
+        sent = stored(_tile_pairs(rows, maps, failed, forests), "pairs")
         if sent.isEmpty():
             break
         found = _linked(sent.select("a", "b").distinct(), docs, frequent, nodes)
