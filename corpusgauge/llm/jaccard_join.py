@@ -6,7 +6,7 @@ Two documents are linked when the Jaccard similarity of their shingle sets is at
 1. *Tiles.*  A linked pair shares a token among the first ``n - ceil(0.75 n) + 1`` of
    each set in a common token order, so the nodes that share such a token make a tile.
    Rare tokens come first in the order: tokens that are frequent in a sample of the
-   documents are put last.  The sample steers only the order, never the result.
+   documents, one of ``SAMPLE_EVERY``, are put last.  The sample steers only the order, never the result.
 2. *Links to a few nodes* of each tile are checked, and joined to components: the least
    and the greatest node, in two orders of the digests.  That makes most groups of near
    copies one component, however many there are.
@@ -56,9 +56,9 @@ BLOCK = 256
 WIDE, NARROW = 2, 1
 #: How many forests more a tile sends in each round.
 MORE_FORESTS = 4
-#: Documents sampled to find frequent tokens, on average at most, and tokens noted.
-SAMPLE_DOCS, FREQUENT_TOKENS, FREQUENT_FROM = 8_000, 100_000, 4
-#: Bits of the filter that tells a scan which nodes are wanted (4 MB).
+#: One document of so many is sampled to find frequent tokens; how often these stand there.
+SAMPLE_EVERY, FREQUENT_FROM = 8, 4
+#: Bits of the filters that tell a scan which texts are wanted, and tokens frequent (4 MB).
 FILTER_BITS = 1 << 25
 
 _TOP = np.uint64(1 << 63)
@@ -67,7 +67,7 @@ STARS = ("lo", "hi", "lo2", "hi2")
 _OTHER_ORDER = 0x2D51C6A7F3098B4E
 
 
-def shingle_sets(column: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.Array, frequent: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct tokens of all texts, and how many each text has.
 
     A token is the hash of five words (or of all words of a shorter text) without its
@@ -82,8 +82,7 @@ def shingle_sets(column: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, np
     whole = spans_of_words(hashes, words.first[short], words.first[short + 1])
     tokens, text = np.concatenate([grams, whole]) >> np.uint64(1), np.concatenate([text, short])
     if len(frequent) and len(tokens):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        tokens = np.where(frequent[at] == tokens, tokens | _TOP, tokens)
+        tokens = np.where(frames.maybe_members(frequent, tokens), tokens | _TOP, tokens)
     order = np.lexsort((tokens, text))
     tokens, text = tokens[order], text[order]
     new = np.ones(len(tokens), dtype=bool)
@@ -127,7 +126,7 @@ def needed(n: int, m: int) -> int:
 
 
 def _scan(
-    docs: DataFrame, frequent: np.ndarray, what: str, wanted: bytes = b"", tag: str | None = None
+    docs: DataFrame, frequent: bytes, what: str, wanted: bytes = b"", tag: str | None = None
 ) -> DataFrame:
     """One pass over the texts, giving for each document what ``what`` names.
 
@@ -199,22 +198,21 @@ def _scan(
     return frames.map_batches(docs.select(*columns), scan, schema)
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Sorted tokens that are frequent in a sample; at most ``FREQUENT_TOKENS`` (0.8 MB)."""
-    n = docs.count()
-    every = max(4, -(-n // SAMPLE_DOCS))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+def frequent_tokens(docs: DataFrame) -> bytes:
+    """A filter over the tokens that are frequent in a sample of ``docs``.
+
+    Tokens it holds by chance come last in the order, too, in all documents alike.
+    """
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_EVERY)) == 0)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in chunks(batch.column("text")):
-                found, _ = shingle_sets(texts, np.zeros(0, dtype=np.uint64))
+                found, _ = shingle_sets(texts, b"")
                 yield pa.record_batch([pa.array(found.view(np.int64))], names=["token"])
 
     counted = frames.map_batches(sample.select("text"), tokens, "token BIGINT").groupBy("token").count()
-    often = counted.filter(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS)
-    found = [r["token"] for r in often.select("token").collect()]
-    return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
+    return frames.membership_bits(counted.filter(F.col("count") >= FREQUENT_FROM), "token", FILTER_BITS)
 
 
 def _both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
@@ -248,7 +246,7 @@ def _texts_of(wanted: DataFrame, nodes: DataFrame) -> bytes:
     return frames.membership_bits(nodes.join(named, F.col("node") == F.col("w"), "left_semi").select("t"), "t", FILTER_BITS)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray, nodes: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, frequent: bytes, nodes: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are linked, by intersecting their sorted arrays.
 
     The arrays of the nodes in question are taken from their texts in one more scan.
@@ -271,7 +269,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray, nodes: Data
 
 
 def _tile_rows(tiles: DataFrame) -> DataFrame:
-    """The rows of each group of nodes to compare: ``tile, side, later, node, root, at, n``.
+    """The rows of each group of nodes to compare: ``tile, token, side, later, node, root, at, n``.
 
     ``tiles`` has ``token, node, root, place, n``.  A group is a size band of a tile
     with the next one, whose rows are ``later``; a large one is cut into blocks by node
@@ -279,12 +277,20 @@ def _tile_rows(tiles: DataFrame) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
     rows = tiles.withColumn("band", band)
-    held = rows.groupBy(F.col("token").alias("t"), "band").agg(F.count(F.lit(1)).alias("n"))
+    held = rows.groupBy(F.col("token").alias("t"), "band").agg(
+        F.count(F.lit(1)).alias("n"), F.max("place").alias("near"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    )
     # an entry for each band, of which there are as many as powers of 4/3
-    held = held.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("held"))
-    count = lambda b: F.coalesce(F.try_element_at("held", b), F.lit(0))
-    total = lambda b: count(b) + count(b + 1)
-    groups = F.filter(F.array("band", F.col("band") - 1), lambda g: (count(g) > 0) & (total(g) > 1))
+    held = held.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("n", "near", "lo", "hi")))).alias("held"))
+    of = lambda b: F.try_element_at("held", b)
+    total = lambda b: F.coalesce(of(b)["n"], F.lit(0)) + F.coalesce(of(b + 1)["n"], F.lit(0))
+    # rows of its own band, a member whose place counts for the smaller set, two components
+    worth = lambda g: (
+        of(g).isNotNull()
+        & (F.greatest(of(g)["near"], of(g + 1)["near"]) >= 0)
+        & (F.least(of(g)["lo"], of(g + 1)["lo"]) < F.greatest(of(g)["hi"], of(g + 1)["hi"]))
+    )
+    groups = F.filter(F.array("band", F.col("band") - 1), worth)
     rows = rows.join(held, F.col("token") == F.col("t")).withColumn("group", F.explode(groups))
     blocks = F.ceil(total(F.col("group")) / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -294,6 +300,7 @@ def _tile_rows(tiles: DataFrame) -> DataFrame:
         # rows of the lesser block are 0, of the greater 1, of a block with itself 2
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
         (F.col("group") != F.col("band")).alias("later"),
+        "token",
         "node",
         "root",
         F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("at"),
@@ -302,7 +309,7 @@ def _tile_rows(tiles: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(rows: DataFrame, maps: DataFrame, failed: DataFrame | None, forests: int) -> DataFrame:
-    """``tile, a, b``: pairs of different components that pass size, place and bitmap bounds.
+    """``tile, token, a, b``: pairs of components that pass size, place and bitmap bounds.
 
     Of these each tile sends ``forests`` forests over its components.  Pairs ``failed``
     are passed over.
@@ -332,7 +339,7 @@ def _tile_pairs(rows: DataFrame, maps: DataFrame, failed: DataFrame | None, fore
         if held is not None:
             yield _compared(held, forests)
 
-    return frames.map_batches(ordered, compare, "tile BIGINT, a BIGINT, b BIGINT")
+    return frames.map_batches(ordered, compare, "tile BIGINT, token BIGINT, a BIGINT, b BIGINT")
 
 
 def _compared(rows: pa.Table, forests: int) -> pa.RecordBatch:
@@ -372,9 +379,10 @@ def _compared(rows: pa.Table, forests: int) -> pa.RecordBatch:
             # the failed partners of a pair's lesser node are its greater ones
             passed.append((int(tile[i]), -bound / (int(n[i]) + int(n[j])), int(a[k]), int(b[k])))
     root_of = dict(zip(node.tolist(), root.tolist(), strict=True))
-    sent = list(_forests(sorted(passed), root_of, forests))
+    token_of = dict(zip(tile.tolist(), rows.column("token").to_pylist(), strict=True))
+    sent = [(t, token_of[t], u, v) for t, u, v in _forests(sorted(passed), root_of, forests)]
     return pa.record_batch(
-        [pa.array([p[k] for p in sent], pa.int64()) for k in range(3)], names=["tile", "a", "b"]
+        [pa.array([p[k] for p in sent], pa.int64()) for k in range(4)], names=["tile", "token", "a", "b"]
     )
 
 
@@ -404,7 +412,7 @@ def _top(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def tile_entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def tile_entries(docs: DataFrame, frequent: bytes) -> DataFrame:
     """``token, node, place`` of the tiles of two nodes and more, and their ``STARS``."""
     # a node's prefix once, however many documents have the set
     tiles = _scan(docs, frequent, "tiles").dropDuplicates(["node"])
@@ -426,7 +434,7 @@ def tile_entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return entries.join(shared, F.col("token") == F.col("t")).drop("t")
 
 
-def linked_nodes(docs: DataFrame, frequent: np.ndarray, nodes: DataFrame) -> DataFrame:
+def linked_nodes(docs: DataFrame, frequent: bytes, nodes: DataFrame) -> DataFrame:
     """``node, root`` of every node that has a link; ``nodes`` are those of all documents."""
     tiles = stored(tile_entries(docs, frequent), "tiles")
     wanted = _texts_of(tiles, nodes)
@@ -454,6 +462,7 @@ def linked_nodes(docs: DataFrame, frequent: np.ndarray, nodes: DataFrame) -> Dat
         if wrong.isEmpty():
             return components(links)
         open_ = wrong.select("tile").distinct()
+        tiles = stored(tiles.join(wrong.select("token").distinct(), "token", "left_semi"), "tiles")
         wrong = wrong.select("a", "b").distinct()
         failed = wrong if failed is None else failed.unionByName(wrong)
         forests *= MORE_FORESTS

@@ -82,14 +82,14 @@ def test_components_of_long_chains_and_stars(spark):
 
 def test_prefix_and_near_part(make_docs):
     words = [f"w{i}" for i in range(104)]
-    tiles = J._scan(make_docs([(1, " ".join(words)), (2, "a b c d e f")]), np.zeros(0, np.uint64), "tiles")
+    tiles = J._scan(make_docs([(1, " ".join(words)), (2, "a b c d e f")]), b"", "tiles")
     got = sorted((r.near, len(r.tokens)) for r in tiles.collect())
     assert got == [(1, 1), (15, 26)]  # of 2 and of 100 shingles
 
 
 def test_tokens_are_combined_before_their_shuffle(make_docs):
     text = " ".join(f"w{i}" for i in range(100))
-    tiles = J.tile_entries(make_docs([(1, text), (2, text + " more")]), np.zeros(0, np.uint64))
+    tiles = J.tile_entries(make_docs([(1, text), (2, text + " more")]), b"")
     assert tiles.count() > 0
     plan = tiles._jdf.queryExecution().executedPlan().toString()
     assert "partial_min(node" in plan and "REPARTITION" not in plan
