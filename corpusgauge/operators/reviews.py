@@ -18,7 +18,7 @@ from corpusgauge.operators.agents import (
     default_summary,
     review_tasks,
 )
-from corpusgauge.operators.diffs import file_diffs, file_diffs_of, rebuilt_text, stats_of
+from corpusgauge.operators.diffs import file_diffs, file_diffs_of, line_totals, rebuilt_text
 from corpusgauge.operators.replies import COMMENT, comments, parsed_replies
 
 # Wording of review texts.
@@ -106,7 +106,7 @@ def reviewed_diffs(
     slim = diffs.select(
         "diff_id",
         is_blank(F.col("raw")).alias("is_blank"),
-        stats_of(file_diffs_of(F.col("raw"))).alias("stats"),
+        line_totals(F.col("raw")).alias("stats"),
     )
     entries = F.array(
         *[
@@ -344,7 +344,7 @@ def file_contexts(diffs: DataFrame, files: DataFrame) -> DataFrame:
     AQE on the diff side of the left join.  A block holds the files of one diff, so
     its length is bounded by what that one row lists.
     """
-    touched = file_diffs(diffs).select("repo_id", "diff_id", "file_idx", "path").filter(
+    touched = file_diffs(diffs, with_hunks=False).select("repo_id", "diff_id", "file_idx", "path").filter(
         F.col("path").isNotNull()
     )
     block = F.concat(F.lit("### "), "path", F.lit("\n```\n"), "content", F.lit("\n```\n"))

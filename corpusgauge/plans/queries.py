@@ -327,19 +327,19 @@ def entry_points(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def diff_files(spark: SparkSession, sf: str) -> DataFrame:
-    return D.file_diffs(B.diffs(spark, sf)).select(
+    return D.file_diffs(B.diffs(spark, sf), with_hunks=False).select(
         "diff_id", "file_idx", "path", "old_path", "parse_error"
     )
 
 
 @query
 def change_types(spark: SparkSession, sf: str) -> DataFrame:
-    return D.file_diffs(B.diffs(spark, sf)).select("diff_id", "file_idx", "change_type", "is_binary")
+    return D.file_diffs(B.diffs(spark, sf), with_hunks=False).select("diff_id", "file_idx", "change_type", "is_binary")
 
 
 @query
 def file_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return D.file_diffs(B.diffs(spark, sf)).select("diff_id", "file_idx", "additions", "deletions")
+    return D.file_diffs(B.diffs(spark, sf), with_hunks=False).select("diff_id", "file_idx", "additions", "deletions")
 
 
 @query

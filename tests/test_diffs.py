@@ -117,6 +117,28 @@ def test_rebuilt_text(make_diffs):
     )
 
 
+def test_counts_agree_with_the_hunks(make_diffs):
+    """Lines that only look like a header, stripped first lines and signs outside of hunks."""
+    head = "diff --git a/a b/a\n"
+    raws = [
+        head + "+outside\n@@ -1 +1 @@\n+in\n-in",
+        head + "@@ -bad @@\n+no\n@@ -1 +1 @@\n+yes",
+        head + "@@ -1 +1 @@\n+a\n@@ -x @@\n+b\n@@ -2 +2 @@\n\n \t -c\n+d",
+        head + "@@ -1 +1 @@\n   +++ three\n+++ more\n--- minus\n-",
+        head + "@@ -1 +1 @@",
+        head + "@@ -1,99999999999 +1 @@\n+x",
+        "\n " + head + "@@ -1 +1 @@ +x\n+y",
+    ]
+    rows = D.file_diffs(make_diffs(*raws)).orderBy("diff_id").collect()
+    wanted = [by_hand(raw)[0] for raw in raws[:6]]
+    assert [(r.additions, r.deletions, [h.content for h in r.hunks]) for r in rows[:6]] == [w[3:] for w in wanted]
+    stats = D.diff_stats(make_diffs(*raws)).orderBy("diff_id").collect()
+    assert [(s.total_additions, s.total_deletions) for s in stats] == [(r.additions, r.deletions) for r in rows]
+    narrow = D.file_diffs(make_diffs(*raws), with_hunks=False)
+    assert "hunks" not in narrow.columns
+    assert [(r.additions, r.deletions) for r in narrow.orderBy("diff_id").collect()] == [(r.additions, r.deletions) for r in rows]
+
+
 def test_a_diff_with_very_many_files(make_diffs):
     raw = "".join(f"diff --git a/f{i} b/f{i}\n@@ -1 +1 @@\n-a\n+b\n" for i in range(3000))
     row = D.diff_stats(make_diffs(raw)).collect()[0]
