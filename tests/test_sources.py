@@ -3,12 +3,15 @@ from __future__ import annotations
 import json
 import os
 
+import pytest
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import functions as F
 
 from corpusgauge.operators import quality as Q
 from corpusgauge.operators import repo as RE
 from corpusgauge.operators import reports as M
 from corpusgauge.plans import jobs
+from corpusgauge.sources import files as SF
 from corpusgauge.sources.files import decoded, decoded_for_explain, read_files_table, scan_files
 from corpusgauge.sources.sinks import write_json, write_markdown, write_report_lines
 
@@ -61,6 +64,29 @@ def test_scan_finds_what_a_walk_finds(spark, tmp_path):
         assert [r.path for r in one] == [name.rpartition("/")[2]]
 
 
+@pytest.mark.parametrize("entries", [20_000, 3])
+def test_deep_and_broad_trees_are_listed_in_rounds(spark, tmp_path, monkeypatch, entries):
+    monkeypatch.setattr(SF, "LIST_ENTRIES", entries)
+    monkeypatch.setattr(SF, "BATCH_ENTRIES", 7)
+    chain = "/".join(["d"] * (60 if entries > 3 else 12))
+    names = [f"{chain}/deep.py", *[f"flat/f{i}.py" for i in range(50)]]
+    names += [f"wide/{i}/{j}/x.py" for i in range(5) for j in range(4)]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "wide/empty/er").mkdir(parents=True)
+    found = scan_files(spark, str(tmp_path), "r").collect()
+    assert {r.path: bytes(r.content).decode() for r in found} == {n: n for n in names} and len(found) == len(names)
+    assert scan_files(spark, str(tmp_path / "wide/empty"), "r").collect() == []
+
+
+def test_a_folder_of_very_many_files(spark, tmp_path):
+    for i in range(20_000):
+        (tmp_path / f"f{i}.txt").touch()
+    listed = SF.listed_files(spark, LocalFileSystem(), str(tmp_path))
+    assert listed.count() == 20_000 and listed.select("full").distinct().count() == 20_000
+
+
 def test_jobs_over_a_scan(spark, tmp_path):
     for name in ODD:
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
