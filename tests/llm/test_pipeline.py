@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not SF.exists(), reason="fixture tables are not
 
 def test_all_are_registered():
     numbers = {int(m[1]) for n in LLM_QUERIES if (m := re.match(r"op(\d+)_", n))}
-    assert numbers == set(range(1, 11)) and "pipeline" in LLM_QUERIES
+    assert numbers == set(range(1, 14)) and "pipeline" in LLM_QUERIES
     assert set(LLM_QUERIES) <= set(registry.queries()) and set(LLM_ORACLES) <= set(registry.oracle_sql())
 
 
