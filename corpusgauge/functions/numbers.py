@@ -29,6 +29,15 @@ def one_decimal(value: Column) -> Column:
     )
 
 
+def kilobytes(size_bytes: Column) -> Column:
+    """``f"{size_bytes / 1024:.1f}"``, for any size, ties to even."""
+    tenths = size_bytes.cast("bigint") * 10
+    whole, rest = F.shiftright(tenths, 10), tenths.bitwiseAND(F.lit(1023).cast("bigint"))
+    up = (rest > 512) | ((rest == 512) & (whole % 2 == 1))
+    rounded = whole + up.cast("bigint")
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def grouped(value: Column) -> Column:
     """``f"{value:,}"`` for whole numbers."""
     return F.format_number(value.cast("bigint"), 0)

@@ -62,6 +62,36 @@ def select_agents(
     return [by_name[name] for name in dict.fromkeys(name.lower() for name in names)]
 
 
+def with_reviewers(
+    diffs: DataFrame, settings: DataFrame, base: Sequence[str] = DEFAULT_AGENTS
+) -> DataFrame:
+    """``diffs`` with ``reviewers``: names of those that review them, each once, in lower case.
+
+    The ``review`` section of a repository in ``settings(repo_id, review STRUCT<default_agents>)``
+    counts as a whole, and ``base`` where it has none; a section that names nobody stands
+    for ``DEFAULT_AGENTS``.  Catalyst decides how the settings are joined.
+    """
+    listed = lambda names: F.array(*[F.lit(name.lower()) for name in dict.fromkeys(names)])
+    named = F.filter("review.default_agents", lambda name: name.isNotNull())
+    lowered = F.array_distinct(F.transform(named, F.lower))
+    own = settings.filter("review IS NOT NULL").select(
+        "repo_id", F.when(F.size(lowered) > 0, lowered).otherwise(listed(DEFAULT_AGENTS)).alias("reviewers")
+    )
+    base_names = F.array_distinct(listed(base or DEFAULT_AGENTS))
+    return (
+        diffs.drop("reviewers")
+        .join(own, "repo_id", "left")
+        .withColumn("reviewers", F.coalesce("reviewers", base_names))
+    )
+
+
+def unknown_reviewer(name: Column, known: Sequence[Agent]) -> Column:
+    """Why the named reviewer cannot review; NULL for a known one."""
+    names = [agent.name for agent in known]
+    text = F.concat(F.lit("unknown reviewer: "), name, F.lit("; known: " + ", ".join(sorted(names))))
+    return F.when(~name.isin(*names), text)
+
+
 def agent_row(agent: Agent) -> Column:
     """The reviewer as a literal struct, for expressions that serve every reviewer."""
     return F.struct(*[F.lit(value).alias(field) for field, value in asdict(agent).items()])
@@ -87,8 +117,16 @@ def default_summary(agent: Column, errors: Column, warnings: Column, infos: Colu
 def review_tasks(diffs: DataFrame, agents: Sequence[Agent]) -> DataFrame:
     """One row per diff with something to review and per reviewer.
 
-    The reviewers are a literal array that each diff explodes, not a join.
+    The reviewers are a literal array that each diff explodes, not a join.  Where ``diffs``
+    has ``reviewers`` (see ``with_reviewers``), those of the diff take its place, and
+    ``error`` tells which of them are not among ``agents``.
     """
+    if "reviewers" in diffs.columns:
+        return (
+            diffs.filter(~is_blank(F.col("raw")))
+            .select("*", F.posexplode("reviewers").alias("agent_idx", "agent"))
+            .withColumn("error", unknown_reviewer(F.col("agent"), agents))
+        )
     listed = F.array(*[F.lit(agent.name) for agent in agents])
     return diffs.filter(~is_blank(F.col("raw"))).select(
         "*", F.posexplode(listed).alias("agent_idx", "agent")

@@ -15,6 +15,7 @@ from corpusgauge.functions.text import split_lines, universal_newlines
 from corpusgauge.operators.files import by_size, rejection_message
 from corpusgauge.operators.quality import MAX_FILE_SIZE_KB
 from corpusgauge.operators.replies import key_elements_of, purpose_of
+from corpusgauge.session import stored
 
 Complete = Callable[[str], str]
 
@@ -53,6 +54,33 @@ def complete_batch(
     return prompts.mapInPandas(answer, schema)
 
 
+def complete_logged(
+    prompts: DataFrame, make_client: Callable[[], Complete], log: str, slices: int = 16
+) -> DataFrame:
+    """``complete_batch`` with a log of replies, so that a job begun anew asks only what is open.
+
+    ``log`` is a folder that driver and executors share.  Its rows ``prompt_key, response,
+    error`` are known by the SHA-256 of the prompt, so equal prompts are asked once.  The
+    open prompts are asked in ``slices`` jobs, by hash, each of which adds its replies to
+    the log when it is done: a killed run loses one slice at most.  Failed calls are in
+    the log, too, and are asked again by the next run.
+    """
+    spark = prompts.sparkSession
+    schema = "prompt_key STRING, response STRING, error STRING"
+    spark.createDataFrame([], schema).write.mode("append").parquet(log)
+    keyed = stored(prompts.withColumn("prompt_key", F.sha2(F.col("prompt").cast("binary"), 256)), "prompts")
+    for part in range(slices):
+        here = F.pmod(F.xxhash64("prompt_key"), F.lit(slices)) == part
+        done = spark.read.schema(schema).parquet(log).filter(here & F.col("error").isNull()).select("prompt_key")
+        due = keyed.filter(here).select("prompt_key", "prompt").join(done, "prompt_key", "left_anti")
+        complete_batch(due.dropDuplicates(["prompt_key"]), make_client).write.mode("append").parquet(log)
+    # an answer before a failure; a prompt asked in several runs has a row of each
+    rank = F.struct(F.col("error").isNull().alias("ok"), "response", "error")
+    best = spark.read.schema(schema).parquet(log).groupBy("prompt_key").agg(F.max(rank).alias("best"))
+    named = keyed.drop("prompt").join(best, "prompt_key", "left")
+    return named.select(*[c for c in prompts.columns if c != "prompt"], "best.response", "best.error")
+
+
 def explained_files(files: DataFrame, max_kb: int = MAX_FILE_SIZE_KB) -> DataFrame:
     """Language, line count and text of the files small enough to explain."""
     accepted, _ = by_size(files, max_kb)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import languages, paths
+from corpusgauge.functions.numbers import kilobytes
 from corpusgauge.functions.text import iterated_lines, split_lines, universal_newlines
 from corpusgauge.operators.quality import MAX_FILE_SIZE_KB, within_cap
 
@@ -71,7 +72,7 @@ def by_size(files: DataFrame, max_kb: int = MAX_FILE_SIZE_KB) -> tuple[DataFrame
 
 
 def rejection_message(size_bytes: Column, max_kb: int = MAX_FILE_SIZE_KB) -> Column:
-    return F.format_string(f"file size %.1fKB is over the limit of {max_kb}KB", size_bytes / 1024)
+    return F.concat(F.lit("file size "), kilobytes(size_bytes), F.lit(f"KB is over the limit of {max_kb}KB"))
 
 
 def resolve_settings(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.regex import java_regex
@@ -36,18 +36,55 @@ def located_json(response: Column) -> Column:
     return F.coalesce(fenced, F.when(starts, bare))
 
 
+#: The greatest double stands for NaN, which no JSON number does; "1e999" reads as infinity.
+NAN_MARK, NAN_TEXT = "1.7976931348623157e308", "1.7976931348623157E308"
+# possessive, so that a long string is no deep recursion
+_PIECES = java_regex(r'"(?:[^"\\]|\\[\s\S])*+"|[^"]+|"')
+_ALONE = r"(?<![\w.+-]){}(?![\w.+-])"
+
+
+def finite(json: Column) -> Column:
+    """``json`` with ``NaN``, ``Infinity`` and ``-Infinity`` outside of strings as numbers.
+
+    A text without these words is not touched.
+    """
+
+    def numbers(piece: Column) -> Column:
+        for word, number in (("NaN", NAN_MARK), ("-Infinity", "-1e999"), ("Infinity", "1e999")):
+            piece = F.regexp_replace(piece, _ALONE.format(word), number)
+        return piece
+
+    pieces = F.regexp_extract_all(json, F.lit(_PIECES), F.lit(0))
+    mended = F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(numbers(p)))
+    return F.when(json.rlike("NaN|Infinity"), F.array_join(mended, "")).otherwise(json)
+
+
 def strict_variant(json: Column) -> Column:
     """The parsed value, or NULL when the text is not exactly one JSON value.
 
+    As in Python's reader, ``NaN`` and infinities are numbers (see ``finite``); of a repeated
+    key the last counts, if the session allows such keys (see ``accept_repeated_keys``).
     The parser stops after the first value and ignores what follows.  A text with a
     tail cannot be valid both as an array element and as an object field, so both
     wrappings have to parse.
     """
+    json = finite(json)
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), json, F.lit("}")))
     as_element = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]")))
     return F.when(as_element.isNotNull(), F.variant_get(as_field, "$.v", "variant"))
 
 
+def accept_repeated_keys(spark: SparkSession) -> None:
+    """Let the session's JSON reader take the last of a repeated key, instead of an error."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def _text_at(value: Column, path: str) -> Column:
+    """The value at ``path`` as text; NULL for none, an explicit null, a list or an object."""
+    found = F.try_variant_get(value, path, "string")
+    return F.when(found == NAN_TEXT, "NaN").otherwise(found)
+
+
 def _python_type(value: Column) -> Column:
     """Python's name for the type of a JSON value, as its error texts use it."""
     return let(
@@ -83,7 +120,7 @@ def _item_error(item: Column) -> Column:
 
 def _field(item: Column, name: str, default: str | None) -> Column:
     """String field: the default when missing, NULL when it is an explicit null."""
-    value = F.try_variant_get(item, f"$.{name}", "string")
+    value = _text_at(item, f"$.{name}")
     if default is None:
         return value
     missing = F.variant_get(item, f"$.{name}", "variant").isNull()
@@ -129,8 +166,9 @@ def parsed_replies(responses: DataFrame, *more: Column | str) -> DataFrame:
     ``more`` are further columns of ``responses`` to carry along.
 
     Everything happens in the row: no shuffle, and a reply never has to be put
-    together again from exploded comments.
+    together again from exploded comments.  The session is set to accept repeated keys.
     """
+    accept_repeated_keys(responses.sparkSession)
     data = F.col("data")
     # the text is known to be valid JSON here, so its first character tells the shape
     shape = (
@@ -176,7 +214,7 @@ def parsed_replies(responses: DataFrame, *more: Column | str) -> DataFrame:
 
     own_summary = F.when(
         (F.col("shape") == "dict") & F.variant_get(data, "$.summary", "variant").isNotNull(),
-        F.coalesce(F.try_variant_get(data, "$.summary", "string"), F.lit("")),
+        F.coalesce(_text_at(data, "$.summary"), F.lit("")),
     ).otherwise(text_summary(F.col("response")))
     return (
         responses.withColumn("json", located_json(F.col("response")))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.functions.membership import key_bitmap, maybe_among
 from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.templates import fill
 from corpusgauge.functions.text import is_blank, strip
@@ -17,6 +18,7 @@ from corpusgauge.operators.agents import (
     agent_row,
     default_summary,
     review_tasks,
+    unknown_reviewer,
 )
 from corpusgauge.operators.diffs import file_diffs, file_diffs_of, line_totals, rebuilt_text
 from corpusgauge.operators.replies import COMMENT, comments, parsed_replies
@@ -46,7 +48,8 @@ def _no_comments() -> Column:
 def _review_of(entry: Column, fields: Sequence[str]) -> Column:
     """One reviewer's result, whether it answered, failed or broke on its own reply.
 
-    ``entry`` holds the reviewer (``agent``) and its parsed reply (``reply``, maybe NULL).
+    ``entry`` holds the reviewer (``agent``), its parsed reply (``reply``, maybe NULL) and why
+    there can be none (``refused``).
     """
     agent, reply = entry["agent"], entry["reply"]
     answered = ~F.coalesce(reply["failed"], F.lit(True))
@@ -56,7 +59,7 @@ def _review_of(entry: Column, fields: Sequence[str]) -> Column:
         out.append(F.when(answered, reply["comments"]).otherwise(_no_comments()).alias("comments"))
     out += [F.when(answered, reply[f]).otherwise(zero).alias(f) for f in _COUNTS]
     if "own_summary" in fields:
-        call_error = F.when(reply.isNull(), NO_RESPONSE).otherwise(reply["error"])
+        call_error = F.when(reply.isNull(), F.coalesce(entry["refused"], F.lit(NO_RESPONSE))).otherwise(reply["error"])
         summary = (
             F.when(call_error.isNotNull(), F.concat(F.lit(CALL_FAILED), call_error))
             .when(reply["failure"].isNotNull(), F.concat(F.lit(REVIEW_FAILED), reply["failure"]))
@@ -89,6 +92,9 @@ def reviewed_diffs(
     Of several replies of one reviewer to one diff the one of the greatest ``attempt``
     counts, if ``responses`` has that column; then one without an error before one
     with, then the greater by its text, so that every run takes the same.
+
+    Where ``diffs`` has ``reviewers`` (see ``with_reviewers``), each diff is reviewed by those
+    only, in their order; one that is not among ``agents`` gives a failed review.
     """
     names = [agent.name for agent in agents]
     attempt = F.col("attempt") if "attempt" in responses.columns else F.lit(0)
@@ -107,13 +113,27 @@ def reviewed_diffs(
         "diff_id",
         is_blank(F.col("raw")).alias("is_blank"),
         line_totals(F.col("raw")).alias("stats"),
+        *(["reviewers"] if "reviewers" in diffs.columns else []),
     )
+    nothing = F.lit(None).cast("string")
     entries = F.array(
         *[
-            F.struct(agent_row(a).alias("agent"), F.col(f"reply_{i}").alias("reply"))
+            F.struct(agent_row(a).alias("agent"), F.col(f"reply_{i}").alias("reply"), nothing.alias("refused"))
             for i, a in enumerate(agents)
         ]
     )
+    if "reviewers" in diffs.columns:
+        listed = entries
+
+        def entry_of(name: Column) -> Column:
+            stranger = F.struct(
+                agent_row(Agent("", *[""] * 6)).withField("name", name).alias("agent"),
+                F.when(F.lit(False), F.col("reply_0")).alias("reply"),
+                unknown_reviewer(name, agents).alias("refused"),
+            )
+            return F.coalesce(F.get(F.filter(listed, lambda e: e["agent"]["name"] == name), 0), stranger)
+
+        entries = F.transform("reviewers", entry_of)
     due = F.filter(entries, lambda _: ~F.col("is_blank"))
     return slim.join(folded, "diff_id", "left").select(
         "diff_id", "is_blank", "stats", F.transform(due, lambda e: _review_of(e, fields)).alias("reviews")
@@ -302,7 +322,10 @@ def _shown(value: Column) -> Column:
 def review_prompts(
     diffs: DataFrame, agents: Sequence[Agent], contexts: DataFrame | None = None
 ) -> DataFrame:
-    """One prompt per diff and reviewer; ``contexts(diff_id, file_context)`` is optional."""
+    """One prompt per diff and reviewer; ``contexts(diff_id, file_context)`` is optional.
+
+    Diffs with ``reviewers`` of their own get prompts for those among ``agents``.
+    """
     if contexts is None:
         diffs = diffs.withColumn("file_context", F.lit(NO_CONTEXT))
     else:
@@ -315,7 +338,10 @@ def review_prompts(
         prompt = fill(agent.template, values)
         test = F.col("agent") == agent.name
         chain = F.when(test, prompt) if chain is None else chain.when(test, prompt)
-    return review_tasks(diffs, agents).select("diff_id", "agent_idx", "agent", chain.alias("prompt"))
+    tasks = review_tasks(diffs, agents)
+    if "reviewers" in diffs.columns:
+        tasks = tasks.filter(F.col("error").isNull())
+    return tasks.select("diff_id", "agent_idx", "agent", chain.alias("prompt"))
 
 
 def summary_prompts(reviewed: DataFrame) -> DataFrame:
@@ -340,16 +366,21 @@ def rebuilt_diffs(diffs: DataFrame) -> DataFrame:
 def file_contexts(diffs: DataFrame, files: DataFrame) -> DataFrame:
     """Current contents of the files a diff touches, as one prompt block per diff.
 
-    The join is on the changed path; a path that very many diffs touch is split by
-    AQE on the diff side of the left join.  A block holds the files of one diff, so
+    The changed paths come first: a bitmap of them, of fixed size, lets the scan of the
+    files drop what no diff touches, so that no such content enters a shuffle.  The join
+    is on the changed path; a path that very many diffs touch is split by AQE on the
+    diff side.  A block holds the files of one diff, so
     its length is bounded by what that one row lists.
     """
     touched = file_diffs(diffs, with_hunks=False).select("repo_id", "diff_id", "file_idx", "path").filter(
         F.col("path").isNotNull()
     )
+    wanted = maybe_among(
+        files.select("repo_id", "path", "content"), key_bitmap(touched, "repo_id", "path"), "repo_id", "path"
+    )
     block = F.concat(F.lit("### "), "path", F.lit("\n```\n"), "content", F.lit("\n```\n"))
     return (
-        touched.join(files.select("repo_id", "path", "content"), ["repo_id", "path"])
+        touched.join(wanted, ["repo_id", "path"])
         .groupBy("diff_id")
         .agg(F.array_sort(F.collect_list(F.struct("file_idx", block.alias("block")))).alias("blocks"))
         .select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,11 +95,18 @@ def analyze_structure(
 
 
 def explain_files(
-    files: DataFrame, make_client: MakeClient, max_kb: int = quality.MAX_FILE_SIZE_KB
+    files: DataFrame,
+    make_client: MakeClient,
+    max_kb: int = quality.MAX_FILE_SIZE_KB,
+    log: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(explanations, failures)``; failures hold ``repo_id, path, reason``."""
+    """``(explanations, failures)``; failures hold ``repo_id, path, reason``.
+
+    ``log`` names a folder of replies that outlives the job: see ``explain.complete_logged``.
+    """
+    complete = partial(explain.complete_logged, log=log) if log else explain.complete_batch
     prompts = explain.file_prompts(explain.explained_files(files, max_kb))
-    answered = checkpointed(explain.complete_batch(prompts, make_client))
+    answered = checkpointed(complete(prompts, make_client))
     failed = answered.filter(F.col("error").isNotNull()).select(
         "repo_id", "path", F.col("error").alias("reason")
     )
@@ -112,22 +120,31 @@ def review_diffs(
     reviewers: Sequence[str] = agents.DEFAULT_AGENTS,
     context_files: DataFrame | None = None,
     summarize: bool = True,
+    settings: DataFrame | None = None,
+    log: str | None = None,
 ) -> DataFrame:
     """Nested review results of ``diffs(repo_id, diff_id, raw)``.
 
     With ``summarize`` the diffs that drew comments get a summary from the model, or
-    the fixed verdict text where that call fails.
+    the fixed verdict text where that call fails.  With ``settings(repo_id, review)`` a
+    repository's own reviewers take the place of ``reviewers``; a name that nobody has gives
+    a failed review.  ``log`` names a folder of replies that outlives the job: see
+    ``explain.complete_logged``.
     """
+    complete = partial(explain.complete_logged, log=log) if log else explain.complete_batch
     chosen = agents.select_agents(reviewers)
+    if settings is not None:
+        changes = agents.with_reviewers(changes, settings, [agent.name for agent in chosen])
+        chosen = list(agents.AGENTS)
     contexts = None if context_files is None else reviews.file_contexts(changes, context_files)
     prompts = reviews.review_prompts(changes, chosen, contexts).drop("agent_idx")
-    responses = checkpointed(explain.complete_batch(prompts, make_client))
+    responses = checkpointed(complete(prompts, make_client))
     reviewed = reviews.reviewed_diffs(changes, responses, chosen)
     if not summarize:
         return reviews.review_results(reviewed)
     reviewed = checkpointed(reviewed)
     commented = reviews.with_totals(reviewed).filter("total_comments > 0")
-    answered = explain.complete_batch(reviews.summary_prompts(commented), make_client)
+    answered = complete(reviews.summary_prompts(commented), make_client)
     summaries = checkpointed(answered.withColumnRenamed("response", "summary"))
     return reviews.review_results(reviewed, summaries)
 

@@ -126,7 +126,11 @@ simple(
           '[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') THEN 1 ELSE 0 END AS split_lines
       FROM f""",
 )
-simple("rejected_files", "SELECT repo_id, path FROM files WHERE size_bytes > 4096")
+simple(
+    "rejected_files",
+    """SELECT repo_id, path, 'file size ' || printf('%.1f', size_bytes / 1024.0) || 'KB is over the limit of 4KB'
+      AS reason FROM files WHERE size_bytes > 4096""",
+)
 simple(
     "decode_text",
     # bytes of accented Latin-1 letters are not UTF-8 here, so exactly they are dropped
@@ -598,6 +602,25 @@ ORACLES["review_tasks"] = f"""WITH diffs AS ({B.DIFFS.sql()})
   SELECT diff_id, CAST(i - 1 AS INTEGER) AS agent_idx, ['security', 'junior', 'architect'][i] AS agent
   FROM diffs, range(1, 4) AS t(i) WHERE {strip("raw")} <> ''"""
 
+ORACLES["settings_tasks"] = f"""WITH diffs AS ({B.DIFFS.sql()}), settings AS ({B.SETTINGS.sql()}),
+  named AS (
+    SELECT repo_id, string_split(reviewers, ',')[i] AS name, i
+    FROM settings, range(1, 4) AS t(i) WHERE i <= len(string_split(reviewers, ','))),
+  own AS (
+    SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY min(i)) - 1 AS INTEGER) AS agent_idx,
+      lower(name) AS agent FROM named WHERE name <> '' GROUP BY repo_id, lower(name)),
+  listed AS (
+    SELECT * FROM own
+    UNION ALL SELECT repo_id, 0, 'architect' FROM settings WHERE reviewers = ''
+    UNION ALL SELECT repo_id, 1, 'security' FROM settings WHERE reviewers = ''
+    UNION ALL SELECT repo_id, 0, 'performance' FROM diffs WHERE repo_id NOT IN (SELECT repo_id FROM settings
+      WHERE reviewers IS NOT NULL) GROUP BY repo_id
+    UNION ALL SELECT repo_id, 1, 'junior' FROM diffs WHERE repo_id NOT IN (SELECT repo_id FROM settings
+      WHERE reviewers IS NOT NULL) GROUP BY repo_id)
+  SELECT diff_id, agent_idx, agent, CASE WHEN agent NOT IN ('architect', 'security', 'performance', 'junior')
+      THEN 'unknown reviewer: ' || agent || '; known: architect, junior, performance, security' END AS error
+  FROM diffs JOIN listed USING (repo_id) WHERE {strip("raw")} <> ''"""
+
 _FENCE = "```json"
 _JSON_TYPE = (
     "CASE json_type({v}) WHEN 'NULL' THEN 'NoneType' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' "

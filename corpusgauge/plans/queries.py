@@ -96,7 +96,7 @@ def size_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rejected_files(spark: SparkSession, sf: str) -> DataFrame:
-    return E.rejected_files(B.files(spark, sf), SMALL_CAP_KB).select("repo_id", "path")
+    return E.rejected_files(B.files(spark, sf), SMALL_CAP_KB)
 
 
 def _binary_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -366,6 +366,13 @@ def review_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return A.review_tasks(B.diffs(spark, sf), chosen).select("diff_id", "agent_idx", "agent")
 
 
+@query
+def settings_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews due by each repository's own settings, with unknown reviewers as errors."""
+    own = A.with_reviewers(B.diffs(spark, sf), B.settings(spark, sf), ["Performance", "junior"])
+    return A.review_tasks(own, A.AGENTS).select("diff_id", "agent_idx", "agent", "error")
+
+
 @query
 def json_locate(spark: SparkSession, sf: str) -> DataFrame:
     return B.responses(spark, sf).select(

@@ -454,18 +454,28 @@ SETTINGS = Binding(
         # a NULL section falls back to the base section as a whole
         "patterns": "CASE s_suppkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN '*.py' WHEN 2 THEN 'f?[13]*' END",
         "max_file_size_kb": "CASE s_suppkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 500 WHEN 2 THEN 2 END",
+        # reviewers of a review section, by commas; NULL for none, '' for one that names nobody
+        "reviewers": "CASE s_suppkey % 5 WHEN 0 THEN 'junior,Security' "
+        "WHEN 1 THEN 'style,architect,ARCHITECT' WHEN 2 THEN '' END",
     },
 )
 
 
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``settings(repo_id, analyze STRUCT<exclude_patterns, max_file_size_kb>)``."""
+    """``settings(repo_id, analyze STRUCT<exclude_patterns, max_file_size_kb>,
+    review STRUCT<default_agents>)``."""
     flat = SETTINGS.read(spark, sf_dir)
     section = F.struct(
         F.array("patterns").alias("exclude_patterns"),
         F.col("max_file_size_kb").cast("int").alias("max_file_size_kb"),
     )
-    return flat.select("repo_id", F.when(F.col("patterns").isNotNull(), section).alias("analyze"))
+    names = F.filter(F.split("reviewers", ","), lambda name: name != "")
+    review = F.struct(names.alias("default_agents"))
+    return flat.select(
+        "repo_id",
+        F.when(F.col("patterns").isNotNull(), section).alias("analyze"),
+        F.when(F.col("reviewers").isNotNull(), review).alias("review"),
+    )
 
 
 # --- SQL side ---------------------------------------------------------------

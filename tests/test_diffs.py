@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from corpusgauge.functions.membership import key_bitmap, maybe_among
 from corpusgauge.operators import diffs as D
 from corpusgauge.operators import reviews as RV
 
@@ -152,6 +153,20 @@ def test_file_contexts(spark, make_diffs, make_files):
     assert row.file_context == "### b.py\n```\nB\n```\n\n### a.py\n```\nA\n```\n"
 
 
+def test_contents_that_no_diff_touches_stay_in_their_scan(spark, make_files):
+    files = make_files({f"f{i}.py": "x" for i in range(2000)})
+    wanted = spark.createDataFrame([("r", f"f{i}.py") for i in range(0, 2000, 9)] + [("s", "f1.py"), (None, "f2.py")],
+                                   "repo_id STRING, path STRING")
+    kept = maybe_among(files, key_bitmap(wanted, "repo_id", "path"), "repo_id", "path")
+    assert kept.columns == files.columns
+    assert {r.path for r in kept.collect()} == {f"f{i}.py" for i in range(0, 2000, 9)}
+    nothing = maybe_among(files, key_bitmap(wanted.limit(0), "repo_id", "path"), "repo_id", "path")
+    assert nothing.count() == 0
+    # of the files only what the broadcast bitmap lets through is shuffled
+    plan = kept.groupBy("path").count()._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 LINES = [
     "diff --git a/x b/y", "diff --git a/p q/r.py b/p q/r.py", "diff --git broken", " diff --git a/i b/i",
     "new file mode 100644", "deleted file mode 100644", "similarity index 90%", "similarity index x%",

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
 import pytest
 
+from corpusgauge.operators import explain as E
 from corpusgauge.plans import jobs
 
 
@@ -137,3 +140,60 @@ def test_repository_dates_are_iso_with_offset(spark, make_files):
         data = json.loads(row.report)
         assert list(data) == ["path", "name", "total_files", "total_lines", "languages", "recent_commits", "summary"]
         assert data["recent_commits"][0]["date"] == wanted
+
+
+REPLY = '```json\n{"comments": [{"file": "x", "severity": "error", "message": "m"}]}\n```'
+
+
+def test_own_reviewers_of_a_repository(spark):
+    raw = "diff --git a/x b/x\n@@ -1 +1 @@\n-a\n+b\n"
+    changes = spark.createDataFrame(
+        [("own", 1, raw), ("none", 2, raw), ("empty", 3, raw), ("own", 4, " "), (None, 5, raw)],
+        "repo_id STRING, diff_id BIGINT, raw STRING",
+    )
+    settings = spark.createDataFrame(
+        [("own", (["Junior", "style", None, "JUNIOR"],)), ("none", None), ("empty", ([],))],
+        "repo_id STRING, review STRUCT<default_agents: ARRAY<STRING>>",
+    )
+    done = jobs.review_diffs(
+        changes, lambda: lambda prompt: REPLY, ["performance"], summarize=False, settings=settings
+    )
+    got = {r.diff_id: [(v.agent_name, len(v.comments), v.summary) for v in r.agent_reviews] for r in done.collect()}
+    assert [name for name, _, _ in got[3]] == ["architect", "security"]
+    assert [name for name, _, _ in got[2]] == [name for name, _, _ in got[5]] == ["performance"]
+    assert got[4] == []
+    (first, n, _), (second, none, why) = got[1]
+    assert (first, n, second, none) == ("junior", 1, "style", 0)
+    assert "unknown reviewer: style; known: architect, junior, performance, security" in why
+
+
+def test_a_killed_run_goes_on_where_its_log_ends(spark, tmp_path):
+    calls, ready = tmp_path / "calls", tmp_path / "ready"
+    calls.mkdir()
+
+    def client():
+        def complete(prompt: str) -> str:
+            (calls / uuid.uuid4().hex).write_text(prompt)
+            if prompt == "prompt 7" and not ready.exists():
+                os._exit(1)  # the worker dies, which no handler of errors sees
+            if prompt == "prompt 3":
+                raise RuntimeError("refused")
+            return prompt.upper()
+
+        return complete
+
+    rows = [(i, f"prompt {i % 30}") for i in range(60)]
+    prompts = spark.createDataFrame([*rows, (60, None)], "id INT, prompt STRING").filter("prompt IS NOT NULL")
+    log = str(tmp_path / "log")
+    with pytest.raises(Exception, match="(?i)job aborted|crashed|exit"):
+        E.complete_logged(prompts, client, log, slices=6).collect()
+    logged = spark.read.parquet(log).filter("error IS NULL").count()
+    before = len(list(calls.iterdir()))
+    ready.touch()
+    done = {r.id: (r.response, r.error) for r in E.complete_logged(prompts, client, log, slices=6).collect()}
+    assert done == {i: (None, "refused") if p == "prompt 3" else (p.upper(), None) for i, p in rows}
+    later = [p.read_text() for p in calls.iterdir()]
+    assert logged > 0 and len(later) - before == 30 - logged
+    # a third run asks only the failed call again
+    E.complete_logged(prompts, client, log, slices=6).collect()
+    assert len(list(calls.iterdir())) == len(later) + 1

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusgauge.functions.numbers import kilobytes
 from corpusgauge.functions.templates import TEMPLATES, Lines, fill, slots
 from corpusgauge.operators import agents as A
 from corpusgauge.operators import explain as E
@@ -48,22 +49,19 @@ def test_reply_forms(parse):
 
 
 @pytest.mark.parametrize(
-    "text", ["no json here", '{"a": 1, "a": 2}', "[NaN]", '[{"a": 1}', "[1] tail", '{"a": 1}} x', "{'a': 1}", "[1]]", '{"a":1}, {"b":2}', "```json\n\n```"]
+    "text", ["no json here", "[nan]", "[-NaN]", '[{"a": 1}', "[1] tail", '{"a": 1}} x', "{'a': 1}", "[1]]", '{"a":1}, {"b":2}', "```json\n\n```"]
 )
 def test_text_fallback(parse, text):
     (comment,) = parse(f"  {text}\n").comments
     assert tuple(comment) == ("general", None, "info", "general", text, None)
 
 
-def test_fuzzed_json_is_accepted_as_python_does(texts):
-    def unique(pairs):
-        if len(dict(pairs)) != len(pairs):
-            raise ValueError("duplicate keys are a known gap")
-        return dict(pairs)
+def test_fuzzed_json_is_accepted_as_python_does(spark, texts):
+    RP.accept_repeated_keys(spark)
 
     def accepts(text: str) -> bool:
         try:
-            json.loads(text, object_pairs_hook=unique)
+            json.loads(text)
         except ValueError:
             return False
         return True
@@ -339,3 +337,69 @@ def test_lists_fill_lines(spark):
 def test_lines_that_are_no_whole_numbers(parse):
     text = json.dumps([{"line": x} for x in (12, "12", 3.7, None, True, 0)])
     assert [c.line for c in parse(text).comments] == [12, None, None, None, None, 0]
+
+
+def _python_json(text):
+    try:
+        return json.loads(text)
+    except ValueError:
+        return "no json"
+
+
+JSON_PARTS = ["{", "}", "[", "]", ",", ":", '"a"', '"b"', '"NaN"', '"\\\\"', '"x\\"y"', "NaN", "Infinity", "-Infinity", "-NaN",
+              "1", "2.5", "true", "null", " ", '"', "nan"]
+
+
+def _some_json(rng, depth=0):
+    kind = rng.choice(["list", "dict", "leaf"]) if depth < 3 else "leaf"
+    if kind == "list":
+        return "[" + ",".join(_some_json(rng, depth + 1) for _ in range(rng.randrange(4))) + "]"
+    if kind == "dict":
+        items = (f'"{rng.choice("abN")}": {_some_json(rng, depth + 1)}' for _ in range(rng.randrange(4)))
+        return "{" + ", ".join(items) + "}"
+    return rng.choice(JSON_PARTS[6:-2] if rng.random() < 0.9 else JSON_PARTS)
+
+
+def _plain(value):
+    """Marks for numbers that JSON has not, so that both sides can be compared."""
+    if isinstance(value, float) and value != value:
+        return RP.NAN_TEXT
+    if isinstance(value, float) and value in (float("inf"), float("-inf")):
+        return "Infinity" if value > 0 else "-Infinity"
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return RP.NAN_TEXT if value == float(RP.NAN_TEXT) else value
+
+
+def test_json_is_read_as_python_reads_it(spark, texts):
+    rng = random.Random(11)
+    cases = [_some_json(rng) for _ in range(600)]
+    cases += ["".join(rng.choices(JSON_PARTS, k=rng.randrange(1, 7))) for _ in range(400)]
+    cases += ['{"a": 1, "a": {"b": NaN, "b": 2}, "a": [3]}', '["' + '\\n' * 50_000 + 'NaN", NaN]', "[1NaN]", "[-NaN]"]
+    RP.accept_repeated_keys(spark)
+    rows = texts(cases).select("text", F.to_json(RP.strict_variant(F.col("text"))).alias("got")).collect()
+    for row in rows:
+        wanted = _python_json(row.text)
+        if wanted == "no json":
+            assert row.got is None, row.text[:200]
+        else:
+            assert row.got is not None, row.text[:200]
+            assert _plain(json.loads(row.got)) == _plain(wanted), row.text[:200]
+
+
+def test_replies_with_repeated_keys_and_odd_numbers(spark):
+    reply = '{"comments": [], "comments": [{"file": "a", "file": "b", "line": NaN, "message": -Infinity, "category": NaN}]}'
+    broken = '[{"severity": NaN, "message": "m"}]'
+    df = spark.createDataFrame([(1, "junior", reply, None), (2, "junior", broken, None)],
+                               "diff_id BIGINT, agent STRING, response STRING, error STRING")
+    good, bad = RP.parsed_replies(df).orderBy("diff_id").collect()
+    assert [(c.file, c.line, c.message, c.category) for c in good.comments] == [("b", None, "-Infinity", "NaN")]
+    assert bad.failure == "'float' object has no attribute 'upper'"
+
+
+def test_sizes_round_as_python_rounds(spark):
+    sizes = [0, 1, 51, 52, 1023, 1024, 1280, 1792, 64_000, 513_001, 10**9 + 256, 2**41 + 768]
+    df = spark.createDataFrame([(s,) for s in sizes], "s BIGINT").select("s", kilobytes(F.col("s")).alias("t"))
+    assert all(r.t == f"{r.s / 1024:.1f}" for r in df.collect())
