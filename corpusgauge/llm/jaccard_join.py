@@ -442,11 +442,11 @@ def linked_nodes(docs: DataFrame, frequent: bytes, nodes: DataFrame) -> DataFram
     arms = [tiles.select(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b")) for c in STARS]
     stars = reduce(DataFrame.unionByName, arms).filter("a <> b").distinct()
     links = _linked(stored(_bounded(stars, maps), "pairs"), docs, frequent, nodes)
+    roots = stored(components(links), "roots")
     failed = open_ = None
     forests = 1
     while True:
-        roots = stored(components(links), "roots").select(F.col("node").alias("n_"), "root")
-        rooted = tiles.drop(*STARS).join(roots, F.col("node") == F.col("n_"), "left")
+        rooted = tiles.drop(*STARS).join(roots, "node", "left")
         rooted = rooted.select("token", "node", "place", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         left = rooted.join(mixed.filter("lo <> hi").select("t"), F.col("token") == F.col("t")).drop("t")
@@ -455,18 +455,20 @@ def linked_nodes(docs: DataFrame, frequent: bytes, nodes: DataFrame) -> DataFram
             rows = rows.join(open_, "tile", "left_semi")
         sent = stored(_tile_pairs(rows, maps, failed, forests), "pairs")
         if sent.isEmpty():
-            break
+            return roots
         found = _linked(sent.select("a", "b").distinct(), docs, frequent, nodes)
-        links = links.unionByName(found)
+        if not found.isEmpty():
+            # the stars so far stand for all earlier links
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+            roots = stored(components(links), "roots")
         wrong = stored(sent.join(found, ["a", "b"], "left_anti"), "failed")
         if wrong.isEmpty():
-            return components(links)
+            return roots
         open_ = wrong.select("tile").distinct()
         tiles = stored(tiles.join(wrong.select("token").distinct(), "token", "left_semi"), "tiles")
         wrong = wrong.select("a", "b").distinct()
         failed = wrong if failed is None else failed.unionByName(wrong)
         forests *= MORE_FORESTS
-    return roots.withColumnRenamed("n_", "node")
 
 
 def near_duplicates(docs: DataFrame, tag: str | None = None) -> DataFrame:

@@ -5,10 +5,12 @@ import random
 import numpy as np
 import pytest
 from brute import components
+from pyspark.sql import functions as F
 from test_words import thue_morse
 
 from corpusgauge.llm import jaccard_join as J
 from corpusgauge.llm.components import components as linked
+from corpusgauge.llm.components import stars_of
 
 
 def texts(seed: int = 1) -> list[str | None]:
@@ -135,3 +137,30 @@ def test_a_tile_sends_fewer_pairs_than_it_has_nodes():
     sent = list(J._forests(pairs, {k: k // 2 for k in range(30)}, 1))
     assert len(sent) == 2 * 14
     assert len(list(J._forests(pairs, {k: k for k in range(30)}, 3))) <= 2 * 3 * 29
+
+
+def test_stars_of_edges_keep_components():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 60, 4000):
+        a, b = (rng.integers(-size, size + 1, size) for _ in range(2))
+        up: dict[int, int] = {}
+
+        def top(x, up=up):
+            while x in up:
+                x = up[x]
+            return x
+
+        for u, v in zip(a.tolist(), b.tolist(), strict=True):
+            u, v = top(u), top(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+        nodes, roots = stars_of(a, b)
+        wanted = {x: top(x) for x in {*a.tolist(), *b.tolist()} if top(x) != x}
+        assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == wanted
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(3000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b")).repartition(7)
+    rows = linked(edges).collect()
+    assert len(rows) == len({r.node for r in rows}) == 3001
+    assert {r.root for r in rows} == {min(r.node for r in rows)}
