@@ -22,8 +22,9 @@ Two documents are linked when the Jaccard similarity of their shingle sets is at
    the overlap from above).  Of the pairs that pass, a tile sends a *forest* over its
    components, nearest pairs first: fewer pairs than it has nodes.  These are verified by
    the exact intersection of both sorted arrays.  Where all hold, whatever else the tile
-   has is connected, too.  Tiles of which a pair failed go into another round, without
-   that pair and with four times as many forests, until none is left.
+   has is connected, too.  Tiles of which a pair failed and that have pairs not sent yet go
+   into another round, without that pair and with ``MORE_FORESTS`` times as many forests,
+   until none is left.
 
 Shingles are 63-bit hashes and nodes 64-bit digests of the sorted set.  A null text or
 one without words has an empty set and is linked with nothing.  Repeated rows and ids
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -55,7 +57,7 @@ BLOCK = 256
 #: Bits of a bitmap for each token: those that tiles are compared by, and of a first look.
 WIDE, NARROW = 2, 1
 #: How many forests more a tile sends in each round.
-MORE_FORESTS = 4
+MORE_FORESTS = 16
 #: One document of so many is sampled to find frequent tokens; how often these stand there.
 SAMPLE_EVERY, FREQUENT_FROM = 8, 4
 #: Bits of the filters that tell a scan which texts are wanted, and tokens frequent (4 MB).
@@ -309,10 +311,10 @@ def _tile_rows(tiles: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(rows: DataFrame, maps: DataFrame, failed: DataFrame | None, forests: int) -> DataFrame:
-    """``tile, token, a, b``: pairs of components that pass size, place and bitmap bounds.
+    """``tile, token, a, b, more``: pairs of components that pass size, place and bitmap bounds.
 
-    Of these each tile sends ``forests`` forests over its components.  Pairs ``failed``
-    are passed over.
+    Of these each tile sends ``forests`` forests over its components; ``more`` tells that
+    it has others.  Pairs ``failed`` are passed over.
     """
     none = F.array().cast("array<bigint>")
     if failed is None:
@@ -339,7 +341,7 @@ def _tile_pairs(rows: DataFrame, maps: DataFrame, failed: DataFrame | None, fore
         if held is not None:
             yield _compared(held, forests)
 
-    return frames.map_batches(ordered, compare, "tile BIGINT, token BIGINT, a BIGINT, b BIGINT")
+    return frames.map_batches(ordered, compare, "tile BIGINT, token BIGINT, a BIGINT, b BIGINT, more BOOLEAN")
 
 
 def _compared(rows: pa.Table, forests: int) -> pa.RecordBatch:
@@ -380,9 +382,13 @@ def _compared(rows: pa.Table, forests: int) -> pa.RecordBatch:
             passed.append((int(tile[i]), -bound / (int(n[i]) + int(n[j])), int(a[k]), int(b[k])))
     root_of = dict(zip(node.tolist(), root.tolist(), strict=True))
     token_of = dict(zip(tile.tolist(), rows.column("token").to_pylist(), strict=True))
-    sent = [(t, token_of[t], u, v) for t, u, v in _forests(sorted(passed), root_of, forests)]
+    sent = list(_forests(sorted(passed), root_of, forests))
+    unsent = Counter(p[0] for p in passed)
+    unsent.subtract(t for t, _, _ in sent)
+    columns = zip(*[(t, token_of[t], u, v) for t, u, v in sent], strict=True) if sent else [()] * 4
     return pa.record_batch(
-        [pa.array([p[k] for p in sent], pa.int64()) for k in range(4)], names=["tile", "token", "a", "b"]
+        [*(pa.array(c, pa.int64()) for c in columns), pa.array([unsent[t] > 0 for t, _, _ in sent], pa.bool_())],
+        names=["tile", "token", "a", "b", "more"],
     )
 
 
@@ -462,10 +468,12 @@ def linked_nodes(docs: DataFrame, frequent: bytes, nodes: DataFrame) -> DataFram
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
             roots = stored(components(links), "roots")
         wrong = stored(sent.join(found, ["a", "b"], "left_anti"), "failed")
-        if wrong.isEmpty():
+        # a tile that has sent all its pairs is done, whichever failed
+        going = wrong.filter("more")
+        if going.isEmpty():
             return roots
-        open_ = wrong.select("tile").distinct()
-        tiles = stored(tiles.join(wrong.select("token").distinct(), "token", "left_semi"), "tiles")
+        open_ = going.select("tile").distinct()
+        tiles = stored(tiles.join(going.select("token").distinct(), "token", "left_semi"), "tiles")
         wrong = wrong.select("a", "b").distinct()
         failed = wrong if failed is None else failed.unionByName(wrong)
         forests *= MORE_FORESTS

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import components
 from pyspark.sql import functions as F
@@ -139,6 +140,30 @@ def test_a_tile_sends_fewer_pairs_than_it_has_nodes():
     assert len(list(J._forests(pairs, {k: k for k in range(30)}, 3))) <= 2 * 3 * 29
 
 
+def test_a_tile_tells_whether_it_has_more_pairs():
+    """Three nodes of one tile in a forest send two of three pairs; in two forests, all."""
+    sets = [np.arange(k, k + 90, dtype=np.uint64) for k in range(3)]
+    none = pa.array([[]] * 4, pa.list_(pa.int64()))
+    maps = [J.bitmap_of(s, J.WIDE) for s in sets]
+    rows = pa.table(
+        {
+            "tile": [1, 1, 1, 2],
+            "side": [2] * 4,
+            "later": [False] * 4,
+            "token": [7, 7, 7, 8],
+            "node": [10, 11, 12, 10],
+            "root": [10, 11, 12, 10],
+            "at": [0] * 4,
+            "n": [90] * 4,
+            "bitmap": [*maps, maps[0]],
+            "failed": none,
+        }
+    )
+    assert [r["more"] for r in J._compared(rows, 1).to_pylist()] == [True, True]
+    assert [r["more"] for r in J._compared(rows, 2).to_pylist()] == [False] * 3
+    assert J._compared(rows.slice(3), 1).num_rows == 0
+
+
 def test_stars_of_edges_keep_components():
     rng = np.random.default_rng(3)
     for size in (0, 1, 5, 60, 4000):
