@@ -39,7 +39,6 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -419,7 +418,7 @@ def _top(parent: dict[int, int], x: int) -> int:
 
 
 def tile_entries(docs: DataFrame, frequent: bytes) -> DataFrame:
-    """``token, node, place`` of the tiles of two nodes and more, and their ``STARS``."""
+    """``token, node, place`` of the tiles of two nodes and more, with their ``lo, hi``."""
     # a node's prefix once, however many documents have the set
     tiles = _scan(docs, frequent, "tiles").dropDuplicates(["node"])
     entries = tiles.select("node", "near", F.posexplode("tokens").alias("at", "token"))
@@ -428,31 +427,42 @@ def tile_entries(docs: DataFrame, frequent: bytes) -> DataFrame:
     entries = entries.select("token", "node", place)
     # combined before the shuffle, and joined in a way that Spark may split: a token may be
     # in a third of all sets
-    other = F.col("node").bitwiseXOR(F.lit(_OTHER_ORDER))
     shared = entries.groupBy(F.col("token").alias("t")).agg(
         F.min("node").alias("lo"),
         F.max("node").alias("hi"),
-        F.min(other).bitwiseXOR(F.lit(_OTHER_ORDER)).alias("lo2"),
-        F.max(other).bitwiseXOR(F.lit(_OTHER_ORDER)).alias("hi2"),
         F.max("place").alias("near"),
     )
-    shared = shared.filter("lo <> hi AND near >= 0").select("t", *STARS)
+    shared = shared.filter("lo <> hi AND near >= 0").select("t", "lo", "hi")
     return entries.join(shared, F.col("token") == F.col("t")).drop("t")
 
 
+def star_pairs(tiles: DataFrame) -> DataFrame:
+    """``a, b``: each node of a tile with the tile's ``STARS``, each pair once.
+
+    Those of the other order are sought among the tiles only, not among all tokens, of
+    which most are in one set.
+    """
+    other = F.col("node").bitwiseXOR(F.lit(_OTHER_ORDER))
+    second = tiles.groupBy(F.col("token").alias("t")).agg(
+        F.min(other).bitwiseXOR(F.lit(_OTHER_ORDER)).alias("lo2"),
+        F.max(other).bitwiseXOR(F.lit(_OTHER_ORDER)).alias("hi2"),
+    )
+    met = tiles.join(second, F.col("token") == F.col("t")).select("node", F.explode(F.array(*STARS)).alias("s"))
+    pairs = met.filter("node <> s").select(F.least("node", "s").alias("a"), F.greatest("node", "s").alias("b"))
+    return pairs.distinct()
+
+
 def linked_nodes(docs: DataFrame, frequent: bytes, nodes: DataFrame) -> DataFrame:
     """``node, root`` of every node that has a link; ``nodes`` are those of all documents."""
     tiles = stored(tile_entries(docs, frequent), "tiles")
     wanted = _texts_of(tiles, nodes)
     maps = stored(_scan(docs, frequent, "maps", wanted).dropDuplicates(["node"]), "maps")
-    arms = [tiles.select(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b")) for c in STARS]
-    stars = reduce(DataFrame.unionByName, arms).filter("a <> b").distinct()
-    links = _linked(stored(_bounded(stars, maps), "pairs"), docs, frequent, nodes)
+    links = _linked(stored(_bounded(star_pairs(tiles), maps), "pairs"), docs, frequent, nodes)
     roots = stored(components(links), "roots")
     failed = open_ = None
     forests = 1
     while True:
-        rooted = tiles.drop(*STARS).join(roots, "node", "left")
+        rooted = tiles.drop("lo", "hi").join(roots, "node", "left")
         rooted = rooted.select("token", "node", "place", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         left = rooted.join(mixed.filter("lo <> hi").select("t"), F.col("token") == F.col("t")).drop("t")
