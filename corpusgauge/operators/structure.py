@@ -15,6 +15,7 @@ from corpusgauge.functions.paths import file_name, hidden, structure_excluded
 from corpusgauge.functions.regex import java_regex
 from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.text import let, universal_newlines
+from corpusgauge.operators.positions import with_positions
 
 MODULE_FILE = "__init__.py"
 
@@ -105,6 +106,13 @@ def ordered_tree(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("sort_key", key).orderBy("repo_id", "sort_key", "path")
 
 
+def tree_positions(nodes: DataFrame) -> DataFrame:
+    """``repo_id, path, position``: the place of every node in display order, from 1."""
+    key = F.when(F.col("depth") == 0, "").otherwise(sort_key(F.col("path"), F.col("node_type")))
+    keyed = nodes.select("repo_id", "path", key.alias("sort_key"))
+    return with_positions(keyed, ["repo_id"], ["sort_key", "path"]).drop("sort_key")
+
+
 def _with_text(files: DataFrame, excludes: Sequence[str], filtered: bool) -> DataFrame:
     return files.filter(in_tree(F.col("path"), excludes, filtered)).select(
         "repo_id",

@@ -425,18 +425,22 @@ simple("long_functions", "SELECT * EXCLUDE (rule_idx) FROM long_ones", QUALITY)
 simple("all_issues", "SELECT * EXCLUDE (rule_idx) FROM issues", QUALITY)
 _TABLE_HEAD = ["## Issues", "", "| File | Line | Type | Severity | Message |",
                "|------|------|------|----------|---------|"]
+_MD_QUALITY = f"""SELECT repo_id, 0 AS section, '' AS path, CAST(i - 1 AS INTEGER) AS line_idx, ['# Quality Report', '',
+      '**Complexity Score**: ' || CAST(complexity_score AS BIGINT) || '.0', ''][i] AS line
+    FROM reports, range(1, 5) AS t(i)
+    UNION ALL SELECT repo_id, 1, '', CAST(i - 1 AS INTEGER), [{", ".join(lit(x) for x in _TABLE_HEAD)}][i]
+    FROM reports, range(1, 5) AS t(i) WHERE errors + warnings + infos > 0
+    UNION ALL SELECT repo_id, 2, path, issue_idx, '| ' || path || ' | ' || line || ' | ' || issue_type
+      || ' | ' || severity || ' | ' || message || ' |' FROM issues
+    UNION ALL SELECT repo_id, 3, '', 0, '' FROM reports WHERE errors + warnings + infos > 0
+    UNION ALL SELECT repo_id, 4, '', CAST(i - 1 AS INTEGER), ['## Summary', '', summary, ''][i]
+    FROM reports, range(1, 5) AS t(i)"""
+simple("md_quality", _MD_QUALITY, QUALITY)
 simple(
-    "md_quality",
-    f"""SELECT repo_id, 0 AS section, '' AS path, CAST(i - 1 AS INTEGER) AS line_idx, ['# Quality Report', '',
-        '**Complexity Score**: ' || CAST(complexity_score AS BIGINT) || '.0', ''][i] AS line
-      FROM reports, range(1, 5) AS t(i)
-      UNION ALL SELECT repo_id, 1, '', CAST(i - 1 AS INTEGER), [{", ".join(lit(x) for x in _TABLE_HEAD)}][i]
-      FROM reports, range(1, 5) AS t(i) WHERE errors + warnings + infos > 0
-      UNION ALL SELECT repo_id, 2, path, issue_idx, '| ' || path || ' | ' || line || ' | ' || issue_type
-        || ' | ' || severity || ' | ' || message || ' |' FROM issues
-      UNION ALL SELECT repo_id, 3, '', 0, '' FROM reports WHERE errors + warnings + infos > 0
-      UNION ALL SELECT repo_id, 4, '', CAST(i - 1 AS INTEGER), ['## Summary', '', summary, ''][i]
-      FROM reports, range(1, 5) AS t(i)""",
+    "report_index",
+    f"""SELECT repo_id, (place - 1) // 1000 AS file, min((place - 1) % 1000 + 1) AS first_line, count(*) AS n_lines
+      FROM (SELECT repo_id, row_number() OVER (ORDER BY repo_id, section, path, line_idx, piece) AS place
+        FROM ({_MD_QUALITY}), range(0, len(string_split(line, chr(10)))) AS t(piece)) GROUP BY ALL""",
     QUALITY,
 )
 
@@ -465,13 +469,16 @@ simple(
     TREE,
 )
 simple("modules", "SELECT repo_id, path FROM nodes WHERE node_type = 'module'", TREE)
-simple(
-    "tree_order",
-    """SELECT repo_id, path, CAST(depth AS INTEGER) AS depth, CASE WHEN depth = 0 THEN '' ELSE
+_TREE_ORDER = """SELECT repo_id, path, CAST(depth AS INTEGER) AS depth, CASE WHEN depth = 0 THEN '' ELSE
       array_to_string(list_append(
         list_transform(string_split(path, '/')[1:depth - 1], lambda x: '0' || lower(x)),
         CASE node_type WHEN 'file' THEN '1' ELSE '0' END || lower(split_part(path, '/', -1))), chr(1))
-      END AS sort_key FROM nodes""",
+      END AS sort_key FROM nodes"""
+simple("tree_order", _TREE_ORDER, TREE)
+simple(
+    "tree_positions",
+    f"""SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY sort_key, path) AS position
+      FROM ({_TREE_ORDER})""",
     TREE,
 )
 

@@ -19,6 +19,7 @@ from corpusgauge.operators import repo as RE
 from corpusgauge.operators import reports as M
 from corpusgauge.operators import reviews as RV
 from corpusgauge.operators import structure as S
+from corpusgauge.operators.positions import packed_index, packed_lines
 from corpusgauge.sources import bindings as B
 from corpusgauge.sources.files import decoded, decoded_for_explain
 from corpusgauge.sources.sinks import json_reports, quality_form
@@ -287,6 +288,12 @@ def md_quality(spark: SparkSession, sf: str) -> DataFrame:
     return M.quality_markdown(rows.drop("found"), Q.exploded(rows))
 
 
+@query
+def report_index(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packed_lines(md_quality(spark, sf), "repo_id", ["repo_id", "section", "path", "line_idx"], 1000)
+    return packed_index(packed, "repo_id")
+
+
 # --- structure -------------------------------------------------------------------
 
 
@@ -307,6 +314,11 @@ def tree_order(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def tree_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return S.tree_positions(S.tree_nodes(B.files(spark, sf)))
+
+
 @query
 def imports(spark: SparkSession, sf: str) -> DataFrame:
     return S.imports(B.files(spark, sf))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
+from corpusgauge.operators.positions import LINES_PER_FILE, packed_index, packed_lines
+from corpusgauge.session import stored
+
 
 def report_json(reports: DataFrame, *keys: str) -> DataFrame:
     """``(*keys, report)``: each row as one JSON text, nulls kept."""
@@ -99,6 +102,27 @@ def write_markdown(texts: DataFrame, path: str, column: str, mode: str = "errori
     texts.select(F.col(column).alias("value")).write.mode(mode).text(path, lineSep="\n")
 
 
+def write_packed_lines(
+    lines: DataFrame, path: str, per_file: int = LINES_PER_FILE, mode: str = "errorifexists"
+) -> None:
+    """Quality reports in files of ``per_file`` lines below ``path/files``, with an index.
+
+    Small repositories share a file and large ones go on in the next, so the number of files
+    follows from the number of lines, not of repositories.  ``path/index`` is a Parquet
+    table ``repo_id, file, first_line, n_lines``; file ``k`` is the one in ``file=k``.
+    """
+    packed = stored(packed_lines(lines, "repo_id", ["repo_id", "section", "path", "line_idx"], per_file), "packed")
+    (
+        packed.repartition("file")
+        .sortWithinPartitions("file", "line_no")
+        .select("file", F.col("line").alias("value"))
+        .write.mode(mode)
+        .partitionBy("file")
+        .text(f"{path.rstrip('/')}/files", lineSep="\n")
+    )
+    packed_index(packed, "repo_id").write.mode(mode).parquet(f"{path.rstrip('/')}/index")
+
+
 def write_report_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A report kept as lines, one folder per repository.
 

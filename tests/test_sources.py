@@ -13,7 +13,7 @@ from corpusgauge.operators import reports as M
 from corpusgauge.plans import jobs
 from corpusgauge.sources import files as SF
 from corpusgauge.sources.files import decoded, decoded_for_explain, read_files_table, scan_files
-from corpusgauge.sources.sinks import write_json, write_markdown, write_report_lines
+from corpusgauge.sources.sinks import write_json, write_markdown, write_packed_lines, write_report_lines
 
 
 def test_tree_scan(spark, tmp_path):
@@ -140,3 +140,23 @@ def test_sinks(spark, tmp_path, make_files):
     write_markdown(M.repo_markdown(RE.repo_overview(files, commits)), str(tmp_path / "text"), "report")
     text = "".join(p.read_text() for p in sorted((tmp_path / "text").glob("part-*")))
     assert text.startswith("# r\n\n> r\n\n## Statistics\n\n- **Total Files**: 2\n- **Total Lines**: 4\n")
+
+
+def test_packed_reports_make_files_by_size_not_by_repository(spark, tmp_path):
+    sizes = {f"r{i:03}": 1 + i % 3 for i in range(300)} | {"large": 950}
+    rows = [(r, 2, f"f{i // 10}", i, f"{r} {i}") for r, n in sizes.items() for i in range(n)]
+    rows.append(("r000", 4, "", 0, "two\nlines"))
+    lines = spark.createDataFrame(rows, "repo_id STRING, section INT, path STRING, line_idx INT, line STRING").repartition(6)
+    write_packed_lines(lines, str(tmp_path / "md"), per_file=100)
+    files = {}
+    for folder in (tmp_path / "md" / "files").glob("file=*"):
+        (part,) = folder.glob("part-*")
+        files[int(folder.name.removeprefix("file="))] = part.read_text().split("\n")[:-1]
+    total = len(rows) + 1
+    assert sorted(files) == list(range(-(-total // 100))) and sum(map(len, files.values())) == total
+    index = spark.read.parquet(str(tmp_path / "md" / "index")).collect()
+    for repo in sizes:
+        places = sorted((r.file, r.first_line, r.n_lines) for r in index if r.repo_id == repo)
+        got = [x for f, first, n in places for x in files[f][first - 1 : first - 1 + n]]
+        wanted = [r[4] for r in sorted(rows) if r[0] == repo]
+        assert got == "\n".join(wanted).split("\n")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from corpusgauge.operators import repo as RE
 from corpusgauge.operators import structure as S
+from corpusgauge.operators.positions import with_positions
 
 TREE = {
     "Zeta/a.py": "", "alpha/b.py": "", "alpha/Beta/c.py": "", "alpha/__init__.py": "",
@@ -116,3 +117,17 @@ def test_recent_commits_and_display(spark):
     assert [int(r.hash) for r in rows] == [38, 39, 37]
     shown = RE.displayed_commits(recent, shown=2).filter("repo_id = 'big'").collect()
     assert [len(r.message) for r in shown] == [60, 60]
+
+
+def test_positions_are_gapless_whatever_the_partitions(spark):
+    rows = [(k, v, i) for i, (k, v) in enumerate([("a", n % 17) for n in range(400)] + [("b", 5), (None, 1), (None, 0)])]
+    table = spark.createDataFrame(rows, "k STRING, v INT, position INT").repartition(7)
+    got = with_positions(table, ["k"], ["v"]).collect()
+    assert len(got) == len(rows)
+    for key in ("a", "b", None):
+        placed = sorted((r.position, r.v) for r in got if r.k == key)
+        assert [p for p, _ in placed] == list(range(1, len(placed) + 1))
+        assert [v for _, v in placed] == sorted(v for k, v, _ in rows if k == key)
+    assert with_positions(table.limit(0), ["k"], ["v"]).collect() == []
+    plan = with_positions(table, [], ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(__part" in plan  # never over a whole key
