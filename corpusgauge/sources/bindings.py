@@ -58,11 +58,26 @@ def _cases(subject: str, branches: dict[int, str], otherwise: str) -> str:
     return f"CASE {subject} {whens} ELSE {otherwise} END"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly over tasks for what is computed from them.
+
+    A scan has tasks by the bytes and row groups of its files.  A few megabytes of keys
+    stand for gigabytes of text here, so without this one or two tasks would work on all
+    of it.  The filter holds for every row; as it depends on the task, no other filter and
+    so none of the work moves below the shuffle.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks).filter(F.spark_partition_id() >= 0)
+
+
 @dataclass(frozen=True)
 class Binding:
     table: str
     columns: dict[str, str]
     where: str = ""
+    #: The table holds keys from which long texts are made; see ``spread``.
+    narrow: bool = False
 
     def sql(self, source: str | None = None) -> str:
         items = ", ".join(f"{expr} AS {name}" for name, expr in self.columns.items())
@@ -75,6 +90,8 @@ class Binding:
         source = reader.parquet(f"{sf_dir}/{self.table}.parquet")
         if self.where:
             source = source.where(self.where)
+        if self.narrow:
+            source = spread(source)
         return source.select(*[F.expr(expr).alias(name) for name, expr in self.columns.items()])
 
 
@@ -226,6 +243,7 @@ FILES_CODE = Binding(
         "content": f"replace({_CODE_TEXT}, chr(10), "
         f"{_when(f'{_P} % 13 = 0', 'chr(13) || chr(10)', 'chr(10)')})",
     },
+    narrow=True,
 )
 #: Path of a part file as a version of a file that the diffs touch: ``f<n>.py`` becomes
 #: one of their paths, any other stays.  Several files may share a path.
@@ -349,6 +367,7 @@ DIFFS = Binding(
             ),
         ),
     },
+    narrow=True,
 )
 
 
@@ -404,6 +423,7 @@ RESPONSES = Binding(
         ),
         "error": _when("event_id % 31 = 0", _text("timeout after <<user_id>> s"), "NULL"),
     },
+    narrow=True,
 )
 
 

@@ -11,6 +11,7 @@ from corpusgauge.operators import quality as Q
 from corpusgauge.operators import repo as RE
 from corpusgauge.operators import reports as M
 from corpusgauge.plans import jobs
+from corpusgauge.sources import bindings
 from corpusgauge.sources import files as SF
 from corpusgauge.sources.files import decoded, decoded_for_explain, read_files_table, scan_files
 from corpusgauge.sources.sinks import write_json, write_markdown, write_packed_lines, write_report_lines
@@ -160,3 +161,18 @@ def test_packed_reports_make_files_by_size_not_by_repository(spark, tmp_path):
         got = [x for f, first, n in places for x in files[f][first - 1 : first - 1 + n]]
         wanted = [r[4] for r in sorted(rows) if r[0] == repo]
         assert got == "\n".join(wanted).split("\n")
+
+
+def test_narrow_tables_are_dealt_over_tasks(spark, tmp_path):
+    spark.range(1, 301).selectExpr("id AS p_partkey", "CAST(id % 9 AS INT) AS p_size").coalesce(1).write.parquet(
+        f"{tmp_path}/part.parquet"
+    )
+    code = bindings.FILES_CODE.read(spark, str(tmp_path))
+    # a filter on what is computed stays behind the shuffle, with the work
+    found = code.filter(F.contains("content", F.lit("import"))).withColumn("task", F.spark_partition_id())
+    counted = {r["task"]: r["count"] for r in found.groupBy("task").count().collect()}
+    assert len(counted) >= 4 and max(counted.values()) < 2 * 300 / len(counted)
+    everything = spark.read.parquet(f"{tmp_path}/part.parquet").selectExpr(
+        *[f"{expr} AS {name}" for name, expr in bindings.FILES_CODE.columns.items()]
+    )
+    assert sorted(code.collect()) == sorted(everything.collect())
