@@ -20,6 +20,7 @@ from corpusgauge.operators import reports as M
 from corpusgauge.operators import reviews as RV
 from corpusgauge.operators import structure as S
 from corpusgauge.operators.positions import packed_index, packed_lines
+from corpusgauge.session import stored
 from corpusgauge.sources import bindings as B
 from corpusgauge.sources.files import decoded, decoded_for_explain
 from corpusgauge.sources.sinks import json_reports, quality_form
@@ -290,7 +291,10 @@ def md_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_index(spark: SparkSession, sf: str) -> DataFrame:
-    packed = packed_lines(md_quality(spark, sf), "repo_id", ["repo_id", "section", "path", "line_idx"], 1000)
+    # written before: the ranges of the order are found in one pass and filled in another
+    rows = stored(Q.file_results(B.files(spark, sf)), "results")
+    lines = M.quality_markdown(rows.drop("found"), Q.exploded(rows))
+    packed = packed_lines(lines, "repo_id", ["repo_id", "section", "path", "line_idx"], 1000)
     return packed_index(packed, "repo_id")
 
 

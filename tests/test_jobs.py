@@ -7,7 +7,7 @@ import uuid
 import pytest
 
 from corpusgauge.operators import explain as E
-from corpusgauge.plans import jobs
+from corpusgauge.plans import jobs, queries
 
 
 @pytest.fixture
@@ -197,3 +197,12 @@ def test_a_killed_run_goes_on_where_its_log_ends(spark, tmp_path):
     # a third run asks only the failed call again
     E.complete_logged(prompts, client, log, slices=6).collect()
     assert len(list(calls.iterdir())) == len(later) + 1
+
+
+def test_report_index_scans_the_files_once(spark, monkeypatch):
+    placed = []
+    whole = queries.packed_lines
+    monkeypatch.setattr(queries, "packed_lines", lambda lines, *rest: placed.append(lines) or whole(lines, *rest))
+    # an order is found in two passes; neither may go back to the tables
+    assert queries.QUERIES["report_index"](spark, "/root/testdata/sf0.001").count() > 0
+    assert placed and not any("/testdata/" in name for name in placed[0].inputFiles())
