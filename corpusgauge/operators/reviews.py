@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -363,31 +363,55 @@ def rebuilt_diffs(diffs: DataFrame) -> DataFrame:
     return diffs.select("diff_id", rebuilt_text(file_diffs_of(F.col("raw"))).alias("diff_text"))
 
 
-def file_contexts(diffs: DataFrame, files: DataFrame) -> DataFrame:
+def _whole_text(text: Column) -> list[Column]:
+    return [text.alias("file_context")]
+
+
+def file_contexts(
+    diffs: DataFrame, files: DataFrame, shown: Callable[[Column], list[Column]] = _whole_text
+) -> DataFrame:
     """Current contents of the files a diff touches, as one prompt block per diff.
 
-    The changed paths come first: a bitmap of them, of fixed size, lets the scan of the
-    files drop what no diff touches, so that no such content enters a shuffle.  The join
-    is on the changed path; a path that very many diffs touch is split by AQE on the
-    diff side.  A block holds the files of one diff, so
-    its length is bounded by what that one row lists.
+    Contents never travel once per diff.  Paths come first: each diff is narrowed to the list
+    of its places (number and path) that may have a file, by a bitmap of fixed size.  Files
+    that no list names are dropped where they are scanned, by another.  The blocks of a path
+    are brought together once, and a text is made once for each different list, in place
+    order.  At last the diffs are joined to the texts by their lists.
+
+    ``shown`` makes the output columns of a text; they are computed once per different text.
     """
-    touched = file_diffs(diffs, with_hunks=False).select("repo_id", "diff_id", "file_idx", "path").filter(
-        F.col("path").isNotNull()
+    places = F.struct("file_idx", "repo_id", "path")
+    lists = (
+        maybe_among(
+            file_diffs(diffs, with_hunks=False).select("repo_id", "diff_id", "file_idx", "path"),
+            key_bitmap(files, "repo_id", "path"),
+            "repo_id",
+            "path",
+        )
+        .filter(F.col("path").isNotNull())
+        .groupBy("diff_id")
+        .agg(F.sort_array(F.collect_list(places)).alias("places"))
     )
+    each = lists.select("places").distinct().select("places", F.explode("places").alias("place"))
+    each = each.select("places", "place.*")
     wanted = maybe_among(
-        files.select("repo_id", "path", "content"), key_bitmap(touched, "repo_id", "path"), "repo_id", "path"
+        files.select("repo_id", "path", "content"), key_bitmap(each, "repo_id", "path"), "repo_id", "path"
     )
     block = F.concat(F.lit("### "), "path", F.lit("\n```\n"), "content", F.lit("\n```\n"))
-    return (
-        touched.join(wanted, ["repo_id", "path"])
-        .groupBy("diff_id")
-        .agg(F.array_sort(F.collect_list(F.struct("file_idx", block.alias("block")))).alias("blocks"))
-        .select(
-            "diff_id",
-            F.array_join(F.transform("blocks", lambda b: b["block"]), "\n").alias("file_context"),
-        )
+    blocks = wanted.groupBy("repo_id", "path").agg(F.collect_list(block).alias("blocks"))
+
+    def numbered(place: Column) -> Column:
+        return F.transform(place["blocks"], lambda b: F.struct(place["file_idx"].alias("file_idx"), b.alias("block")))
+
+    in_order = F.sort_array(F.flatten(F.transform("found", numbered)))
+    texts = (
+        each.join(blocks, ["repo_id", "path"])
+        .groupBy("places")
+        .agg(F.collect_list(F.struct("file_idx", "blocks")).alias("found"))
+        .select("places", F.array_join(F.transform(in_order, lambda b: b["block"]), "\n").alias("file_context"))
+        .select("places", *shown(F.col("file_context")))
     )
+    return lists.join(texts, "places").drop("places")
 
 
 def priority_issues(responses: DataFrame) -> DataFrame:

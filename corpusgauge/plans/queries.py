@@ -39,11 +39,11 @@ def query(fn: Query) -> Query:
 
 def _digest(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """Long texts compared by length and hash."""
-    return df.select(
-        *keys,
-        F.length(column).cast("bigint").alias(f"{column}_chars"),
-        F.md5(column).alias(f"{column}_md5"),
-    )
+    return df.select(*keys, *_digest_columns(F.col(column), column))
+
+
+def _digest_columns(text: Column, name: str) -> list[Column]:
+    return [F.length(text).cast("bigint").alias(f"{name}_chars"), F.md5(text).alias(f"{name}_md5")]
 
 
 # --- files -------------------------------------------------------------------
@@ -478,8 +478,9 @@ def _context_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def file_context(spark: SparkSession, sf: str) -> DataFrame:
-    contexts = RV.file_contexts(B.diffs(spark, sf), _context_files(spark, sf))
-    return _digest(contexts, "file_context", "diff_id")
+    return RV.file_contexts(
+        B.diffs(spark, sf), _context_files(spark, sf), lambda text: _digest_columns(text, "file_context")
+    )
 
 
 @query

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusgauge.functions.membership import key_bitmap, maybe_among
 from corpusgauge.operators import diffs as D
@@ -231,3 +232,26 @@ def test_fuzzed_diffs_follow_the_line_by_line_reading(make_diffs):
     assert wrong[:1] == []
     stats = {r.diff_id: (r.files_changed, r.total_additions) for r in D.diff_stats(df).collect()}
     assert stats == {i: (len(rows), sum(row[3] for row in rows)) for i, rows in got.items()}
+
+
+def test_file_contexts_make_each_text_once(spark):
+    names = ("a", "b", "c")
+    raw = "".join(f"diff --git a/{n} b/{n}\n--- a/{n}\n+++ b/{n}\n@@ -1 +1 @@\n-x\n+y\n" for n in names)
+    # one number twice, in one repository and in two; a row without a number
+    rows = [("r", i, raw) for i in range(40)] + [("r", 0, raw), ("s", 1, raw), ("r", None, raw), ("t", 99, raw)]
+    diffs = spark.createDataFrame(rows, "repo_id STRING, diff_id BIGINT, raw STRING")
+    held = [("r", "a", "2"), ("r", "a", "1"), ("r", "b", None), ("r", "x", "0"), ("s", "a", "3"), ("s", "c", "4"), ("t", "b", None)]
+    files = spark.createDataFrame(held, "repo_id STRING, path STRING, content STRING")
+
+    def block(path, *contents):
+        return [f"### {path}\n```\n{c}\n```\n" for c in contents]
+
+    wanted = dict.fromkeys([*range(40), None], "\n".join(block("a", "1", "2")))
+    wanted[0] = "\n".join(block("a", "1", "1", "2", "2"))
+    wanted[1] = "\n".join([*block("a", "1", "2", "3"), *block("c", "4")])
+    wanted[99] = ""
+    assert {r.diff_id: r.file_context for r in RV.file_contexts(diffs, files).collect()} == wanted
+    # columns of a text are computed once, whatever the number of its diffs
+    shown = RV.file_contexts(diffs, files, lambda text: [text.alias("text"), F.uuid().alias("made")]).collect()
+    assert {r.diff_id: r.text for r in shown} == wanted
+    assert len({r.made for r in shown}) == 4
