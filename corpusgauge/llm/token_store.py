@@ -30,7 +30,6 @@ from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +50,7 @@ _AT_ONCE = 256
 # --- encoding texts -----------------------------------------------------------------
 
 #: Pieces a worker remembers at most before it begins anew, and encodes at once.
-KNOWN_PIECES, PIECES_AT_ONCE = 400_000, 4_096
+KNOWN_PIECES, PIECES_AT_ONCE = 1_000_000, 4_096
 #: Characters of the longest piece that is kept.
 LONGEST_KNOWN = 64
 #: Bytes of text encoded at once.
@@ -72,6 +71,81 @@ def _classes() -> np.ndarray:
     return kinds
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.data, self.n = values, len(values)
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.data):
+            wider = np.empty(max(end, 2 * len(self.data)), dtype=self.data.dtype)
+            wider[: self.n] = self.data[: self.n]
+            self.data = wider
+        self.data[self.n : end] = values
+        self.n = end
+
+    def held(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
+class _Known:
+    """Pieces and their ids in flat arrays, found by hash and then compared by their text."""
+
+    def __init__(self) -> None:
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.codes, self.ids = _Grown(np.zeros(0, np.uint32)), _Grown(np.zeros(0, np.uint32))
+        self.code_ends, self.id_ends = _Grown(np.zeros(1, np.int64)), _Grown(np.zeros(1, np.int64))
+
+    def __len__(self) -> int:
+        return self.code_ends.n - 1
+
+    def find(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The entry of each piece, -1 for none."""
+        if not len(self):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        entry = np.where(self.hashes[place] == hashes, self.entry[place], -1)
+        ends = self.code_ends.held()
+        entry[ends[entry + 1] - ends[entry] != sizes] = -1
+        some = np.flatnonzero(entry >= 0)
+        if len(some):
+            n = sizes[some]
+            other = codes[ranges(starts[some], n)] != self.codes.data[ranges(ends[entry[some]], n)]
+            entry[some[np.add.reduceat(other, np.cumsum(n) - n, dtype=np.int64) > 0]] = -1
+        return entry
+
+    def ids_of(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of entries in order, and how many each has."""
+        begin = self.id_ends.data[entry]
+        lengths = self.id_ends.data[entry + 1] - begin
+        return self.ids.data[ranges(begin, lengths)], lengths
+
+    def add(self, hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New entries by rising hash; of two with one hash the earlier stays."""
+        place = np.searchsorted(self.hashes, hashes)
+        entry = np.arange(len(self), len(self) + len(hashes))
+        fresh = np.ones(len(hashes), dtype=bool)
+        if len(self):
+            fresh = self.hashes[np.minimum(place, len(self.hashes) - 1)] != hashes
+        self.hashes = np.insert(self.hashes, place[fresh], hashes[fresh])
+        self.entry = np.insert(self.entry, place[fresh], entry[fresh])
+        self.code_ends.add(self.codes.n + np.cumsum(sizes))
+        self.id_ends.add(self.ids.n + np.cumsum(lengths))
+        self.codes.add(codes)
+        self.ids.add(ids)
+
+    def forget(self, n: int) -> None:
+        """The ``n`` oldest entries go."""
+        for flat, ends in ((self.codes, self.code_ends), (self.ids, self.id_ends)):
+            cut = ends.data[n]
+            flat.data, flat.n = flat.held()[cut:].copy(), flat.n - int(cut)
+            ends.data, ends.n = ends.held()[n:] - cut, ends.n - n
+        kept = self.entry >= n
+        self.hashes, self.entry = self.hashes[kept], self.entry[kept] - n
+
+
 @dataclass
 class Encoder:
     """Encodes columns; a piece that came before is not encoded again.
@@ -84,7 +158,7 @@ class Encoder:
 
     path: str
     tokenizer: object = None
-    known: dict[str, bytes] = field(default_factory=dict)
+    known: _Known = field(default_factory=_Known)
 
     def __post_init__(self) -> None:
         # a task has one core; threads of its own would take those of other tasks
@@ -137,10 +211,7 @@ class Encoder:
             if not self.by_piece or any(s in t for s in self.special):
                 ask[i] = True
         starts, ends, text = _pieces(codes, kinds, sizes, ask)
-        index, pieces = self._looked_up(joined, codes, starts, ends)
-        lengths = np.array([len(x) // 4 for x in pieces], dtype=np.int64)
-        table = np.frombuffer(b"".join(pieces), dtype=np.uint32)
-        begin = np.cumsum(lengths) - lengths
+        index, table, begin, lengths = self._looked_up(joined, codes, starts, ends)
         flat = table[ranges(begin[index], lengths[index])] if len(index) else np.zeros(0, dtype=np.uint32)
         counts = np.bincount(text, weights=lengths[index], minlength=len(texts)).astype(np.int64)
         if ask.any():
@@ -155,24 +226,32 @@ class Encoder:
 
     def _looked_up(
         self, joined: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray
-    ) -> tuple[np.ndarray, list[bytes]]:
-        """The ids of each different piece, and which of these each piece is."""
-        hashes = code_spans_hashed(codes, starts, ends)
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which different piece each piece is; a table of ids; where in it the ids of
+        each different piece begin, and how many they are."""
+        hashes, first, back = np.unique(code_spans_hashed(codes, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > KNOWN_PIECES:
             # the older half goes; what is frequent soon comes again
-            for h in list(islice(self.known, len(self.known) // 2)):
-                del self.known[h]
-        # known by their text, so that no hash decides over ids of another chunk
-        texts = [joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        found = [self.known.get(t) for t in texts]
-        new = [k for k, x in enumerate(found) if x is None]
-        if new:
-            for k, ids in zip(new, self._encoded([texts[k] for k in new]), strict=True):
-                found[k] = ids
-                if len(texts[k]) <= LONGEST_KNOWN:
-                    self.known[texts[k]] = ids
-        return back, found
+            self.known.forget(len(self.known) // 2)
+        # compared by their text, so that no hash decides over ids of another chunk
+        starts, sizes = starts[first], ends[first] - starts[first]
+        entry = self.known.find(hashes, codes, starts, sizes)
+        old, new = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0)
+        table, lengths = self.known.ids_of(entry[old])
+        if len(new):
+            begin_at, n = starts[new], sizes[new]
+            texts = [joined[s:e] for s, e in zip(begin_at.tolist(), (begin_at + n).tolist(), strict=True)]
+            pieces = self._encoded(texts)
+            n_ids = np.array([len(x) // 4 for x in pieces], dtype=np.int64)
+            ids = np.frombuffer(b"".join(pieces), dtype=np.uint32)
+            short = n <= LONGEST_KNOWN
+            kept_ids = ids if short.all() else ids[np.repeat(short, n_ids)]
+            self.known.add(hashes[new][short], codes[ranges(begin_at[short], n[short])], n[short], kept_ids, n_ids[short])
+            table, lengths = np.concatenate([table, ids]), np.concatenate([lengths, n_ids])
+        order = np.empty(len(hashes), dtype=np.int64)
+        order[np.concatenate([old, new])] = np.arange(len(hashes))
+        begin = np.cumsum(lengths) - lengths
+        return back, table, begin[order], lengths[order]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -79,3 +79,16 @@ def test_empty_table_and_null_ids(make_docs):
     assert T.described(T.write_segments(make_docs([]), PATH)).collect() == []
     got = T.described(T.write_segments(make_docs([(None, "a"), (3, "b"), (3, "a")]), PATH)).collect()
     assert sorted(((r.doc_id or -1), r.start, r.n_tokens) for r in got) == [(-1, 0, 2), (3, 2, 2), (3, 4, 2)]
+
+
+def test_known_pieces_are_told_apart_by_their_text(monkeypatch):
+    # every piece of one length has one hash; each text is a chunk of its own
+    monkeypatch.setattr(T, "code_spans_hashed", lambda codes, starts, ends: (ends - starts).astype(np.uint64))
+    monkeypatch.setattr(T, "KNOWN_PIECES", 6)
+    own = T.Encoder(PATH)
+    words = ["ab", "cd", "abc", "ab", "x", "cde", "y", "cd", "ef", "lengthy", "ab", "x" * 70, "y" * 70, "abc", "z"]
+    for word in words:
+        ids, counts = own.encode(pa.array([word]))
+        assert ids.tolist() == PLAIN.encode(word, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+        found, _ = own.known.ids_of(own.known.entry)
+        assert len(found) > 0 and len(own.known) <= 8
