@@ -8,6 +8,7 @@ every input row comes from one table row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,17 +59,23 @@ def _cases(subject: str, branches: dict[int, str], otherwise: str) -> str:
     return f"CASE {subject} {whens} ELSE {otherwise} END"
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """The same rows, dealt evenly over tasks for what is computed from them.
+def spread(rows: DataFrame, evenly: bool) -> DataFrame:
+    """The same rows, dealt over tasks for what is computed from them.
 
     A scan has tasks by the bytes and row groups of its files.  A few megabytes of keys
     stand for gigabytes of text here, so without this one or two tasks would work on all
-    of it.  The filter holds for every row; as it depends on the task, no other filter and
+    of it.  ``evenly`` makes a task for every shuffle partition, for rows that bring much work
+    each; else rows are dealt by their columns and AQE joins tasks down to the number of
+    cores.  The filter holds for every row; as it depends on the task, no other filter and
     so none of the work moves below the shuffle.
     """
     spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return rows.repartition(tasks).filter(F.spark_partition_id() >= 0)
+    if evenly:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        dealt = rows.repartition(tasks)
+    else:
+        dealt = rows.repartition(*rows.columns)
+    return dealt.filter(F.spark_partition_id() >= 0)
 
 
 @dataclass(frozen=True)
@@ -76,8 +83,8 @@ class Binding:
     table: str
     columns: dict[str, str]
     where: str = ""
-    #: The table holds keys from which long texts are made; see ``spread``.
-    narrow: bool = False
+    #: Set where texts are made of a table's keys: whether to deal these evenly, see ``spread``.
+    evenly: bool | None = None
 
     def sql(self, source: str | None = None) -> str:
         items = ", ".join(f"{expr} AS {name}" for name, expr in self.columns.items())
@@ -90,8 +97,10 @@ class Binding:
         source = reader.parquet(f"{sf_dir}/{self.table}.parquet")
         if self.where:
             source = source.where(self.where)
-        if self.narrow:
-            source = spread(source)
+        if self.evenly is not None:
+            # only the columns asked for, since rows may be dealt by them
+            names = [n for n in source.columns if re.search(rf"\b{n}\b", " ".join(self.columns.values()))]
+            source = spread(source.select(*names), self.evenly)
         return source.select(*[F.expr(expr).alias(name) for name, expr in self.columns.items()])
 
 
@@ -243,7 +252,7 @@ FILES_CODE = Binding(
         "content": f"replace({_CODE_TEXT}, chr(10), "
         f"{_when(f'{_P} % 13 = 0', 'chr(13) || chr(10)', 'chr(10)')})",
     },
-    narrow=True,
+    evenly=True,
 )
 #: Path of a part file as a version of a file that the diffs touch: ``f<n>.py`` becomes
 #: one of their paths, any other stays.  Several files may share a path.
@@ -367,7 +376,7 @@ DIFFS = Binding(
             ),
         ),
     },
-    narrow=True,
+    evenly=False,
 )
 
 
@@ -423,7 +432,7 @@ RESPONSES = Binding(
         ),
         "error": _when("event_id % 31 = 0", _text("timeout after <<user_id>> s"), "NULL"),
     },
-    narrow=True,
+    evenly=False,
 )
 
 
