@@ -372,7 +372,7 @@ def file_contexts(
 ) -> DataFrame:
     """Current contents of the files a diff touches, as one prompt block per diff.
 
-    Contents never travel once per diff.  Paths come first: each diff is narrowed to the list
+    Contents travel once per different list of places, not per diff.  Paths come first: each diff is narrowed to the list
     of its places (number and path) that may have a file, by a bitmap of fixed size.  Files
     that no list names are dropped where they are scanned, by another.  The blocks of a path
     are brought together once, and a text is made once for each different list, in place
