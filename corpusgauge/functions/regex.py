@@ -17,6 +17,12 @@ _FIRST_OF_BLANK_LINES = r"(?<!\n[ \t]{0,80}\n)"
 # ``^\s`` or a first group that has ``\s++`` among its alternatives.
 _STARTS_WITH_BLANKS = re.compile(r"\^(?:\\s|\(\?:(?:\w+\|)*\\s\+\+\))")
 
+# ``^\s*`` or ``^\s+``, words that may follow, each with blanks behind it, and how the next
+# thing starts: a choice of words, or a plain character that has to be there.
+_BLANKS_THEN = re.compile(
+    r"\^\\s[*+]((?:\(\?:\w+\\s\+\)\?)*)(?:\(\?:(\w+(?:\|\w+)*)\)|(\\?[\"#]|\w))(?![*?{])"
+)
+
 WORD_CLASS = r"\p{L}\p{N}_"
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\p{Z}"
 _SPACE_BUT_NEWLINE = r"\t\x0b-\r\x1c-\x20\x85\p{Z}"
@@ -28,6 +34,20 @@ _EITHER_EDGE = (
 )
 
 
+def _line_may_start(pattern: str) -> str:
+    """A look at one line, to stand behind ``^``: may a match start in it?
+
+    For patterns of blanks and a known character.  What follows the spaces and tabs of the
+    line has to be that character or another blank, so a line of anything else is passed
+    over at its first character, and the look back for blank lines is spared.
+    """
+    start = _BLANKS_THEN.match(pattern)
+    if not start:
+        return ""
+    words = re.findall(r"\(\?:(\w)", start[1]) + [word[0] for word in (start[2] or "").split("|") if word]
+    return rf"(?=[ \t]*+[{SPACE_CLASS}{''.join(words)}{start[3] or ''}])"
+
+
 def _is_word(ch: str) -> bool:
     return ch.isalnum() or ch == "_"
 
@@ -41,7 +61,7 @@ def java_regex(
     previous_literal = ""  # last plain character, '' after anything else
     i = 0
     if multiline and _STARTS_WITH_BLANKS.match(pattern):
-        out.append("^" + _FIRST_OF_BLANK_LINES)
+        out.append("^" + ("" if ignore_case else _line_may_start(pattern)) + _FIRST_OF_BLANK_LINES)
         i = 1
     while i < len(pattern):
         ch = pattern[i]

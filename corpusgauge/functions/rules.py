@@ -37,6 +37,8 @@ class Rule:
     """
     needs: tuple[str, ...] = ()
     """Texts of which one is in every text the rule hits; others are not searched."""
+    needs_folded: tuple[str, ...] = ()
+    """The same for ``folded`` texts: lower-case words that come in any letter case."""
 
     @property
     def java(self) -> str:
@@ -56,6 +58,7 @@ RULES: tuple[Rule, ...] = (
         ignore_case=True,
         first="#/",
         needs=("#", "/"),
+        needs_folded=("todo",),
     ),
     Rule(
         "fixme_comment",
@@ -65,6 +68,7 @@ RULES: tuple[Rule, ...] = (
         ignore_case=True,
         first="#/",
         needs=("#", "/"),
+        needs_folded=("fixme",),
     ),
     Rule(
         "hack_comment",
@@ -74,6 +78,7 @@ RULES: tuple[Rule, ...] = (
         ignore_case=True,
         first="#/",
         needs=("#", "/"),
+        needs_folded=("hack",),
     ),
     Rule(
         "hardcoded_password",
@@ -83,6 +88,7 @@ RULES: tuple[Rule, ...] = (
         ignore_case=True,
         first="pP",
         needs=("'", '"'),
+        needs_folded=("password", "passwd", "pwd"),
     ),
     Rule(
         "hardcoded_secret",
@@ -92,6 +98,7 @@ RULES: tuple[Rule, ...] = (
         ignore_case=True,
         first="sSaAtT\u017f",
         needs=("'", '"'),
+        needs_folded=("secret", "api_key", "apikey", "token"),
     ),
     Rule(
         "debug_statement",
@@ -131,10 +138,16 @@ LOGICAL_MARKS = ("&&", "||")
 
 
 def _whole_words(words: Iterable[str]) -> str:
-    """Any of the words on its own.  The first letters sort out most positions cheaply."""
+    """Any of the words on its own.
+
+    The first letters and the plain characters of a word sort out most positions cheaply.
+    """
     words = list(words)
-    first_letters = "".join(sorted({word[0] for word in words}))
-    return f"(?=[{first_letters}]){STARTS_WORD}(?:{'|'.join(words)}){ENDS_WORD}"
+    return f"(?=[{_first_letters(words)}])(?<![a-zA-Z0-9_]){STARTS_WORD}(?:{'|'.join(words)}){ENDS_WORD}"
+
+
+def _first_letters(words: Iterable[str]) -> str:
+    return "".join(sorted({word[0] for word in words}))
 
 
 def _marks_between_words(marks: Iterable[str]) -> str:
@@ -158,7 +171,9 @@ def complexity_patterns() -> dict[str, str]:
 def total_complexity_pattern() -> str:
     """All categories in one pass."""
     words = [word for words in COMPLEXITY_WORDS.values() for word in words]
-    return "|".join((_whole_words(words), java_regex(TERNARY), _marks_between_words(LOGICAL_MARKS)))
+    marks = "".join(sorted({TERNARY[1], *"".join(LOGICAL_MARKS)}))
+    found = "|".join((_whole_words(words), java_regex(TERNARY), _marks_between_words(LOGICAL_MARKS)))
+    return f"(?=[{_first_letters(words)}{java_quote(marks)}])(?:{found})"
 
 
 # Headers that open a function, by language, and the length limit.  In the
@@ -175,6 +190,14 @@ FUNCTION_HEADERS: dict[str, str] = {
     "Java": r"^(?:public|private|protected|static|\s++)+[\w<>[\]]+\s+(\w+)\s*\(",
 }
 TWO_GROUP_HEADERS = ("JavaScript", "TypeScript")
+# Texts of which one is in every text that has such a header.
+HEADER_NEEDS: dict[str, tuple[str, ...]] = {
+    "Python": ("def",),
+    "JavaScript": ("function", "=>"),
+    "TypeScript": ("function", "=>"),
+    "Go": ("func",),
+    "Java": ("(",),
+}
 LONG_FUNCTION_LINES = 50
 
 # Import statements, by language; group 1 is the module.

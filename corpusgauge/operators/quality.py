@@ -15,6 +15,8 @@ from corpusgauge.functions.regex import java_regex
 from corpusgauge.functions.rows import explode_items
 from corpusgauge.functions.text import (
     count_matches,
+    folded,
+    has_any,
     has_marks,
     let,
     mark_matches,
@@ -96,7 +98,7 @@ def function_extents(text: Column, language: Column) -> Column:
         chain: Column | None = None
         for header, names in by_pattern.items():
             value = build(java_regex(header, multiline=True), names[0] in R.TWO_GROUP_HEADERS)
-            test = language.isin(*names)
+            test = language.isin(*names) & has_any(text, R.HEADER_NEEDS[names[0]])
             chain = F.when(test, value) if chain is None else chain.when(test, value)
         return chain
 
@@ -141,21 +143,31 @@ def long_functions_of(extents: Column) -> Column:
     return F.filter(extents, lambda f: (f["lines"] > R.LONG_FUNCTION_LINES) & (f["name"] != ""))
 
 
-def _may_hit(text: Column, rule: R.Rule) -> Column:
+def _may_hit(text: Column, in_lower_case: Column, rule: R.Rule) -> Column:
     """A cheap test that spares most texts the search."""
-    found = F.lit(not rule.needs)
-    for needed in rule.needs:
-        found = found | F.contains(text, F.lit(needed))
+    found = F.lit(True)
+    if rule.needs:
+        found = found & has_any(text, rule.needs)
+    if rule.needs_folded:
+        found = found & has_any(in_lower_case, rule.needs_folded)
     return found
 
 
-def issues_of(text: Column, extents: Column, rules: Sequence[R.Rule] = R.RULES) -> Column:
+def _with_folded(scope: DataFrame, rules: Sequence[R.Rule]) -> DataFrame:
+    """Adds ``folded``, made once for all rules that look into it."""
+    asked = any(rule.needs_folded for rule in rules)
+    return scope.withColumn("folded", folded(F.col("text")) if asked else F.lit(""))
+
+
+def issues_of(
+    text: Column, in_lower_case: Column, extents: Column, rules: Sequence[R.Rule] = R.RULES
+) -> Column:
     """All issues of a file in rule order, then position, long functions last."""
     no_lines = F.array().cast("array<int>")
 
     def by_rule(rule: R.Rule) -> Column:
         return F.transform(
-            F.when(_may_hit(text, rule), match_lines(text, rule.java)).otherwise(no_lines),
+            F.when(_may_hit(text, in_lower_case, rule), match_lines(text, rule.java)).otherwise(no_lines),
             lambda line: F.struct(
                 line.alias("line"),
                 F.lit(rule.issue_type).alias("issue_type"),
@@ -197,7 +209,8 @@ def _metric_columns(rules: Sequence[R.Rule]) -> list[Column]:
         total = long_ones if severity == R.WARNING else F.lit(0)
         for rule in rules:
             if rule.severity == severity:
-                total = total + F.when(_may_hit(text, rule), count_matches(text, rule.java)).otherwise(0)
+                may_hit = _may_hit(text, F.col("folded"), rule)
+                total = total + F.when(may_hit, count_matches(text, rule.java)).otherwise(0)
         return total.cast("bigint")
 
     return [
@@ -221,7 +234,7 @@ def file_metrics(
     filtered: bool = True,
 ) -> DataFrame:
     """One narrow row per file: lines, complexity and issue counts by severity."""
-    return scoped(files, excludes, max_kb, filtered).select(*_metric_columns(rules))
+    return _with_folded(scoped(files, excludes, max_kb, filtered), rules).select(*_metric_columns(rules))
 
 
 def file_results(
@@ -232,8 +245,9 @@ def file_results(
     filtered: bool = True,
 ) -> DataFrame:
     """Metrics and issues (``found``) of every file, for jobs that need both."""
-    found = issues_of(F.col("text"), function_extents(F.col("text"), F.col("language")), rules)
-    located = scoped(files, excludes, max_kb, filtered).select(
+    extents = function_extents(F.col("text"), F.col("language"))
+    found = issues_of(F.col("text"), F.col("folded"), extents, rules)
+    located = _with_folded(scoped(files, excludes, max_kb, filtered), rules).select(
         "repo_id",
         "path",
         "language",
@@ -271,10 +285,10 @@ def issues(
 ) -> DataFrame:
     """One row per issue.  The text never leaves its scan stage."""
     language = F.col("language") if with_functions else F.lit("Unknown")
-    found = issues_of(F.col("text"), function_extents(F.col("text"), language), rules)
+    extents = function_extents(F.col("text"), language)
+    found = issues_of(F.col("text"), F.col("folded"), extents, rules)
     return exploded(
-        scoped(files, excludes, max_kb, filtered)
-        .filter("in_scope")
+        _with_folded(scoped(files, excludes, max_kb, filtered).filter("in_scope"), rules)
         .select("repo_id", "path", found.alias("found"))
     )
 
