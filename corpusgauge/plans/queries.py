@@ -282,17 +282,21 @@ def all_issues(spark: SparkSession, sf: str) -> DataFrame:
     return Q.issues(B.files(spark, sf))
 
 
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics and issues of every file, written: head and lines of a report search no text twice."""
+    return stored(Q.file_results(B.files(spark, sf)), "results")
+
+
 @query
 def md_quality(spark: SparkSession, sf: str) -> DataFrame:
-    # no job while the query is built; ``jobs.analyze_quality`` reads the contents once
-    rows = Q.file_results(B.files(spark, sf))
+    rows = _results(spark, sf)
     return M.quality_markdown(rows.drop("found"), Q.exploded(rows))
 
 
 @query
 def report_index(spark: SparkSession, sf: str) -> DataFrame:
     # written before: the ranges of the order are found in one pass and filled in another
-    rows = stored(Q.file_results(B.files(spark, sf)), "results")
+    rows = _results(spark, sf)
     lines = M.quality_markdown(rows.drop("found"), Q.exploded(rows))
     packed = packed_lines(lines, "repo_id", ["repo_id", "section", "path", "line_idx"], 1000)
     return packed_index(packed, "repo_id")
@@ -507,8 +511,9 @@ def report_json_review(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_json_quality(spark: SparkSession, sf: str) -> DataFrame:
-    issues = Q.issues(B.files(spark, sf))
-    return quality_form(Q.quality_report(_totals(spark, sf)), issues).drop("issue_idx")
+    rows = _results(spark, sf)
+    report = Q.quality_report(Q.repo_metrics(rows.drop("found")))
+    return quality_form(report, Q.exploded(rows)).drop("issue_idx")
 
 
 @query

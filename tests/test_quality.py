@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import rules as R
+from corpusgauge.functions.text import folded
 from corpusgauge.operators import quality as Q
+from corpusgauge.plans.queries import QUERIES
+from corpusgauge.sources.bindings import FIXTURE_SCHEMAS
 
 
 def issues(df, **options):
@@ -141,3 +144,43 @@ def test_both_ways_to_count_agree(make_files):
     assert sorted(Q.file_metrics(df).select(counts).collect()) == sorted(
         Q.file_results(df).select(counts).collect()
     )
+
+
+def test_rules_search_only_texts_that_hold_their_word(spark):
+    """The test before a search lets every hit through and spares texts without the word."""
+    hits = ["# todo", "/* İ */ // FİXME", "#HACK", "paſswd: 'x'", "tOKEN = \"k\"", "// fıxme"]
+    plain = "# see http://a/b, 'plain' \"words\" / nothing"
+    df = spark.createDataFrame([(t,) for t in [*hits, plain]], "text STRING").withColumn("low", folded(F.col("text")))
+    rules = [r for r in R.RULES if r.needs_folded]
+    assert len(rules) == 5
+    for rule in rules:
+        may, found = zip(
+            *df.select(Q._may_hit(F.col("text"), F.col("low"), rule), F.col("text").rlike(rule.java)).collect(), strict=True
+        )
+        assert may == found, rule.issue_type
+        assert not may[-1]
+
+
+def test_folded_letters_are_those_of_a_case_blind_pattern(spark):
+    chars = spark.range(1, 0x10000).filter("id < 55296 OR id > 57343")
+    text = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    odd = chars.select(text.alias("c")).filter(
+        F.col("c").rlike("^(?iu)[a-z]$") & ~folded(F.col("c")).rlike("^[a-z]$")
+    )
+    assert odd.count() == 0
+
+
+def test_reports_search_their_texts_once(spark, tmp_path):
+    """Head and issues come from written results, not from two scans of the tables."""
+    rows = {
+        "documents": [(1, "x = 250\n", "en", "src0")],
+        "pages": [(1, "http://h.example/a/b", "<p>299</p>")],
+        "part": [(p, p % 5) for p in range(40)],
+    }
+    for name, values in rows.items():
+        df = spark.createDataFrame(values, FIXTURE_SCHEMAS[name])
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("md_quality", "report_json_quality"):
+        result = QUERIES[name](spark, str(tmp_path))
+        assert result.count() > 0
+        assert not [f for f in result.inputFiles() if str(tmp_path) in f], name
